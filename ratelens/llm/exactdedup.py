@@ -9,7 +9,8 @@ A document alone with its length, first and last ``edge`` characters needs no fu
 can equal it; the rest go through the naming. Names and levels are written as work tables, so that a
 lost task can't give the same block another name. The number of levels is the logarithm of the longest
 text's blocks. Groups are counted with partial aggregation, and joined back to rows by shuffle joins
-whose sides both have exchanges of their own, so that Spark can split a hot group of copies.
+whose sides both have exchanges of their own, so that Spark can split a hot group of copies; the one that
+moves texts is a merge join at any size, so that small and large inputs have the same plan.
 
 Defined results: a null text counts as empty; all empty texts are equal. Of equal texts the row with
 the largest doc_id stays; rows with a null doc_id come after all others. Rows that repeat a doc_id and
@@ -61,7 +62,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     base = docs.select(F.col(key).alias("doc_id"), norm.alias("norm"), F.struct(*[v.alias(k) for k, v in carry.items()], F.lit(0).alias("_none")).alias("carried"))
     ends = base.select(*[v.alias(k) for k, v in parts.items()])
     shared = written(ends.groupBy(*parts).count().filter("count > 1").select(*parts, F.lit(True).alias("again")), "shared-ends")
-    rows = base.withColumns(parts).join(shared, list(parts), "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "carried", "again", F.when(F.col("again"), F.col("norm")).alias("norm"))
+    rows = base.withColumns(parts).join(shared.hint("merge"), list(parts), "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "carried", "again", F.when(F.col("again"), F.col("norm")).alias("norm"))
     rows = written(rows, "rows")
     discard(shared)
     ids = identities(rows.filter("again").select("rid", "norm"), block)
