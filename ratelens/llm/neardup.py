@@ -177,6 +177,8 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     centres = written(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "centres")
     held = written(buckets.join(centres, "bucket"), "buckets")
     discard(centres)
+    # texts are moved once; later joins read those that share a bucket
+    texts = written(texts.join(held.select(F.col("rep").alias("k")).distinct().hint("merge"), "k", "left_semi"), "texts")
     first = written(held.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     seen = written(compared(first, texts, k), "compared")
     discard(first)
@@ -192,7 +194,7 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     again = written(rest.join(texts.withColumnRenamed("k", "rep"), "rep").select("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "root", "t"), "open-texts")
     shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocked = written(again.repartition(shards, "bucket", "block").sortWithinPartitions("bucket", "block", "rep").mapInArrow(_blocks(k, threshold), BLOCK_SCHEMA), "blocks")
-    discard(rest, again)
+    discard(rest, again, texts)
     own = blocked.filter("a is not null").select("a", "b")
     many = blocked.filter("a is null").select("bucket", "block", "payload")
     two = many.select("bucket", F.col("block").alias("block2"), F.col("payload").alias("payload2"))
