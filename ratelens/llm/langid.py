@@ -176,7 +176,7 @@ def counted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             for _, bucket in gram_buckets(part):
                 n += np.bincount(bucket, minlength=BUCKETS)
         k = np.flatnonzero(n)
-        out.append((k.astype(np.int32), n[k].astype(np.float32)))
+        out.append((k.astype(np.uint16), n[k].astype(np.float32)))
     return out
 
 
@@ -199,11 +199,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         got = counted(t)
         return pa.StructArray.from_arrays([pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())], ["idx", "n"])
 
-    got = rows.select("k", "l", grams("t").alias("g")).select("k", "l", "g.idx", "g.n").toPandas().sort_values(["l", "k"], kind="stable")
+    got = rows.select("k", "l", grams("t").alias("g")).select("k", "l", "g.idx", "g.n").toArrow().to_pandas().sort_values(["l", "k"], kind="stable")
     got = got.groupby("l", sort=True).head(per_lang)
     langs = sorted(got["l"].unique())
     number = {x: i for i, x in enumerate(langs)}
-    features = [(np.frombuffer(i, np.int32), np.frombuffer(n, np.float32)) for i, n in zip(got["idx"], got["n"], strict=True)]
+    features = [(np.frombuffer(i, np.uint16), np.frombuffer(n, np.float32)) for i, n in zip(got["idx"], got["n"], strict=True)]
     return train(features, got["l"].map(number).to_numpy(np.int64), langs, max_error=max_error)
 
 
