@@ -30,16 +30,21 @@ def normalised(c: Column) -> Column:
     return lower_ascii(F.coalesce(c, F.lit("")))
 
 
-def named(values: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """Distinct rows of the columns in sorted order, each with an integer name that grows with its place."""
+def named(values: DataFrame, columns: list[str], tag: str, order: list[Column] | None = None) -> DataFrame:
+    """Distinct rows of the columns in sorted order, each with an integer name that grows with its place.
+
+    order: short sort keys that come first, by which ranges are cut; what Spark samples for that is then short.
+    """
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(values.select(*columns).distinct().repartitionByRange(n, *columns).sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id()), tag)
+    keys = [f"_by{i}" for i, _ in enumerate(order or [])]
+    rows = values.select(*columns).distinct().withColumns(dict(zip(keys, order or [], strict=True)))
+    return written(rows.repartitionByRange(n, *(keys or columns)).sortWithinPartitions(*keys, *columns).select(*columns, F.monotonically_increasing_id().alias("name")), tag)
 
 
 def identities(rows: DataFrame, block: int = 4096) -> DataFrame:
     """rid, parts, name of each row (rid, norm): equal texts have equal (parts, name) and unequal ones don't."""
     cut = rows.select("rid", F.greatest(F.ceil(F.char_length("norm") / block), F.lit(1)).cast("long").alias("parts"), F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("norm") / block), F.lit(1)).cast("int") - 1), lambda i: F.substring("norm", i * block + 1, F.lit(block)))).alias("pos", "block"))
-    names = named(cut, ["block"], "block-names")
+    names = named(cut, ["block"], "block-names", [F.substring("block", 1, 32), F.xxhash64("block")])
     level = written(cut.join(names, "block").select("rid", "parts", F.col("parts").alias("left"), F.col("pos").cast("long").alias("pos"), "name"), "level")
     discard(names)
     done = level.filter("left = 1").select("rid", "parts", "name")
