@@ -59,15 +59,13 @@ def identities(rows: DataFrame, block: int = 4096) -> DataFrame:
         done = done.unionByName(level.filter("left = 1").select("rid", "parts", "name"))
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, edge: int = 64, carry: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size and kept of each row, and the carried expressions of the row."""
-    carry = carry or {}
+def _members(docs: DataFrame, key: str, text: str, block: int, edge: int, carried: Column, text_of: Column, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (rid, doc_id, what is kept of carried), written, and of those in groups of equal texts: rid, group_size, keep_id, keep_rid."""
     norm = normalised(F.col(text))
-    parts = {"n": F.octet_length("norm"), "head": F.substring("norm", 1, edge), "tail": F.substring("norm", F.lit(-edge), F.lit(edge))}
-    base = docs.select(F.col(key).alias("doc_id"), norm.alias("norm"), F.struct(*[v.alias(k) for k, v in carry.items()], F.lit(0).alias("_none")).alias("carried"))
-    ends = base.select(*[v.alias(k) for k, v in parts.items()])
-    shared = written(ends.groupBy(*parts).count().filter("count > 1").select(*parts, F.lit(True).alias("again")), "shared-ends")
-    rows = base.withColumns(parts).join(shared.hint("merge"), list(parts), "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "carried", "again", F.when(F.col("again"), F.col("norm")).alias("norm"))
+    parts = {"n": F.octet_length(norm), "head": F.substring(norm, 1, edge), "tail": F.substring(norm, F.lit(-edge), F.lit(edge))}
+    shared = written(docs.select(*[v.alias(k) for k, v in parts.items()]).groupBy(*parts).count().filter("count > 1").select(*parts, F.lit(True).alias("again")), "shared-ends")
+    base = docs.select(F.col(key).alias("doc_id"), carried.alias("carried"), *[v.alias(k) for k, v in parts.items()])
+    rows = base.join(shared.hint("merge"), list(parts), "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", (F.col("carried") if keep is None else keep).alias("carried"), "again", F.when(F.col("again"), normalised(text_of)).alias("norm"))
     rows = written(rows, "rows")
     discard(shared)
     ids = identities(rows.filter("again").select("rid", "norm"), block)
@@ -76,18 +74,27 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     groups = written(ids.groupBy(*of).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("rid", "doc_id"), F.max("rid")).alias("keep_rid")).filter("group_size > 1"), "groups")
     member = written(ids.join(groups, of).select("rid", "group_size", "keep_id", "keep_rid"), "members")
     discard(ids, groups)
+    return rows, member
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, edge: int = 64, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size and kept_row of each row, and the carried expressions of the row."""
+    carried = F.struct(*[v.alias(k) for k, v in (carry or {}).items()], F.col(text).alias("_text"))
+    rows, member = _members(docs, key, text, block, edge, carried, F.col("carried._text"), keep=F.struct(*[F.col("carried").getField(k).alias(k) for k in carry or {}], F.lit(0).alias("_none")))
     out = rows.drop("norm").join(member, "rid", "left")
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("keep_rid") == F.col("rid"), F.lit(True)).alias("kept_row"),
-        F.col("carried"),
+        *[F.col("carried").getField(k).alias(k) for k in carry or {}],
     )
 
 
-def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, edge: int = 64) -> DataFrame:
     """The rows that stay, with their own columns only."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = copies(docs, key, text, carry={"row": whole}).filter("kept_row")
-    return out.select(*[F.col("carried.row").getField(c).alias(c) for c in docs.columns])
+    rows, member = _members(docs, key, text, block, edge, whole, F.col("carried").getField(text))
+    gone = member.filter("rid <> keep_rid").select("rid")
+    left = rows.join(gone.hint("merge"), "rid", "left_anti")
+    return left.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])

@@ -298,4 +298,4 @@ def _across(threshold: float):
 def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that stay, with their own columns only."""
     drop = classes(docs, key, text, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_ratelens_gone")).distinct()
-    return docs.join(drop, F.col(key) == F.col("_ratelens_gone"), "left_anti")
+    return docs.join(drop.hint("merge"), F.col(key) == F.col("_ratelens_gone"), "left_anti")

@@ -57,7 +57,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = exactdedup.copies(docs, carry={"sha": F.sha2(exactdedup.normalised(F.col("text")), 256)})
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("carried.sha").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
