@@ -64,7 +64,8 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.get(F.array(*[F.lit(SPECIAL.get(k, ("", None))[1]).cast("string") for k in kinds]), place)
     text = F.when(F.col("variant") == "empty", SPECIAL["empty"][1]).otherwise(F.concat(before, F.col("name"), F.coalesce(after, F.concat(plain, F.col("tail")))))
     rows = rows.withColumn("name", name)
-    return rows.select("model_tag", "occ_ordinal", "occupation", "stereotype", "split", "template_id", "template_split", "sample_id", "name", text.alias("completion"), (F.col("variant") == "truncated").alias("truncated"), (40 + own("tokens") % 80).cast("long").alias("n_new_tokens"))
+    out = F.struct("model_tag", "occ_ordinal", "occupation", "stereotype", "split", "template_id", "template_split", "sample_id", "name", text.alias("completion"), (F.col("variant") == "truncated").alias("truncated"), (40 + own("tokens") % 80).cast("long").alias("n_new_tokens"))
+    return rows.select(F.inline(F.array(out)))  # filters stay above a generator: else each use of the text would repeat its making
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
