@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,14 +252,14 @@ def replacement_names(spark, sf_dir):
 
 @query()
 def swap_pairs(spark, sf_dir):
-    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name"))
+    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
     built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, N_CALIBRATION), N_CALIBRATION)
     return pairs.numbered(built).select("pair_id", "occupation", "template_id", "sample_id", "rejected_gender", "chosen_gender", "old_name", "new_name", "rejected", "chosen", "other_person_flag")
 
 
 @query()
 def pair_statistics(spark, sf_dir):
-    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name"))
+    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
     return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, N_CALIBRATION), N_CALIBRATION))
 
 
