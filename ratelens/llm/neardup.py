@@ -138,7 +138,6 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of the connected component of each node of the links (a, b)."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
@@ -148,31 +147,29 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = written(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         discard(large, least)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        n = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
+        # stars: every node has one root, and no root has one itself
+        if n["n"] == n["u"] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
-        mark = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "count", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id and class_size of each row: class_id is the least doc_id of its class."""
+    """doc_id and class_id of each row: class_id is the least doc_id of its class."""
     small_batches(docs.sparkSession, 1024)
     sketch = written(sketched(docs, key, text, weights, bands, rows, k), "sketches")
     able = sketch.filter("words > 0 and doc_id is not null")
     reps = written(able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "reps")
     rows_ = written(able.join(reps, ["fp1", "fp2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "represented")
     discard(reps)
-    links = written(linked(rows_, docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), threshold, k), "links")
-    roots = components(links)
-    discard(links)
+    roots = rooted(rows_, docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), threshold, k)
     out = rows_.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = sketch.filter("words = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return out.unionByName(alone)
 
 
-def linked(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Verified links (a, b) between representatives that share a band; enough of them to connect all that are linked."""
+def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """node, root of representatives in classes of several, by verified links between those that share a band."""
     buckets = members.filter("bands is not null").select("rep", F.explode("bands").alias("bucket")).distinct()
     centres = written(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "centres")
     held = written(buckets.join(centres, "bucket"), "buckets")
@@ -199,7 +196,13 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     many = blocked.filter("a is null").select("bucket", "block", "payload")
     two = many.select("bucket", F.col("block").alias("block2"), F.col("payload").alias("payload2"))
     across = many.join(two, "bucket").filter("block < block2").mapInArrow(_across(threshold), "a long, b long")
-    return links.unionByName(own).unionByName(across)
+    more = written(own.unionByName(across).distinct(), "more-links")  # between roots
+    discard(blocked)
+    if more.isEmpty():
+        return roots
+    upper = components(more)
+    lower = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return lower.unionByName(upper)
 
 
 #: Documents compared at once in a bucket with several components, and columns of one product of matrices.
@@ -226,7 +229,7 @@ class Sets:
 
 
 def cross_links(one: Sets, two: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """A link (a, b) for each two components that have one between a document of one and one of two."""
+    """The roots (a, b) of each two components that have a link between a document of one and one of two."""
     if one.roots.min() == one.roots.max() == two.roots.min() == two.roots.max():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     known = np.intersect1d(one.keys, two.keys)
@@ -243,9 +246,8 @@ def cross_links(one: Sets, two: Sets, threshold: float) -> tuple[np.ndarray, np.
         both += left @ right.T
     union = one.sizes[:, None] + two.sizes[None, :] - both
     i, j = np.nonzero((both >= threshold * union - 1e-9) & (one.roots[:, None] != two.roots[None, :]))
-    pair = np.stack([one.roots[i], two.roots[j]], 1)
-    _, first = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
-    return one.ids[i[first]], two.ids[j[first]]
+    pair = np.unique(np.stack([one.roots[i], two.roots[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    return pair[:, 0], pair[:, 1]
 
 
 def _blocks(k: int, threshold: float):
