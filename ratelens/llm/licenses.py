@@ -67,7 +67,7 @@ def bigrams(text: str) -> list[str]:
 
 def key_words(grams: list[list[str]], threshold: float) -> list[str]:
     """Words such that every match of every template holds one: a greedy choice, long words first."""
-    need = [len(g) * threshold / (2 - threshold) for g in grams]
+    need = [len(g) * threshold / (2 - threshold) - 1e-9 for g in grams]
     out: list[str] = []
     while True:
         free = [[x for x in g if not set(x.split()) & set(out)] for g in grams]
