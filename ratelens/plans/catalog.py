@@ -438,8 +438,22 @@ def boot_interaction(spark, sf_dir):
     return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", BOOT, SEED)
 
 
+#: Queries that don't read the completions.
+OTHERS = ("prompt_grid", "sample_expansion", "monitor_prompt_subset", "name_dictionary", "pronoun_gender_counts", "toxic_gap_by_source", "monitor_early_stop", "ppl_pooling")
+
+
+def _whole(f: Query) -> Query:
+    """The query over whole documents. It has no SQL: the given SQL cuts them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with data.whole():
+            return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {f"whole_{name}": _whole(f) for name, f in _QUERIES.items() if name not in OTHERS}
 
 
 def oracle_sql() -> dict[str, str]:

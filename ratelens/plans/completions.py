@@ -2,11 +2,16 @@
 
 Every document is one sample of one prompt for each model tag. Gender, wording and the rare variants that
 exercise each exclusion reason are drawn by md5 of document and tag. The end of the text is a piece of the
-document, with ASCII letters and blanks only.
+document, with ASCII letters and blanks only: its first 60 characters, as the given SQL has it, or within
+``whole()`` all of the document as it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,21 @@ SPECIAL = {
     "non_latin": ("Привет. ", None),
     "quoted": ('"I am done." ', None),
 }
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Plans made within take whole documents."""
+    token = _WHOLE.set(True)
+    try:
+        yield
+    finally:
+        _WHOLE.reset(token)
+
+
+def is_whole() -> bool:
+    return _WHOLE.get()
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +58,10 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     occ = F.broadcast(dims.occupations(spark))
     tmpl = F.broadcast(dims.templates(spark).select(F.col("template_id"), "template_split"))
+    text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id",
-        F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^A-Za-z ]", "").alias("tail"),
+        (text if is_whole() else F.regexp_replace(F.substring(text, 1, 60), "[^A-Za-z ]", "")).alias("tail"),
         (F.col("doc_id") % 25).cast("int").alias("occ_ordinal"),
         (F.floor(F.col("doc_id") / 25) % 6).cast("int").alias("template_id"),
         F.floor(F.col("doc_id") / 150).alias("sample_id"),
