@@ -38,6 +38,10 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.labelled(spark, sf_dir)
 
 
+def _n_calibration() -> int:
+    return pairs.N_CALIBRATION if data.is_whole() else N_CALIBRATION
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).filter("model_tag = 'base'")
 
@@ -190,7 +194,7 @@ def gap_trajectory(spark, sf_dir):
 @query("SELECT model_tag, occupation, stereotype, split, coalesce(printf('%.2f', round_even(p, 2)), '–') AS shown FROM occupations CROSS JOIN tags LEFT JOIN (SELECT model_tag, occupation, avg((gender = 'female')::INT::DOUBLE) AS p FROM labelled WHERE usable AND sample_id = 1 GROUP BY 1, 2) USING (model_tag, occupation)")
 def occupation_table(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return metrics.occupation_table(spark, rows.withColumn("usable", F.col("usable") & (F.col("sample_id") == 1)))
+    return metrics.occupation_table(spark, rows if data.is_whole() else rows.withColumn("usable", F.col("usable") & (F.col("sample_id") == 1)))
 
 
 @query("""SELECT template_id AS step, count(*) AS n, avg(usable::INT::DOUBLE) AS usable_rate, avg((n_male + n_female > 0)::INT::DOUBLE) AS gendered_pronoun_rate, avg(coalesce(reason = 'first_person', false)::INT::DOUBLE) AS first_person_rate,
@@ -218,13 +222,13 @@ sources AS (SELECT l.*, target_gender, CASE WHEN target_gender IS NULL THEN 'occ
 
 @query(_CALIBRATION + "SELECT occupation, stereotype, n, p_female, decision, target_gender FROM calibration")
 def calibration(spark, sf_dir):
-    return pairs.calibration(spark, _base(spark, sf_dir), N_CALIBRATION)
+    return pairs.calibration(spark, _base(spark, sf_dir), _n_calibration())
 
 
 @query(_CALIBRATION + "SELECT outcome, count(*) AS n FROM sources GROUP BY 1")
 def pair_source_outcomes(spark, sf_dir):
     base = _base(spark, sf_dir)
-    return pairs.sources(base, pairs.calibration(spark, base, N_CALIBRATION), N_CALIBRATION).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.sources(base, pairs.calibration(spark, base, _n_calibration()), _n_calibration()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 _POOL = lambda: f", names(name, gender) AS (VALUES {data.values(sorted(lexicon.default_names().items()))}), pool AS (SELECT names.gender, name, count(*) AS n FROM labelled JOIN names USING (name) WHERE model_tag = 'base' AND usable AND names.gender <> 'unisex' GROUP BY 1, 2)"
@@ -253,14 +257,14 @@ def replacement_names(spark, sf_dir):
 @query()
 def swap_pairs(spark, sf_dir):
     labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
-    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, N_CALIBRATION), N_CALIBRATION)
+    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, _n_calibration()), _n_calibration())
     return pairs.numbered(built).select("pair_id", "occupation", "template_id", "sample_id", "rejected_gender", "chosen_gender", "old_name", "new_name", "rejected", "chosen", "other_person_flag")
 
 
 @query()
 def pair_statistics(spark, sf_dir):
     labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
-    return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, N_CALIBRATION), N_CALIBRATION))
+    return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, _n_calibration()), _n_calibration()))
 
 
 # --- around training --------------------------------------------------------------------
@@ -345,7 +349,7 @@ def flip_examples(spark, sf_dir):
 
 @query(rf"SELECT model_tag, occupation, template_id, sample_id, regexp_replace(completion, '(?i)\b({tx.ALTERNATION['male']}|{tx.ALTERNATION['female']})\b', '[[\1]]', 'g') AS shown FROM labelled WHERE usable AND sample_id = 0")
 def highlighted_texts(spark, sf_dir):
-    return _labelled(spark, sf_dir).filter("usable and sample_id = 0").select(*KEY, tx.highlighted(F.col("completion")).alias("shown"))
+    return _labelled(spark, sf_dir).filter("usable" if data.is_whole() else "usable and sample_id = 0").select(*KEY, tx.highlighted(F.col("completion")).alias("shown"))
 
 
 # --- the retired builder ----------------------------------------------------------------

@@ -55,3 +55,29 @@ def test_whole_text_reaches_the_predicates(spark, small):
     assert sum(cut[k] != want[k] for k in want) > 200
     rate = {r["model_tag"]: r["non_latin_rate"] for r in catalog.queries()["whole_quality_by_model"](spark, at).collect()}
     assert rate["base"] == pytest.approx(sum(bool(re.search(tx.NON_LATIN, r["completion"])) for r in made if r["model_tag"] == "base") / len(texts))
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("many"))
+    spark.range(1350).selectExpr("id as doc_id", "'The shop was quiet.' as text").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def usable(spark, many):
+    with data.whole():
+        return data.labelled(spark, many).filter("usable").collect()
+
+
+def test_whole_tables_take_all_samples(spark, many, usable):
+    ask = lambda name: catalog.queries()[name](spark, many).collect()
+    shown = {(r["model_tag"], r["occupation"]): r["shown"] for r in ask("whole_occupation_table")}
+    for (tag, occupation), text in shown.items():
+        own = [r["gender"] == "female" for r in usable if (r["model_tag"], r["occupation"]) == (tag, occupation)]
+        assert abs(float(text) - sum(own) / len(own)) <= 0.005 + 1e-9
+    assert len(ask("whole_highlighted_texts")) == len(usable)
+    half = [r for r in usable if r["model_tag"] == "base" and r["split"] == r["template_split"] == "train" and r["sample_id"] < 8]
+    got = {r["occupation"]: r["n"] for r in ask("whole_calibration")}
+    assert max(r["sample_id"] for r in usable) == 8 and sum(got.values()) == len(half)
+    assert all(n == sum(r["occupation"] == o for r in half) for o, n in got.items())
