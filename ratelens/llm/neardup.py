@@ -5,7 +5,8 @@ ProbMinHash signature every shingle is a Poisson process whose rate is its weigh
 the shingle's hash alone, each fall on one of the signature's components, which keeps the first arrival of
 all. Two documents agree in a component with a probability equal to the probability Jaccard similarity of
 their weighted sets. Shingles whose next arrival comes later than every component's first are done, so few
-arrivals are made. With weights of one, probability Jaccard is plain Jaccard.
+arrivals are made. With weights of one, the default, probability Jaccard is plain Jaccard, which is what is
+verified; by counts, texts that differ in how often they repeat a passage would seldom share a band.
 
 Texts with equal words are one class member before anything else. Signatures are banded; in each bucket
 every member is compared with the bucket's least member, and links of similarity ``threshold`` or more
@@ -154,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "count", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "binary", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
     """doc_id and class_id of each row: class_id is the least doc_id of its class."""
     small_batches(docs.sparkSession, 1024)
     sketch = written(sketched(docs, key, text, weights, bands, rows, k), "sketches")

@@ -105,6 +105,21 @@ def test_near_dedup_against_all_pairs(spark, weights, monkeypatch):
     assert neardup.classes(df.filter("false")).count() == 0
 
 
+def repeated_passages():
+    """20 pairs (2 i, 2 i + 1); the second repeats a passage of the first 50 more times."""
+    rows = []
+    for i in range(20):
+        rng = random.Random(i)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:60] + words[35:60] * 50 + words[60:]))]
+    return rows
+
+
+def test_near_dedup_finds_copies_that_repeat_a_passage(spark):
+    got = neardup.classes(spark.createDataFrame(repeated_passages(), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = {i: rng.integers(1, 5) for i in range(0, 200)}, {i: rng.integers(1, 5) for i in range(60, 260)}
