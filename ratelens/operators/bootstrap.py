@@ -2,9 +2,9 @@
 
 Outcomes are 0/1, so resampling n texts of which f are hits is one binomial draw: only counts per model, cell
 and occupation are needed, never texts. Draws are keyed by md5, so a replicate doesn't depend on the order of
-rows, and two models of one comparison can share the draw of occupations. A binomial of up to ``EXACT`` trials
-is drawn trial by trial within a row; above, its normal approximation is drawn, so the work is the number of
-replicates and slots whatever the number of texts.
+rows, and two models of one comparison can share the draw of occupations. Every binomial is drawn trial by
+trial, in rows of ``BLOCK`` trials, so the work is the number of replicates times the number of texts. A trial is
+a draw of 32 bits modulo n: its chance is off by less than n / 2**32.
 """
 
 from __future__ import annotations
@@ -15,18 +15,24 @@ from pyspark.sql import functions as F
 from ratelens.functions.rng import draw
 from ratelens.operators import dims
 
+#: The given SQL draws up to EXACT trials one by one, and more by a normal approximation.
 EXACT = 400
+BLOCK = 4096
 LEAST_TEXTS = 30
 
 
-def binomial(n: Column, f: Column, *key: Column | str | int) -> Column:
-    """A draw from Binomial(n, f / n)."""
-    trials = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0).cast("long"), lambda s, i: s + (draw(*key, i) % n < f).cast("long"))
-    uniform = lambda what: (draw(*key, what) + 1.0) / 4294967297.0
-    normal = F.sqrt(-2.0 * F.log(uniform("u"))) * F.cos(6.283185307179586 * uniform("v"))
-    p = f / n
-    approximate = F.least(F.greatest(F.floor(n * p + F.sqrt(n * p * (1 - p)) * normal + 0.5), F.lit(0)), n)
-    return F.when(n <= EXACT, trials).otherwise(approximate).cast("long")
+def binomial(n: Column, f: Column, *key: Column | str | int, first: Column | None = None, last: Column | None = None) -> Column:
+    """A draw from Binomial(n, f / n), or the hits among its trials first to last."""
+    trials = F.sequence(F.lit(1).cast("long") if first is None else first, n if last is None else last)
+    return F.aggregate(trials, F.lit(0).cast("long"), lambda s, i: s + (draw(*key, i) % n < f).cast("long"))
+
+
+def resampled(rows: DataFrame, *key: Column | str | int) -> DataFrame:
+    """Each row with columns n and f in blocks of trials: hits are those of the block, n is null but in the first."""
+    blocks = rows.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(BLOCK).cast("long"))))
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the rows are small, what follows is not
+    hits = binomial(F.col("n"), F.col("f"), *key, first=F.col("first"), last=F.least(F.col("first") + BLOCK - 1, F.col("n")))
+    return blocks.withColumn("hits", hits).withColumn("n", F.when(F.col("first") == 1, F.col("n"))).drop("first")
 
 
 def occupation_stats(labelled: DataFrame, cells: DataFrame) -> DataFrame:
@@ -46,9 +52,9 @@ def flat(stats: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Texts resampled on each side. Limits are order statistics int(.025 B) and int(.975 B) - 1, not interpolated."""
     sides = stats.groupBy("model_tag", "cell", "stereotype").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
     reps = sides.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = reps.withColumn("p", binomial(F.col("n"), F.col("f"), seed, "flat", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep")) / F.col("n"))
-    side = lambda s: F.max(F.when(F.col("stereotype") == s, F.col("p")))
-    gaps = drawn.groupBy("model_tag", "cell", "rep").agg((side("female") - side("male")).alias("g"))
+    drawn = resampled(reps, seed, "flat", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep"))
+    side = lambda s, c: F.sum(F.when(F.col("stereotype") == s, F.col(c)))
+    gaps = drawn.groupBy("model_tag", "cell", "rep").agg((side("female", "hits") / side("female", "n") - side("male", "hits") / side("male", "n")).alias("g"))
     ordered = F.array_sort(F.collect_list("g"))  # replicates of them at most
     low, high = int(0.025 * replicates), int(0.975 * replicates) - 1
     full = F.size(ordered) == replicates
@@ -68,7 +74,7 @@ def replicate_gaps(stats: DataFrame, replicates: int, seed: int) -> DataFrame:
     slots = known.select(*of, "size").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     picks = slots.withColumn("k", (draw(seed, "pick", F.col("cell"), F.col("stereotype"), F.col("rep"), F.col("slot")) % F.col("size")).cast("int")).drop("size")
     drawn = picks.join(known.drop("size"), [*of, "k"]).join(stats, [*of, "occupation"])
-    drawn = drawn.withColumn("hits", binomial(F.col("n"), F.col("f"), seed, "text", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep"), F.col("slot")))
+    drawn = resampled(drawn, seed, "text", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep"), F.col("slot"))
     side = lambda s, c: F.sum(F.when(F.col("stereotype") == s, F.col(c)))
     return drawn.groupBy("unit", "model_tag", "cell", "rep").agg((side("female", "hits") / side("female", "n") - side("male", "hits") / side("male", "n")).alias("gap"))
 

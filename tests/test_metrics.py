@@ -126,3 +126,15 @@ def test_audit_rates(spark):
     sheet = spark.createDataFrame([("y", "n", "y", "Y"), ("n", "y", "y", None)], "single_character_ok string, pronouns_refer_to_holder string, swap_correct string, chosen_fluent string")
     got = {r["verdict"]: (r["yes"], r["n"]) for r in review.audit_rates(sheet).collect()}
     assert got == {"single_character_ok": (1, 2), "pronouns_refer_to_holder": (1, 2), "swap_correct": (2, 2), "chosen_fluent": (1, 1)}
+
+
+def test_large_binomials_are_exact(spark):
+    """Of 9,001 trials of two blocks and more, and of 401 with one hit, whose approximation has a mean of 1.07."""
+    import hashlib
+
+    n, f = 9001, 3
+    rows = spark.range(4).select(F.col("id"), F.lit(n).cast("long").alias("n"), F.lit(f).cast("long").alias("f"))
+    got = {r["id"]: (r["hits"], r["n"]) for r in bootstrap.resampled(rows, 1, F.col("id")).groupBy("id").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
+    assert got == {i: (sum(int(hashlib.md5(f"1|{i}|{k}".encode()).hexdigest()[:8], 16) % n < f for k in range(1, n + 1)), n) for i in range(4)}
+    mean = spark.range(10000).select(bootstrap.binomial(F.lit(401).cast("long"), F.lit(1).cast("long"), 1, F.col("id")).alias("x")).agg(F.avg("x")).first()[0]
+    assert abs(mean - 1) < 0.035
