@@ -42,6 +42,10 @@ def _n_calibration() -> int:
     return pairs.N_CALIBRATION if data.is_whole() else N_CALIBRATION
 
 
+def _boot() -> dict[str, int]:
+    return {} if data.is_whole() else {"replicates": BOOT}
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).filter("model_tag = 'base'")
 
@@ -424,22 +428,22 @@ FROM whole JOIN models USING (unit) LEFT JOIN limits USING (unit, cell)"""
 
 @query(_flat_sql)
 def boot_flat(spark, sf_dir):
-    return bootstrap.flat(bootstrap.occupation_stats(_labelled(spark, sf_dir), dims.cells(spark)), BOOT, SEED)
+    return bootstrap.flat(bootstrap.occupation_stats(_labelled(spark, sf_dir), dims.cells(spark)), seed=SEED, **_boot())
 
 
 @query(lambda: _contrast_sql([(t, t, 1) for t in data.TAGS], (*dims.CELLS, ("all", None, None))))
 def boot_cluster(spark, sf_dir):
-    return bootstrap.cluster(spark, _labelled(spark, sf_dir), data.TAGS, BOOT, SEED)
+    return bootstrap.cluster(spark, _labelled(spark, sf_dir), data.TAGS, seed=SEED, **_boot())
 
 
 @query(lambda: _contrast_sql([("step20-base", "step20", 1), ("step20-base", "base", -1), ("base_4bit-base", "base_4bit", 1), ("base_4bit-base", "base", -1)], dims.PAIRED_CELLS))
 def boot_paired(spark, sf_dir):
-    return bootstrap.paired(spark, _labelled(spark, sf_dir), (("base", "step20"), ("base", "base_4bit")), BOOT, SEED)
+    return bootstrap.paired(spark, _labelled(spark, sf_dir), (("base", "step20"), ("base", "base_4bit")), seed=SEED, **_boot())
 
 
 @query(lambda: _contrast_sql([("interaction", "step10_4bit", 1), ("interaction", "step10", -1), ("interaction", "base_4bit", -1), ("interaction", "base", 1)], (("train_occ|all_tmpl", "train", None),)))
 def boot_interaction(spark, sf_dir):
-    return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", BOOT, SEED)
+    return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", seed=SEED, **_boot())
 
 
 #: Queries that don't read the completions.

@@ -81,3 +81,17 @@ def test_whole_tables_take_all_samples(spark, many, usable):
     got = {r["occupation"]: r["n"] for r in ask("whole_calibration")}
     assert max(r["sample_id"] for r in usable) == 8 and sum(got.values()) == len(half)
     assert all(n == sum(r["occupation"] == o for r in half) for o, n in got.items())
+
+
+def test_whole_bootstraps_run_the_operators_replicates(spark, many, monkeypatch):
+    from ratelens.operators import bootstrap
+
+    seen = []
+    sequences = lambda lo, hi, step=None: seen.append(str(hi)) or (plain_sequence(lo, hi) if step is None else plain_sequence(lo, hi, step))
+    plain_sequence = bootstrap.F.sequence
+    monkeypatch.setattr(bootstrap.F, "sequence", sequences)
+    for name, last in (("boot_flat", 999), ("boot_cluster", 1999), ("boot_paired", 1999), ("boot_interaction", 1999)):
+        for own, want in ((name, 199), (f"whole_{name}", last)):
+            seen.clear()
+            catalog.queries()[own](spark, many)
+            assert f"Column<'{want}'>" in seen
