@@ -4,7 +4,7 @@ Base spans come from three fixed patterns (assigned values, access keys, long he
 spans: every run of 16 or more token characters that touches no base span is scored by the log-likelihood
 ratio of two first-order Markov models over characters, one of random strings and one of ordinary
 identifiers; it is a ``markov`` span where the ratio outweighs the prior odds of a secret. The models are
-trained from labelled samples: runs of a bounded sample of at most ``max_docs`` documents, labelled
+trained from labelled samples: all runs of a bounded sample of at most ``max_docs`` documents, labelled
 random where they are values of base spans and ordinary elsewhere, and random strings drawn with a fixed
 seed over the usual alphabets, which also serve where the sample has few. Half of the ordinary runs set
 the least ratio so that at most one in a thousand passes. Ordinary runs also serve in capitals.
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", max_docs: int
         out = []
         for text in t.to_pylist():
             base = base_spans(text)
-            out.append({"random": [v for v in (text[a:e] for _, _, e, a in base) if RUN.fullmatch(v)], "ordinary": sorted({m[0] for m in rest_runs(text, base)})[:200]})
+            out.append({"random": [v for v in (text[a:e] for _, _, e, a in base) if RUN.fullmatch(v)], "ordinary": sorted({m[0] for m in rest_runs(text, base)})})
         return pa.array(out, pa.struct([("random", pa.list_(pa.string())), ("ordinary", pa.list_(pa.string()))]))
 
     got = some.select("k", labelled("t").alias("r")).select("k", "r.*").orderBy("k").limit(max_docs).collect()

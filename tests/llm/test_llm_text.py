@@ -168,6 +168,14 @@ def contamination(text, items, window=13):
     return len(words), len(hit), sorted(held)
 
 
+def test_all_ordinary_runs_of_a_document_train(spark, monkeypatch):
+    runs = {f"{c}{i:03d}-ordinary-identifier" for c in "Az" for i in range(150)}
+    seen = []
+    monkeypatch.setattr(secretscan, "train", lambda random, ordinary: seen.extend(ordinary))
+    secretscan.fit(spark.createDataFrame([(1, " ".join(sorted(runs)))], "doc_id long, text string"))
+    assert set(seen) == runs
+
+
 @pytest.mark.parametrize("block", [500_000, 40])  # one block, and many
 def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(7)
