@@ -10,9 +10,10 @@ out as the next shorter context does. Text ends with an end byte (0xFF, which UT
 begins after ``DEPTH`` of them. The score is the log10 probability of the whole text, with its end;
 ``bits_per_byte`` is its code length.
 
-Counts of all training texts are summed over the cluster. Workers get a model of bounded size: if longest
-contexts have more than ``max_pairs`` (context, byte) pairs, the contexts seen fewest times are left to
-their shorter suffixes; all their data still counts there.
+Counts of all training texts are summed over the cluster, and all contexts are in the model: its size, and
+the memory of the driver that trains it and of the workers that score with it, grow with the distinct (context,
+byte) pairs of the text. Callers that must bound it can give ``max_pairs``: of longest contexts with more pairs,
+those seen fewest times are left to their shorter suffixes; all their data still counts there.
 
 The base score needs the count of every word. Words are 64-bit hashes. A task counts the words of chunks of
 texts and writes each chunk's distinct words with their training counts, cut evenly by hash into ranges,
@@ -254,8 +255,8 @@ def train(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", max_pairs: int = 4_000_000) -> Model:
-    """A model of all texts, with at most max_pairs pairs of the longest contexts."""
+def fit(docs: DataFrame, text: str = "text", max_pairs: int | None = None) -> Model:
+    """A model of all texts and all contexts, or with at most max_pairs pairs of the longest contexts."""
     small_batches(docs.sparkSession, 1024)
     table = written(gram_counts(docs, text), "grams")
     levels: list[tuple[np.ndarray, np.ndarray]] = []
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, text: str = "text", max_pairs: int = 4_000_000) -> Mode
         mask = F.lit((1 << 8 * (d + 1)) - 1)
         full = full.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")) if d < DEPTH else full
         part = full
-        if d >= 3:  # shorter contexts have a bound of their own: 256 ** 3 pairs at most, far fewer in text
+        if max_pairs is not None and d >= 3:  # shorter contexts have a bound of their own: 256 ** 3 pairs at most, far fewer in text
             of = full.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("pairs"))
             by = {r["size"]: r["pairs"] for r in of.groupBy(F.floor(F.log2("all")).cast("int").alias("size")).agg(F.sum("pairs").alias("pairs")).collect()}
             total, least = 0, 0

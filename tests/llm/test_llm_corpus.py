@@ -268,6 +268,13 @@ def test_model_of_bounded_size(spark, small_corpus):
     assert np.exp(model.score(key)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_model_keeps_all_contexts(spark, monkeypatch):
+    n = 4_100_000  # pairs at each of the depths 2 to 5
+    monkeypatch.setattr(lmscore, "gram_counts", lambda docs, text: docs.selectExpr("id as key", "1L as n"))
+    monkeypatch.setattr(lmscore, "train", lambda levels: [len(k) for k, _ in levels])
+    assert lmscore.fit(spark.range(n))[2:] == [n] * 4
+
+
 def test_scores_without_training_rows(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     model = lmscore.fit(df.filter("false"))
