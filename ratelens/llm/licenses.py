@@ -53,6 +53,23 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
 )
+#: Standard headers and first paragraphs, worded as published, with those that tell versions apart. Paragraphs that several licenses share are left out.
+_FSF = "This %s is free software%s you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version."
+STANDARD: tuple[tuple[str, str], ...] = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-2.0", _FSF % ("program", ";", "General Public License", ";", "2")),
+    ("GPL-3.0", _FSF % ("program", ":", "General Public License", ",", "3")),
+    ("LGPL-2.1", _FSF % ("library", ";", "Lesser General Public License", ";", "2.1")),
+    ("LGPL-3.0", _FSF % ("library", ":", "Lesser General Public License", ",", "3")),
+    ("LGPL-3.0", _FSF % ("program", ":", "Lesser General Public License", ",", "3")),
+    ("AGPL-3.0", _FSF % ("program", ":", "Affero General Public License", ",", "3")),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
 THRESHOLD = 0.8
 #: What separates words, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -37,7 +37,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_scan.*")
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.TEMPLATES + licenses.STANDARD).select("doc_id", "license_scan.*")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

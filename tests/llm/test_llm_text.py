@@ -132,6 +132,21 @@ def test_licenses_against_brute_force(spark):
         assert got[i]["best_license"] == (min(found)[1] if found else None)
 
 
+def test_standard_notices_have_their_own_names(spark, tmp_path):
+    from ratelens.llm import queries
+
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:'
+    new = gpl.replace("version 2", "version 3")
+    texts = {"GPL-2.0": gpl, "GPL-3.0": new, "AGPL-3.0": new.replace("GNU General", "GNU Affero General"), "LGPL-3.0": new.replace("GNU General", "GNU Lesser General"), "MIT": mit}
+    spark.createDataFrame([(i, f"Copyright\n\n{t}\n\nmore") for i, t in enumerate(texts.values())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["best_license"] for r in got] == list(texts) and [r["licenses"] for r in got] == list(texts)
+    grams = [licenses.bigrams(t) for _, t in licenses.TEMPLATES + licenses.STANDARD]
+    keys = set(licenses.key_words(grams, licenses.THRESHOLD))
+    assert all(sum(not set(x.split()) & keys for x in g) < len(g) * licenses.THRESHOLD / (2 - licenses.THRESHOLD) for g in grams)
+
+
 def test_secret_base_spans_against_plain_patterns():
     rng = random.Random(4)
     parts = ['password="', "Secret: ", "api_key = ", "APIKEY:", "token=token: abcdef12", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef" * 4, "0123456789abcdef", " ", "x", "ſecret=abcdefgh", "é"]
