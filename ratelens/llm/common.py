@@ -23,9 +23,11 @@ LOWER = UPPER.lower()
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where it is unset, as in tests, a folder of our own in a local session; an error on a cluster, whose executors couldn't read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/ratelens-work"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ratelens-{spark.sparkContext.applicationId}"
@@ -113,8 +115,6 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,17 +126,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _drawn(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A number for each byte at each place of a word, drawn as if at random."""
+    return mix(mix(place.astype(np.uint64) * np.uint64(_P) + np.uint64(1)) + byte.astype(np.uint64) * _M1)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_P, _PINV)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS
+#: The numbers of a word's first places, looked up instead of drawn again.
+_PLACES = 64
+_FIRST = _drawn(np.arange(_PLACES * 256) >> 8, np.arange(_PLACES * 256) & 255)
 
 
 def word_table(pattern_bytes: bytes, lower: bool = True) -> np.ndarray:
@@ -154,11 +151,12 @@ NONSPACE = word_table(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 1
 NONSPACE[0] = 255
 
 
-def words_of(raw: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, table: np.ndarray, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word among raw bytes, in order.
 
-    The caller puts a separator between texts. A word's hash depends on its mapped bytes only. Work
-    arrays hold one step, cut between words.
+    The caller puts a separator between texts. A word's hash depends on its mapped bytes only: it is the
+    sum of numbers drawn for each byte at its place, so no repetition or symmetry of a word makes hashes
+    meet, as it does for powers of a base. Work arrays hold one step, cut between words.
     """
     starts, ends, hashes = [], [], []
     at, n = 0, len(raw)
@@ -177,10 +175,14 @@ def words_of(raw: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> tuple[n
         edge = np.diff(inside)
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(s):
-            power, inverse = _powers(len(part) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power[: len(part)])])
-            h = (sums[e] - sums[s]) * inverse[s]
-            hashes.append(mix(h + (e - s).astype(np.uint64) * _M2))
+            size = e - s
+            own = part[part != 0]
+            first = np.cumsum(size) - size
+            place = np.arange(len(own)) - np.repeat(first, size)
+            number = _FIRST[(np.minimum(place, _PLACES - 1) << 8) + own]
+            late = np.flatnonzero(place >= _PLACES)
+            number[late] = _drawn(place[late], own[late])
+            hashes.append(mix(np.add.reduceat(number, first) + size.astype(np.uint64) * _M2))
             starts.append(s + at)
             ends.append(e + at)
         at = to
@@ -189,13 +191,28 @@ def words_of(raw: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> tuple[n
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
+def same_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether the bytes raw[start:end] of each word are other[at:to], whole."""
+    size = end - start
+    ok = size == to - at
+    live = np.flatnonzero(ok)
+    if len(live):
+        n = size[live]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        equal = raw[np.repeat(start[live], n) + step] == other[np.repeat(at[live], n) + step]
+        ok[live] = np.logical_and.reduceat(np.append(equal, True), first) & (n > 0) | (n == 0)
+    return ok
+
+
 def apart(raw: np.ndarray, offsets: np.ndarray, gap: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of several texts with one separator after each, and their new offsets."""
     n = len(offsets) - 1
-    out = np.full(len(raw) + n, gap, np.uint8)
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    out[np.arange(len(raw)) + text] = raw
-    return out, offsets + np.arange(n + 1)
+    ends = offsets + np.arange(n + 1)
+    out, own = np.full(len(raw) + n, gap, np.uint8), np.ones(len(raw) + n, bool)
+    own[ends[1:] - 1] = False
+    out[own] = raw
+    return out, ends
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

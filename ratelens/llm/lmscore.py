@@ -4,33 +4,37 @@ Every byte is eight binary decisions; each has a tree of contexts, the preceding
 every node holds Krichevsky-Trofimov counts of zeros and ones. A node's weighted probability is half its
 own estimate of all its data and half the product of its children's; the posterior share of its own
 estimate follows bottom-up from the counts alone, so counts can be gathered in any order by any number of
-tasks. A byte's probability is the product over its bits of the estimates of all depths on its path, mixed
-by these shares. A byte never seen after a context takes what that context's mixture leaves over, shared
-out as the next shorter context does. Text ends with an end byte (0xFF, which UTF-8 never holds), and
-begins after ``DEPTH`` of them. The score is the log10 probability of the whole text, with its end;
-``bits_per_byte`` is its code length.
-
-Counts of all training texts are summed over the cluster, and all contexts are in the model: its size, and
-the memory of the driver that trains it and of the workers that score with it, grow with the distinct (context,
-byte) pairs of the text. Callers that must bound it can give ``max_pairs``: of longest contexts with more pairs,
-those seen fewest times are left to their shorter suffixes; all their data still counts there.
-
-The base score needs the count of every word. Words are 64-bit hashes. A task counts the words of chunks of
-texts and writes each chunk's distinct words with their training counts, cut evenly by hash into ranges,
-and the words of each text as places among them. A range's chunks meet, are summed, and send the totals
-back to the chunks. A frequent word is one entry of a chunk however many texts hold it, so no group is hot.
+tasks. A bit's probability is the sum over the nodes of its path of their estimates, mixed by these shares;
+a node never seen in training has the estimate one half, as the method has it. Text ends with an end byte
+(0xFF, which UTF-8 never holds), and begins after ``DEPTH`` of them. The score is the log10 probability of
+the whole text, with its end; ``bits_per_byte`` is its code length.
+
+Nothing holds the whole model, and all contexts are in it:
+
+* A task cuts texts into chunks of about ``CHUNK`` bytes. Of each chunk's distinct grams (context and byte)
+  and distinct words it writes the keys with their training counts, dealt by hash into shards, as rows of
+  packed numbers. A shard is asked by a chunk at most once, a frequent gram or word is one entry of a chunk
+  however often it occurs, and only shards that a chunk has keys for get a row, so rows grow with the input.
+* A shard sums its grams' counts. Grams that share their last ``SPLIT`` context bytes then meet, at most
+  256 ** 3 by the lengths of the keys, and work out their subtrees; the nodes of ``SPLIT`` bytes are summed
+  over the nodes of two, and those over the at most 65,280 nodes of one byte, which the driver mixes with the
+  root. Mixtures go down the same way, and each gram gets its probability: also grams seen outside training
+  only, whose counts are zero.
+* Probabilities and word counts return to the chunks that asked, where texts are read again and summed.
+
+The base score needs the count of every word. Words are 64-bit hashes.
 
 Defined results: a null text counts as empty: its score is the end's alone. Rows that repeat a doc_id are
-scored one by one. Without training rows every byte has probability 1/256. Other columns don't matter.
+scored one by one; a null doc_id stays null. Without training rows every byte has probability 1/256, and a
+word's base score is 0. Very long texts are chunks of their own. An empty table gives no rows. Other columns
+don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,67 +42,146 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import NONSPACE, apart, as_bytes, discard, distinct, fold, gathered, mix, slices, small_batches, words_of, written
 
-DEPTH = 5
+DEPTH, SPLIT = 5, 3
 END = 255
-STEP = 1 << 20
+CHUNK, STEP = 8 << 20, 1 << 19
+#: Bytes of text for each shard, and distinct grams for each task that works out subtrees.
+SHARD_BYTES, PART_GRAMS = 32 << 20, 500_000
 #: The end of a text, as a word.
 END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end: the DEPTH bytes before it and itself as one number; and the texts' bounds."""
-    n = len(offsets) - 1
-    pad = DEPTH + 1
-    size = np.diff(offsets)
-    ends = np.concatenate([[0], np.cumsum(size + pad)])
-    out = np.full(ends[-1], END, np.uint8)
-    out[np.arange(len(raw)) + np.repeat(np.arange(n) * pad + DEPTH, size)] = raw
-    # text i: DEPTH ends, its bytes, one end
-    x = out.astype(np.uint64)
-    key = np.zeros(max(0, len(x) - DEPTH), np.uint64)
-    for k in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | x[k : k + len(key)]
-    keep = np.ones(len(key), bool)
-    for k in range(1, pad):
-        cut = ends[1:-1] - k
-        keep[cut[cut < len(key)]] = False
-    return key[keep], np.concatenate([[0], np.cumsum(size + 1)])
+# --- numbers in rows --------------------------------------------------------------------
+
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+# --- grams and words of a chunk ---------------------------------------------------------
+
+
+def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with DEPTH ends before and one after each; and which bytes are a text's or its last end."""
+    ends = np.concatenate([[0], np.cumsum(np.diff(offsets) + DEPTH + 1)])
+    out, own = np.full(ends[-1], END, np.uint8), np.ones(ends[-1], bool)
+    own[(ends[:-1, None] + np.arange(DEPTH)).reshape(-1)] = False
+    own[ends[1:] - 1] = False
+    out[own] = raw
+    own[ends[1:] - 1] = True
+    return out, own
+
+
+def gram_steps(raw: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys, in order, of all bytes and ends: the DEPTH bytes before and the byte itself as one number; and the text of each."""
+    for i, j in slices(np.diff(offsets), step):
+        out, own = padded(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        bounds = np.cumsum(np.diff(offsets[i : j + 1]) + DEPTH + 1)
+        for a in range(DEPTH, len(out), step):
+            b = min(a + step, len(out))
+            x = out[a - DEPTH : b].astype(np.uint64)
+            key = np.zeros(b - a, np.uint64)
+            for k in range(DEPTH + 1):
+                key = (key << np.uint64(8)) | x[k : k + b - a]
+            del x
+            at = np.flatnonzero(own[a:b])
+            yield key[at], i + np.searchsorted(bounds, at + a, "right")
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of n."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[new], np.add.reduceat(n[order], new) if len(new) else n[:0]
 
 
-def gram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """key, n of all (DEPTH bytes, byte) in all texts."""
+def grams_of(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of all texts, and their counts in texts of which train is true."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for key, text in gram_steps(raw, offsets):
+        key = (key << np.uint64(1)) | train[text].astype(np.uint64)
+        key.sort()
+        one = key & np.uint64(1)
+        key >>= np.uint64(1)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        keys.append(key[new])
+        counts.append(np.add.reduceat(one, new) if len(new) else key[:0])
+        if len(keys) == 8:
+            keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, each text's end after its words; and the texts' bounds among them."""
+    part, ends = apart(raw, offsets)
+    s, _, h = words_of(part, NONSPACE)
+    bound = np.searchsorted(s, ends)
+    n = len(offsets) - 1
+    bound = bound + np.arange(n + 1)
+    out, word = np.full(len(h) + n, END_WORD, np.uint64), np.ones(len(h) + n, bool)
+    word[bound[1:] - 1] = False
+    out[word] = h
+    return out, bound
+
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in gathered(it, most=2 << 20):
-            raw, offsets = as_bytes(batch.column("t"))
-            for i, j in slices(np.diff(offsets), 2 * STEP):
-                key, _ = grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                key.sort()
-                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                held.append((key[new], np.diff(np.append(new, len(key)))))
-                size += len(new)
-                if size > 3_000_000:
-                    held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
-                    if len(held[0][0]) > 2_000_000:
-                        yield from rows(*held.pop())
-                    size = sum(len(k) for k, _ in held)
-        if held:
-            yield from rows(*summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])))
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys by shard, the shards that have any, and their bounds in that order."""
+    shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    some, first = np.unique(shard[order], return_index=True)
+    return order, some, np.append(first, len(keys))
 
-    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["key", "n"])
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+CHUNKS = "chunk long, kind string, shard int, tokens long, a binary, b binary"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("shard", pa.int32()), ("tokens", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def chunks(docs: DataFrame, shards: int, key: str, text: str, folds: int, held: int) -> DataFrame:
+    """Rows of CHUNKS: of kind t a chunk's texts, of g and w its grams and words of a shard with their training counts."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get().partitionId(), 0
+        for batch in gathered(it, most=CHUNK):
+            whole, all_offsets = as_bytes(batch.column("t"))
+            for i, j in slices(np.diff(all_offsets), 2 * CHUNK):
+                raw, offsets = whole[all_offsets[i] : all_offsets[j]], all_offsets[i : j + 1] - all_offsets[i]
+                chunk = (task << 32) | turn
+                turn += 1
+                ids = batch.column("k").slice(i, j - i)
+                is_held = np.array(batch.column("h").slice(i, j - i).to_pylist(), bool)
+                tokens, bound = tokens_of(raw, offsets)
+                train = np.repeat(~is_held, np.diff(bound))
+                info = [offsets, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(ids.is_valid().to_pylist(), np.int64), is_held.astype(np.int64)]
+                out = [(chunk, "t", -1, int(train.sum()), pa.compress(raw.tobytes(), "zstd", asbytes=True) if len(raw) else b"", pack(np.concatenate(info).view(np.uint64)))]
+                words, _, number = distinct(tokens)
+                counts = np.bincount(number, train, len(words)).astype(np.uint64)
+                del tokens, number
+                for kind, (keys, n) in (("w", (words, counts)), ("g", grams_of(raw, offsets, ~is_held))):
+                    order, some, first = by_shard(keys, shards)
+                    out += [(chunk, kind, int(s), 0, pack_sorted(keys[order[a:b]]), pack(n[order[a:b]])) for s, a, b in zip(some, first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHUNKS.types, strict=True)], schema=_CHUNKS)
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (fold(key, folds) == held).alias("h"))
+    return rows.mapInArrow(work, CHUNKS)
 
 
 # --- the model --------------------------------------------------------------------------
@@ -115,10 +198,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 _FEW = 4096
 _HALF, _WHOLE = log_gamma(np.arange(_FEW) + 0.5), log_gamma(np.arange(_FEW) + 1.0)
+_LOG_HALF = float(np.log(0.5))
 
 
 def _looked_up(n: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
-    out = table[np.minimum(n, _FEW - 1).astype(np.int32)]
+    out = table[np.minimum(n, _FEW - 1).astype(np.int64)]
     many = np.flatnonzero(n >= _FEW)
     out[many] = log_gamma(n[many] + add)
     return out
@@ -126,288 +210,252 @@ def _looked_up(n: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
 
 def kt_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the KT probability of a zeros and b ones."""
-    out = _looked_up(a, _HALF, 0.5)
-    out += _looked_up(b, _HALF, 0.5)
-    out -= _looked_up(a + b, _WHOLE, 1.0)
-    out -= 1.1447298858494002
-    return out
-
-
-class Table:
-    """A map of 64-bit keys to numbers: sorted by a scrambled key, with an index of its upper bits."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        h = mix(keys)
-        order = np.argsort(h)
-        self.h, self.values = h[order], values[order].astype(np.float32)
-        self.bits = max(1, int(len(keys)).bit_length() - 1)
-        self.start = np.searchsorted(self.h >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are there."""
-        value, there = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        if not len(self.h):
-            return value, there
-        h = mix(keys)
-        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end = self.start[bucket], self.start[bucket + 1]
-        live = np.flatnonzero(at < end)
-        h, at, end = h[live], at[live], end[live]
-        while len(live):
-            hit = self.h[at] == h
-            value[live[hit]] = self.values[at[hit]]
-            there[live[hit]] = True
-            go = ~hit & (at + 1 < end)
-            live, h, at, end = live[go], h[go], at[go] + 1, end[go]
-        return value, there
-
-
-@dataclass
-class Model:
-    """By depth: natural log of a seen byte's probability; log of what a context leaves over against the shorter one."""
-
-    pairs: list[Table] = field(default_factory=list)
-    left: list[Table] = field(default_factory=list)
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each gram's last byte."""
-        out = np.zeros(len(key))
-        live = np.arange(len(key))
-        for d in range(len(self.pairs) - 1, -1, -1):
-            own = key[live] & np.uint64((1 << 8 * (d + 1)) - 1)
-            value, there = self.pairs[d].get(own)
-            out[live] += value
-            live, own = live[~there], own[~there]
-            if not len(live):
-                break
-            out[live] += self.left[d].get(own >> np.uint64(8))[0]  # a context never seen passes all on
-        out[live] += -np.log(256)
-        return out
-
-
-def train(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """A model from the counts (key, n), sorted by key, of each depth's pairs.
-
-    Pairs of a depth may lack contexts that shorter depths count; these shares of the shorter contexts'
-    data are leaves without a name.
-    """
-    model = Model()
-    depth = len(levels)
-    up = []  # of each pair, the place of its pair one depth shorter
-    for d in range(1, depth):
-        up.append(np.searchsorted(levels[d - 1][0], levels[d][0] & np.uint64((1 << 8 * d) - 1)).astype(np.int32))
-    log_p = [np.zeros(len(k)) for k, _ in levels]
-    for bit in range(8):
-        # bottom-up: what each pair needs of its node, in single precision; a depth's counts go when its parent's are done
-        of_node: list[np.ndarray] = [np.zeros(0)] * depth
-        kt: list[np.ndarray] = [np.zeros(0)] * depth
-        own_share: list[np.ndarray] = [np.zeros(0)] * depth
-        below = None
-        for d in range(depth - 1, -1, -1):
-            key, n = levels[d]
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return _looked_up(a, _HALF, 0.5) + _looked_up(b, _HALF, 0.5) - _looked_up(a + b, _WHOLE, 1.0) - 1.1447298858494002
+
+
+def weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Log of the weighted probability of nodes whose children's product has log ``below``."""
+    return _LOG_HALF + np.logaddexp(kt_block(a, b), below)
+
+
+def mixed(m0: np.ndarray, m1: np.ndarray, over: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixture of nodes above, m0 and m1 for either bit with ``over`` left, with these nodes' own estimates."""
+    own = kt_block(a, b)
+    both = np.logaddexp(own, below)
+    part = over * np.exp(own - both) / (a.astype(np.float64) + b + 1)
+    return m0 + part * (a + 0.5), m1 + part * (b + 0.5), over * np.exp(below - both)
+
+
+class Subtrees:
+    """The contexts of SPLIT to DEPTH bytes of some grams, whole below every context of SPLIT bytes they have."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.levels = [summed(key, n.astype(np.int64))]  # from SPLIT bytes to DEPTH
+        self.up: list[np.ndarray] = []
+        for d in range(DEPTH - 1, SPLIT - 1, -1):
+            keys, counts = self.levels[0]
+            short, parent = np.unique(keys & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            total = np.zeros(len(short), np.int64)
+            np.add.at(total, parent, counts)
+            self.levels.insert(0, (short, total))
+            self.up.insert(0, parent)
+
+    def nodes(self, bit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: each gram's node, a place of a gram of each node, and the nodes' a, b and log of their children's product."""
+        out: list[tuple] = []
+        for d in range(len(self.levels) - 1, -1, -1):
+            key, n = self.levels[d]
             node = key >> np.uint64(8 - bit)
             new = np.concatenate([[True], node[1:] != node[:-1]]) if len(node) else np.zeros(0, bool)
-            del node
-            at = np.cumsum(new, dtype=np.int32) - 1
+            at, first = np.cumsum(new) - 1, np.flatnonzero(new)
             one = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            size = int(new.sum())
-            a, b = np.bincount(at, np.where(one, 0, n), size), np.bincount(at, np.where(one, n, 0), size)
-            of_node[d] = at
-            kt[d] = (np.where(one, b[at] + 0.5, a[at] + 0.5) / (a + b + 1)[at]).astype(np.float32)
-            weighted = kt_block(a, b)
-            if below is None:
-                own_share[d] = np.ones(size, np.float32)
-            else:
-                below_weighted, below_a, below_b, first = below
-                parent = at[up[d][first]]
-                children = np.bincount(parent, below_weighted, size)
-                children += kt_block(np.maximum(a - np.bincount(parent, below_a, size), 0), np.maximum(b - np.bincount(parent, below_b, size), 0))
-                own = weighted
-                weighted = np.log(0.5) + np.logaddexp(own, children)
-                own_share[d] = np.exp(np.log(0.5) + own - weighted).astype(np.float32)
-                del children, own, parent
-            below = (weighted, a, b, np.flatnonzero(new).astype(np.int32))
-        del below, weighted, a, b
-        # top-down: p_d = sum_i kt_i share_i prod_{j<i} (1 - share_j), the deepest taking what is left
-        mixed = over = None
-        for d in range(depth):
-            if d == 0:
-                mixed, over = np.zeros(len(of_node[d])), np.ones(len(of_node[d]))
+            a, b = (np.add.reduceat(np.where(x, n, 0), first) if len(first) else n[:0] for x in (~one, one))
+            if out:
+                _, below_first, *of = out[0]
+                below = np.bincount(at[self.up[d][below_first]], weighted(*of), len(first)).astype(np.float64)
             else:
-                mixed, over = mixed[up[d - 1]], over[up[d - 1]]
-            log_p[d] += np.log(mixed + over * kt[d])
-            share = own_share[d][of_node[d]]
-            mixed += over * share * kt[d]
-            over *= 1 - share
-    for d, (key, _) in enumerate(levels):
-        context = key >> np.uint64(8)
-        new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
-        p = np.exp(log_p[d])
-        spare = 1 - np.add.reduceat(p, new) if len(new) else p[:0]
-        if d:
-            shorter = 1 - np.add.reduceat(np.exp(log_p[d - 1])[up[d - 1]], new) if len(new) else p[:0]
-        else:
-            counted = np.diff(np.append(new, len(key)))
-            shorter = 1 - counted / 256
-        left = np.log(np.maximum(spare, 1e-12)) - np.log(np.maximum(shorter, 1e-12))
-        model.pairs.append(Table(key, log_p[d]))
-        model.left.append(Table(context[new], left))
-    return model
-
-
-def fit(docs: DataFrame, text: str = "text", max_pairs: int | None = None) -> Model:
-    """A model of all texts and all contexts, or with at most max_pairs pairs of the longest contexts."""
-    small_batches(docs.sparkSession, 1024)
-    table = written(gram_counts(docs, text), "grams")
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    full = table
-    for d in range(DEPTH, -1, -1):
-        mask = F.lit((1 << 8 * (d + 1)) - 1)
-        full = full.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")) if d < DEPTH else full
-        part = full
-        if max_pairs is not None and d >= 3:  # shorter contexts have a bound of their own: 256 ** 3 pairs at most, far fewer in text
-            of = full.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("pairs"))
-            by = {r["size"]: r["pairs"] for r in of.groupBy(F.floor(F.log2("all")).cast("int").alias("size")).agg(F.sum("pairs").alias("pairs")).collect()}
-            total, least = 0, 0
-            for size in sorted(by, reverse=True):
-                total += by[size]
-                if total > max_pairs:
-                    least = size + 1
-                    break
-            if least:
-                part = full.join(of.filter(F.col("all") >= 1 << least).select("context"), F.shiftright("key", 8) == F.col("context"), "left_semi")
-        got = part.select("key", "n").toArrow()
-        key, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy().astype(np.float32)  # shares of estimates need no more
-        del got
+                below = kt_block(a, b)  # leaves: their own estimate alone
+            out.insert(0, (at, first, a, b, below))
+        return out
+
+    def top(self) -> dict[str, np.ndarray]:
+        """node, a, b and log of the weighted probability of all nodes of SPLIT bytes."""
+        held: list[tuple] = []
+        for bit in range(8):
+            _, first, a, b, below = self.nodes(bit)[0]
+            key = self.levels[0][0][first]
+            held.append((node_of(key, bit), a, b, weighted(a, b, below)))
+        return dict(zip(("node", "a", "b", "lw"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+
+    def log_p(self, node: np.ndarray, m0: np.ndarray, m1: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grams and the natural log of their probabilities, given the mixtures above every node of SPLIT bytes."""
+        order = np.argsort(node)
+        node, m0, m1, over = node[order], m0[order], m1[order], over[order]
+        out = np.zeros(len(self.levels[-1][0]))
+        for bit in range(8):
+            state: tuple = ()
+            for d, (at, first, a, b, below) in enumerate(self.nodes(bit)):
+                key = self.levels[d][0]
+                if d == 0:
+                    place = np.searchsorted(node, node_of(key[first], bit))
+                    state = m0[place], m1[place], over[place]
+                else:
+                    parent = last[self.up[d - 1][first]]
+                    state = tuple(x[parent] for x in state)
+                state = mixed(*state, a, b, below) if d < DEPTH - SPLIT else leaves(*state, a, b)
+                last = at
+            one = ((self.levels[-1][0] >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            out += np.log(np.where(one, state[1][last], state[0][last]))
+        return self.levels[-1][0], out
+
+
+def leaves(m0: np.ndarray, m1: np.ndarray, over: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixture with the deepest nodes, which take all that is left."""
+    part = over / (a.astype(np.float64) + b + 1)
+    return m0 + part * (a + 0.5), m1 + part * (b + 0.5), np.zeros(len(a))
+
+
+def node_of(key: np.ndarray, bit: int) -> np.ndarray:
+    """The node of a gram at a bit: its context, then a one and the bits before."""
+    sym = key & np.uint64(255)
+    return ((key & ~np.uint64(255)) | np.uint64(1 << bit) | (sym >> np.uint64(8 - bit))).astype(np.int64)
+
+
+def shorter(node: str, context: int):
+    """The same node with that many bytes of context."""
+    return F.col(node).bitwiseAND(F.lit((1 << 8 * (context + 1)) - 1))
+
+
+def root_mixtures(rows: pa.Table) -> pa.Table:
+    """node, m0, m1, over of every node of one byte, from its a, b and log of its children's product."""
+    node, a, b, below = (rows[c].to_numpy() for c in ("node", "a", "b", "below"))
+    last = node & 255
+    a0, b0, below0 = (np.bincount(last, x, 256).astype(np.float64) for x in (a, b, weighted(a, b, below)))
+    top = mixed(np.zeros(256), np.zeros(256), np.ones(256), a0, b0, below0)
+    m0, m1, over = mixed(*(x[last] for x in top), a, b, below)
+    return pa.table({"node": node, "m0": m0, "m1": m1, "over": over})
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """key, shard and log_p of each row (key, n, shard), by the tree of the counts n."""
+    spark = counts.sparkSession
+    grams = counts.agg(F.count(F.lit(1))).first()[0]
+    parts = max(1, -(-grams // PART_GRAMS))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
+    counts = counts.withColumn("part", F.pmod(F.xxhash64(context), F.lit(parts)))
+
+    def up(rows: pa.Table) -> pa.Table:
+        top = Subtrees(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()).top()
+        return pa.table({"part": pa.array(np.full(len(top["node"]), rows["part"][0].as_py(), np.int64)), **top})
+
+    def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weighted(*_numbers(batch, "a", "b", "below")))], [*batch.schema.names, "lw"])
+
+    def down(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = mixed(*_numbers(batch, "m0", "m1", "over", "a", "b", "below"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, out)], ["node", "m0", "m1", "over"])
+
+    def finish(grams: pa.Table, states: pa.Table) -> pa.Table:
+        key = grams["key"].to_numpy().view(np.uint64)
         order = np.argsort(key)
-        levels.insert(0, (key[order], n[order]))
-    discard(table)
-    for d in range(1, len(levels)):  # a pair is kept only with its shorter one
-        short = levels[d - 1][0]
-        own = levels[d][0] & np.uint64((1 << 8 * d) - 1)
-        ok = short[np.minimum(np.searchsorted(short, own), len(short) - 1)] == own if len(short) else np.zeros(len(own), bool)
-        levels[d] = (levels[d][0][ok], levels[d][1][ok])
-    return train(levels)
+        _, log_p = Subtrees(key, grams["n"].to_numpy()).log_p(*(states[c].to_numpy() for c in ("node", "m0", "m1", "over")))
+        return pa.table({"key": key[order].view(np.int64), "shard": grams["shard"].to_numpy()[order], "log_p": log_p})
+
+    sums = (F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
+    three = written(counts.groupBy("part").applyInArrow(up, "part long, node long, a long, b long, lw double"), "nodes-3")
+    two = three.groupBy(shorter("node", 2).alias("node")).agg(*sums)
+    two = written(two.mapInArrow(weigh, "node long, a long, b long, below double, lw double"), "nodes-2")
+    one = two.groupBy(shorter("node", 1).alias("node")).agg(*sums).toArrow()  # 256 contexts of 255 nodes at most
+    root = spark.createDataFrame(root_mixtures(one).to_pandas(), "node long, m0 double, m1 double, over double")
+    states = two.join(F.broadcast(root.withColumnRenamed("node", "parent")), shorter("node", 1) == F.col("parent")).drop("parent", "lw")
+    states = written(states.mapInArrow(down, "node long, m0 double, m1 double, over double"), "states-2")
+    above = three.select("part", "node").join(states.withColumnRenamed("node", "parent"), shorter("node", 2) == F.col("parent")).drop("parent")
+    out = written(counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(finish, "key long, shard int, log_p double"), "probabilities")
+    discard(three, two, states)
+    return out
 
 
 # --- scores -----------------------------------------------------------------------------
 
-CHUNK_SCHEMA = "chunk long, range int, keys binary, counts binary, ids binary, valid binary, held binary, tokens binary, texts binary, places binary, times binary, scores binary, size binary"
-
-
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes, which compress where numbers are small."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+REPLIES = "chunk long, kind string, shard int, known long, values binary"
 
 
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+def gram_counts(rows: pa.Table) -> pa.Table:
+    """One shard's distinct grams with the sums of their counts."""
+    keys, n = (np.concatenate([f(x.as_py()) for x in rows[c]]) for f, c in ((unpack_sorted, "a"), (unpack, "b")))
+    key, total = summed(keys, n)
+    return pa.table({"key": key.view(np.int64), "n": total.view(np.int64), "shard": pa.array(np.full(len(key), rows["shard"][0].as_py(), np.int32))})
 
 
-def chunks(docs: DataFrame, model: Model, ranges: int, key: str, text: str, folds: int, held: int) -> DataFrame:
-    """Rows of CHUNK_SCHEMA: of range -1 the texts of a chunk, of the others its distinct words by range."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _replies(rows: pa.Table, kind: str, known: int, values: Iterator[bytes]) -> pa.Table:
+    n = rows.num_rows
+    return pa.table({"chunk": rows["chunk"].combine_chunks(), "kind": pa.array([kind] * n), "shard": rows["shard"].combine_chunks(), "known": pa.array([known, *[0] * (n - 1)], pa.int64()), "values": pa.array(list(values), pa.binary())})
 
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, turn = shared.value, TaskContext.get().partitionId(), 0
-        names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        for batch in gathered(it, most=4 << 20):
-            raw, offsets = as_bytes(batch.column("t"))
-            n = len(offsets) - 1
-            score, size = np.zeros(n), np.diff(offsets)
-            for i, j in slices(size, STEP // 2):
-                grams_, bound = grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                p = np.concatenate([model.score(grams_[a : a + STEP // 2]) for a in range(0, len(grams_), STEP // 2)])
-                score[i:j] = np.add.reduceat(p, bound[:-1]) / np.log(10)
-            part, ends = apart(raw, offsets)
-            s, _, h = words_of(part, NONSPACE)
-            count = np.diff(np.searchsorted(s, ends))
-            text_of = np.repeat(np.arange(n), count)
-            is_held = np.array(batch.column("h").to_pylist(), bool)
-            words, _, number = distinct(np.concatenate([h, np.full(min(n, 1), END_WORD)]))
-            end_number = int(number[-1]) if n else 0
-            number = np.concatenate([number[: len(h)], np.full(n, end_number)])
-            text_of = np.concatenate([text_of, np.arange(n)])
-            train_n = np.bincount(number, ~is_held[text_of], len(words)).astype(np.int64)
-            # (text, word) pairs with their times
-            pair = text_of * max(len(words), 1) + number
-            pair.sort()
-            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(pair)))
-            who, place = pair[new] // max(len(words), 1), pair[new] % max(len(words), 1)
-            step = np.diff(place, prepend=0)
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            step[first] = place[first]
-            chunk = (task << 32) | turn
-            turn += 1
-            ids = batch.column("k")
-            valid = np.array([x is not None for x in ids.to_pylist()], bool)
-            yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"chunk": chunk, "range": -1, "ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "valid": valid.tobytes(), "held": is_held.tobytes(), "tokens": planes(count + 1), "texts": planes(np.bincount(who, minlength=n)), "places": planes(step), "times": planes(times), "scores": score.tobytes(), "size": size.astype(np.int64).tobytes()}], CHUNKS)
-            cut = np.searchsorted(words, np.array([((r << 64) // ranges) for r in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
-            bound = np.concatenate([[0], cut, [len(words)]])
-            for r in range(ranges):
-                own = slice(bound[r], bound[r + 1])
-                yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"chunk": chunk, "range": r, "keys": words[own].tobytes(), "counts": planes(train_n[own])}], CHUNKS)
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (fold(key, folds) == held).alias("h"))
-    return rows.mapInArrow(work, CHUNK_SCHEMA)
+def gram_replies(rows: pa.Table, model: pa.Table) -> pa.Table:
+    """One shard: to each chunk the log probabilities of its grams, in the order of its keys."""
+    key, log_p = model["key"].to_numpy().view(np.uint64), model["log_p"].to_numpy()
+    order = np.argsort(key)
+    key, log_p = key[order], log_p[order].astype("<f4")
+    return _replies(rows, "g", 0, (log_p[np.searchsorted(key, unpack_sorted(x.as_py()))].tobytes() for x in rows["a"]))
 
 
-CHUNKS = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "ids", "valid", "held", "tokens", "texts", "places", "times", "scores", "size"))])
+def word_replies(rows: pa.Table) -> pa.Table:
+    """One shard: to each chunk the training counts of its words; the first row tells how many words have one."""
+    held = [unpack_sorted(x.as_py()) for x in rows["a"]]
+    key, total = summed(np.concatenate(held), np.concatenate([unpack(x.as_py()) for x in rows["b"]]))
+    return _replies(rows, "w", int((total > 0).sum()), (pack(total[np.searchsorted(key, x)]) for x in held))
 
 
-def totals(rows: pd.DataFrame) -> pd.DataFrame:
-    """One range: each chunk's words get the training counts of all chunks. chunk -1 tells how many have one."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    all_keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    words, _, number = distinct(all_keys)
-    total = np.bincount(number, np.concatenate([unplanes(c) for c in rows["counts"]]), len(words)).astype(np.int64)
-    back = total[number]
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    out = [(int(c), int(r), planes(np.minimum(x, (1 << 32) - 1)), planes(x >> 32), 0) for c, r, x in zip(rows["chunk"], rows["range"], np.split(back, cut), strict=True)]
-    return pd.DataFrame([*out, (-1, int(rows["range"].iloc[0]), b"", b"", int((total > 0).sum()))], columns=["chunk", "range", "low", "high", "known"])
+def values_of(keys: np.ndarray, shards: int, replies: dict[int, bytes], read) -> np.ndarray:
+    """The replies' values, in the order of the keys."""
+    order, some, _ = by_shard(keys, shards)
+    got = np.concatenate([read(replies[int(s)]) for s in some]) if len(some) else read(pack(keys[:0]))
+    out = np.empty(len(keys), got.dtype)
+    out[order] = got
+    return out
 
 
-RESULT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+RESULTS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, range_bytes: int = 32 << 20) -> DataFrame:
-    """RESULT_SCHEMA of each row; the base counts words of rows outside the held-out fold."""
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """RESULTS of each row, by a model of the rows outside the held-out fold: those whose crc32 of the key, modulo folds, isn't held."""
     small_batches(docs.sparkSession, 1024)
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(1, -(-whole // range_bytes))
-    parts = written(chunks(docs, model, int(ranges), key, text, folds, held), "chunks")
-    back = written(parts.filter("range >= 0").select("chunk", "range", "keys", "counts").groupBy("range").applyInPandas(totals, "chunk long, range int, low binary, high binary, known long"), "totals")
-    distinct_words = back.filter("chunk = -1").agg(F.sum("known")).first()[0] or 0
-
-    @F.arrow_udf("long")
-    def trained(tokens: pa.Array, held_out: pa.Array) -> pa.Array:
-        return pa.array([int(unplanes(t)[~np.frombuffer(h, bool)].sum()) for t, h in zip(tokens.to_pylist(), held_out.to_pylist(), strict=True)], pa.int64())
-
-    n_train = parts.filter("range = -1").select(trained("tokens", "held").alias("n")).agg(F.sum("n")).first()[0] or 0
+    shards = int(max(1, -(-whole // shard_bytes)))
+    parts = written(chunks(docs, shards, key, text, folds, held), "chunks")
+    asked = parts.filter("kind = 'g'").select("chunk", "shard", "a", "b")
+    counts = written(asked.groupBy("shard").applyInArrow(gram_counts, "key long, n long, shard int"), "gram-counts")
+    model = probabilities(counts)
+    grams = asked.select("chunk", "shard", "a").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(gram_replies, REPLIES)
+    words = parts.filter("kind = 'w'").select("chunk", "shard", "a", "b").groupBy("shard").applyInArrow(word_replies, REPLIES)
+    replies = written(grams.unionByName(words), "replies")
+    discard(counts, model)
+    n_train = parts.filter("kind = 't'").agg(F.sum("tokens")).first()[0] or 0
+    distinct_words = replies.agg(F.sum("known")).first()[0] or 0
     log_all = float(np.log10(n_train + distinct_words + 1))
 
-    def results(rows: pd.DataFrame) -> pd.DataFrame:
-        info = rows[rows["range"] == -1].iloc[0]
-        c = rows[rows["range"] >= 0].sort_values("range")
-        count = np.concatenate([unplanes(a) + (unplanes(b) << 32) for a, b in zip(c["low"], c["high"], strict=True)])
-        per_text, step, times = unplanes(info["texts"]), unplanes(info["places"]), unplanes(info["times"])
-        who = np.repeat(np.arange(len(per_text)), per_text)
-        run = np.cumsum(step)
-        start = np.cumsum(per_text) - per_text
-        full = per_text > 0
-        place = run - np.repeat(np.where(full, run[np.minimum(start, max(len(run) - 1, 0))] - step[np.minimum(start, max(len(step) - 1, 0))] if len(run) else 0, 0), per_text)
-        own = count[place]
-        tokens = unplanes(info["tokens"])
-        base = np.bincount(who, times * np.log10(own + 1.0), len(per_text)) - tokens * log_all
-        score, size = np.frombuffer(info["scores"], np.float64), np.frombuffer(info["size"], np.int64)
-        ids = pd.array(np.frombuffer(info["ids"], np.int64), "Int64")
-        ids[~np.frombuffer(info["valid"], bool)] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(info["held"], bool), "n_tokens": tokens, "n_known": np.bincount(who, times * (own > 0), len(per_text)).astype(np.int64), "train_tokens": int(n_train), "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / (size + 1)})
-
-    texts = parts.filter("range = -1").select("chunk", "range", "ids", "valid", "held", "tokens", "texts", "places", "times", "scores", "size", F.lit(None).cast("binary").alias("low"), F.lit(None).cast("binary").alias("high"))
-    return texts.unionByName(back.filter("chunk >= 0").select("chunk", "range", "low", "high"), allowMissingColumns=True).groupBy("chunk").applyInPandas(results, RESULT_SCHEMA)
-
-
-def training_rows(docs: DataFrame, key: str = "doc_id", folds: int = 7, held: int = 2) -> DataFrame:
-    return docs.filter(fold(key, folds) != held)
+    def results(rows: pa.Table) -> pa.Table:
+        got: dict[str, dict[int, bytes]] = {"g": {}, "w": {}}
+        for r in rows.to_pylist():
+            if r["kind"] == "t":
+                text, meta = r["a"], unpack(r["b"]).view(np.int64)
+            else:
+                got[r["kind"]][r["shard"]] = r["values"]
+        n = (len(meta) - 1) // 4
+        offsets, ids, valid, is_held = meta[: n + 1], *meta[n + 1 :].reshape(3, n)
+        size = int(offsets[-1])
+        raw = np.frombuffer(pa.decompress(text, size, "zstd", asbytes=True) if size else b"", np.uint8)
+        keys, _ = grams_of(raw, offsets, np.zeros(n, bool))
+        log_p = values_of(keys, shards, got["g"], lambda x: np.frombuffer(x, "<f4"))
+        score = np.zeros(n)
+        for key, who in gram_steps(raw, offsets, 1 << 15):  # a place of 16 bits beside a key of 48
+            both = (key << np.uint64(16)) | np.arange(len(key), dtype=np.uint64)
+            both.sort()
+            p = np.empty(len(key))
+            p[(both & np.uint64(0xFFFF)).astype(np.int64)] = log_p[np.searchsorted(keys, both >> np.uint64(16))]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            score[who[first]] += np.add.reduceat(p, first)
+        del keys, log_p
+        tokens, bound = tokens_of(raw, offsets)
+        words, _, number = distinct(tokens)
+        del tokens
+        own = values_of(words, shards, got["w"], unpack).astype(np.int64)[number]
+        who = np.repeat(np.arange(n), np.diff(bound))
+        base = np.bincount(who, np.log10(own + 1.0), n) - np.diff(bound) * log_all
+        score /= np.log(10)
+        known = np.bincount(who, own > 0, n).astype(np.int64)
+        columns = [pa.array(ids, mask=valid == 0), pa.array(is_held.astype(bool)), pa.array(np.diff(bound)), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / (np.diff(offsets) + 1))]
+        return pa.table(columns, [c.split()[0] for c in RESULTS.split(", ")])
+
+    texts = parts.filter("kind = 't'").select("chunk", "kind", "shard", "a", "b")
+    back = replies.select("chunk", "kind", "shard", "values")
+    return texts.unionByName(back, allowMissingColumns=True).groupBy("chunk").applyInArrow(results, RESULTS)

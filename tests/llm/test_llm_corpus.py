@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ratelens.llm import common, exactdedup, lmscore, neardup, packing, urlfilter
+from ratelens.llm import common, exactdedup, neardup, packing, urlfilter
 
 LOW = str.maketrans(common.UPPER, common.LOWER)
 
@@ -182,105 +182,3 @@ def test_assignment_is_the_plain_rule():
             assert (seq[i], off[i]) == (s, used[s])
             used[s] += n
             cost[s] += 1.0 * n + 0.01 * n * n
-
-
-@pytest.fixture(scope="module")
-def small_corpus(spark):
-    rng = random.Random(5)
-    texts = [" ".join("".join(rng.choice(["tha", "ing", "É", "on", "re"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 40))) for _ in range(80)] + [None, "", " \x0b\x1c x\x00y ", "tha"]
-    rows = [*enumerate(texts), (3, texts[3]), (None, "tha")]
-    return spark.createDataFrame(rows, "doc_id long, text string"), rows
-
-
-def test_base_score_and_scores(spark, small_corpus):
-    df, rows = small_corpus
-    model = lmscore.fit(lmscore.training_rows(df))
-    got = lmscore.scored(df, model, range_bytes=500).collect()
-    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2
-    words = lambda t: (t or "").translate(LOW).encode().split()
-    c, n, ends = Counter(), 0, 0
-    for i, t in rows:
-        if not held(i):
-            c.update(words(t))
-            n += len(words(t)) + 1
-            ends += 1
-    v = len(c) + 1
-    known = {i: t for i, t in rows}
-    assert len(got) == len(rows)
-    for r in got:
-        w = words(known[r["doc_id"]])
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["train_tokens"] == n and r["n_tokens"] == len(w) + 1
-        assert r["n_known"] == sum(x in c for x in w) + 1 and r["held_out"] == held(r["doc_id"]) and r["score"] < 0
-    size = sum(len((known[r["doc_id"]] or "").encode()) + 1 for r in got if r["held_out"])
-    assert -sum(r["score"] for r in got if r["held_out"]) * math.log2(10) < 4 * size  # half of a flat code
-
-
-def test_probabilities_sum_to_one_and_equal_a_plain_tree(spark, small_corpus):
-    df, rows = small_corpus
-    model = lmscore.fit(df)
-    for context in (b"\xff" * 5, b"tha\x20o", b"zzzzz", b"ingre"):
-        key = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert np.exp(model.score(key)).sum() == pytest.approx(1, abs=1e-5)
-
-    counts = defaultdict(lambda: [0, 0])
-    children = defaultdict(set)
-    for _, t in rows:
-        data = b"\xff" * 5 + (t or "").encode() + b"\xff"
-        for i in range(5, len(data)):
-            for bit in range(8):
-                for d in range(6):
-                    node = (data[i - d : i], bit, data[i] >> (8 - bit))
-                    counts[node][data[i] >> (7 - bit) & 1] += 1
-                    if d < 5:
-                        children[node].add((data[i - d - 1 : i], bit, data[i] >> (8 - bit)))
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-    memo = {}
-
-    def weighted(node):
-        if node not in memo:
-            own = kt(*counts[node])
-            memo[node] = own if len(node[0]) == 5 else np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(map(weighted, children[node])))
-        return memo[node]
-
-    for context, byte in ((b"tha\x20o", ord("n")), (b"\xff\xff\xff\xff\xff", ord("t"))):
-        if (context, 7, byte >> 1) not in counts or not counts[(context, 7, byte >> 1)][byte & 1]:
-            continue
-        log_p = 0.0
-        for bit in range(8):
-            p = 0.0
-            for d in range(5, -1, -1):
-                node = (context[5 - d :], bit, byte >> (8 - bit))
-                a, b = counts[node]
-                own = ((b if byte >> (7 - bit) & 1 else a) + 0.5) / (a + b + 1)
-                share = 1.0 if d == 5 else math.exp(math.log(0.5) + kt(a, b) - weighted(node))
-                p = share * own + (1 - share) * p
-            log_p += math.log(p)
-        key = np.array([int.from_bytes(context + bytes([byte]), "big")], np.uint64)
-        assert model.score(key)[0] == pytest.approx(log_p, rel=1e-5, abs=1e-5)  # shares are in single precision
-
-
-def test_model_of_bounded_size(spark, small_corpus):
-    df, _ = small_corpus
-    model = lmscore.fit(df, max_pairs=60)
-    assert len(model.pairs[5].h) <= 60
-    key = np.array([int.from_bytes(b"ingre" + bytes([b]), "big") for b in range(256)], np.uint64)
-    assert np.exp(model.score(key)).sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_model_keeps_all_contexts(spark, monkeypatch):
-    n = 4_100_000  # pairs at each of the depths 2 to 5
-    monkeypatch.setattr(lmscore, "gram_counts", lambda docs, text: docs.selectExpr("id as key", "1L as n"))
-    monkeypatch.setattr(lmscore, "train", lambda levels: [len(k) for k, _ in levels])
-    assert lmscore.fit(spark.range(n))[2:] == [n] * 4
-
-
-def test_scores_without_training_rows(spark):
-    df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
-    model = lmscore.fit(df.filter("false"))
-    assert lmscore.scored(df, model, held=common_crc(1)).first()["score"] == pytest.approx(-3 * math.log10(256))
-    assert lmscore.scored(df.filter("false"), model).count() == 0
-
-
-def common_crc(i):
-    return zlib.crc32(str(i).encode()) % 7
