@@ -16,20 +16,51 @@ REAL_PEOPLE = (
 )
 #: The legacy chain looks for the first of these only, and anywhere in the text.
 LEGACY_REAL_PEOPLE = REAL_PEOPLE[:23]
-REFUSALS = r"(?i)\b(as an ai|ai language model|i'm sorry|i am sorry|i cannot|i can't (help|assist|write)|i'm unable|i am unable)\b"
+REFUSALS = ("as an ai", "ai language model", "i'm sorry", "i am sorry", "i cannot", "i can't help", "i can't assist", "i can't write", "i'm unable", "i am unable")
 QUOTED = r'"[^"]*"|“[^”]*”'
-FIRST_PERSON = r"\bI\b|\b(?i:my|me|myself)\b"
+FIRST_PERSON = r"I|(?i:my|me|myself)"
 OTHER_PEOPLE = (
     "colleague", "coworker", "co-worker", "boss", "manager", "assistant", "friend", "patient", "customer", "client", "visitor", "guest", "student", "child", "kid", "son", "daughter", "wife", "husband", "partner", "mother", "father", "mom", "dad", "sister", "brother", "passenger", "man", "woman", "boy", "girl", "stranger",
 )
 NON_LATIN = r"[Ѐ-ӿ؀-ۿ぀-ヿ一-鿿가-힯]"
 
-ALTERNATION = {"male": "|".join(MALE_PRONOUNS), "female": "|".join(FEMALE_PRONOUNS)}
+PRONOUNS = {"male": MALE_PRONOUNS, "female": FEMALE_PRONOUNS}
+ALTERNATION = {g: "|".join(p) for g, p in PRONOUNS.items()}
+#: What words are made of, in any script.
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def one_of(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words or phrases, shared beginnings first, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c).replace("\\ ", " ") + ("" if rest == [""] else one_of(tuple(rest))) for c, rest in by.items() if c]
+    if "" in by:  # a word ends here
+        return f"(?:{'|'.join(parts)})?" if parts else ""
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def whole_words(pattern: str, first: str) -> str:
+    """The pattern where no letter, digit or underscore of any script stands before or after it.
+
+    first: the letters it can begin with, looked at before anything else.
+    """
+    return rf"(?=[{first}])(?<!{LETTER})(?:{pattern})(?!{LETTER})"
+
+
+def any_case(words: tuple[str, ...], end: str = "") -> str:
+    """Whole words or phrases in any case."""
+    letters = sorted({c for w in words for c in (w[0].lower(), w[0].upper())})
+    return whole_words(f"(?i:{one_of(words)}{end})", "".join(letters))
+
+
+FIRST = whole_words(FIRST_PERSON, "ImM")
 
 
 def pronoun_count(text: Column, gender: str) -> Column:
     """Whole-word pronouns of a gender, in any case."""
-    return F.regexp_count(text, F.lit(rf"(?i)\b({ALTERNATION[gender]})\b")).cast("long")
+    return F.regexp_count(text, F.lit(any_case(PRONOUNS[gender]))).cast("long")
 
 
 def gender_of(male: Column, female: Column) -> Column:
@@ -42,7 +73,7 @@ def pronoun_gender(text: Column) -> Column:
 
 
 def mentions_real_person(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(" + "|".join(re.escape(n) for n in REAL_PEOPLE) + r")\b")
+    return text.rlike(any_case(REAL_PEOPLE))
 
 
 def legacy_real_person(text: Column) -> Column:
@@ -55,20 +86,20 @@ def legacy_real_person(text: Column) -> Column:
 
 
 def is_refusal(text: Column) -> Column:
-    return text.rlike(REFUSALS)
+    return text.rlike(any_case(REFUSALS))
 
 
 def first_person_anywhere(text: Column) -> Column:
-    return text.rlike(FIRST_PERSON)
+    return text.rlike(FIRST)
 
 
 def first_person_narration(text: Column) -> Column:
-    """First person outside double quotes, straight or curly."""
-    return F.regexp_replace(text, QUOTED, " ").rlike(FIRST_PERSON)
+    """First person outside double quotes, straight or curly; texts without any aren't looked at for quotes."""
+    return text.rlike(FIRST) & F.regexp_replace(text, QUOTED, " ").rlike(FIRST)
 
 
 def other_person(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(" + "|".join(OTHER_PEOPLE) + r")s?\b")
+    return text.rlike(any_case(OTHER_PEOPLE, "s?"))
 
 
 def non_latin(text: Column) -> Column:
@@ -91,7 +122,7 @@ def exclusion_reason(text: Column, truncated: Column, male: Column, female: Colu
 
 def highlighted(text: Column) -> Column:
     """Pronouns in double square brackets."""
-    return F.regexp_replace(text, rf"(?i)\b({ALTERNATION['male']}|{ALTERNATION['female']})\b", "[[$1]]")
+    return F.regexp_replace(text, any_case(MALE_PRONOUNS + FEMALE_PRONOUNS), "[[$0]]")
 
 
 def article_for(word: Column) -> Column:

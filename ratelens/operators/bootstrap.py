@@ -1,10 +1,11 @@
 """Bootstrap intervals as DataFrame plans.
 
 Outcomes are 0/1, so resampling n texts of which f are hits is one binomial draw: only counts per model, cell
-and occupation are needed, never texts. Draws are keyed by md5, so a replicate doesn't depend on the order of
-rows, and two models of one comparison can share the draw of occupations. Every binomial is drawn trial by
-trial, in rows of ``BLOCK`` trials, so the work is the number of replicates times the number of texts. A trial is
-a draw of 32 bits modulo n: its chance is off by less than n / 2**32.
+and occupation are needed, never texts. These few rows are made first and held by the driver: 20 coded
+occupations for each model and cell. Draws are keyed by md5, so a replicate doesn't depend on the order of
+rows, and two models of one comparison can share the draw of occupations. Every binomial is drawn by inversion
+of its exact distribution from one uniform of 52 bits, at every size: the distribution's table of (n, f) holds
+all outcomes whose chance the uniform can meet, some twenty standard deviations, and a draw is a binary search.
 """
 
 from __future__ import annotations
@@ -12,27 +13,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelens.functions.rng import draw
+from ratelens.functions.rng import draw, uniform
 from ratelens.operators import dims
 
-#: The given SQL draws up to EXACT trials one by one, and more by a normal approximation.
-EXACT = 400
-BLOCK = 4096
+#: Outcomes on each side of the mean in a binomial's table: SPREAD standard deviations and LEAST_SPREAD more. By
+#: Bernstein's bound less than 2 ** -70 lies beyond.
+SPREAD, LEAST_SPREAD = 10, 40
 LEAST_TEXTS = 30
 
 
-def binomial(n: Column, f: Column, *key: Column | str | int, first: Column | None = None, last: Column | None = None) -> Column:
-    """A draw from Binomial(n, f / n), or the hits among its trials first to last."""
-    trials = F.sequence(F.lit(1).cast("long") if first is None else first, n if last is None else last)
-    return F.aggregate(trials, F.lit(0).cast("long"), lambda s, i: s + (draw(*key, i) % n < f).cast("long"))
+def held(stats: DataFrame) -> DataFrame:
+    """The same few rows without the plan that made them."""
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
 
 
-def resampled(rows: DataFrame, *key: Column | str | int) -> DataFrame:
-    """Each row with columns n and f in blocks of trials: hits are those of the block, n is null but in the first."""
-    blocks = rows.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(BLOCK).cast("long"))))
-    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the rows are small, what follows is not
-    hits = binomial(F.col("n"), F.col("f"), *key, first=F.col("first"), last=F.least(F.col("first") + BLOCK - 1, F.col("n")))
-    return blocks.withColumn("hits", hits).withColumn("n", F.when(F.col("first") == 1, F.col("n"))).drop("first")
+def distributions(counts: DataFrame) -> DataFrame:
+    """n, f, least, cdf of each pair (n, f): Binomial(n, f / n) from the outcome ``least`` on, as running sums."""
+    n, f, k = (F.col(c) for c in "nfk")
+    apart = F.when((f > 0) & (f < n), F.ceil(SPREAD * F.sqrt(f.cast("double") * (n - f) / n)) + LEAST_SPREAD).otherwise(0).cast("long")
+    rows = counts.select("n", "f").distinct().withColumn("k", F.explode(F.sequence(F.greatest(f - apart, F.lit(0).cast("long")), F.least(f + apart, n))))
+    own = Window.partitionBy("n", "f")
+    up = own.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ratio = F.when(k == F.min(k).over(own), 0.0).otherwise(F.ln((n - k + 1).cast("double") / k * (f.cast("double") / (n - f))))  # of an outcome to the one before
+    rows = rows.withColumn("ratio", ratio).withColumn("log_p", F.sum("ratio").over(up))
+    rows = rows.withColumn("p", F.exp(F.col("log_p") - F.max(F.when(k == f, F.col("log_p"))).over(own)))  # to the mean, which is the likeliest
+    rows = rows.withColumn("below", F.sum("p").over(up) / F.sum("p").over(own))
+    return rows.groupBy("n", "f").agg(F.min("k").alias("least"), F.transform(F.array_sort(F.collect_list(F.struct("k", "below"))), lambda x: x["below"]).alias("cdf"))
+
+
+def outcome(least: Column, cdf: Column, u: Column) -> Column:
+    """The outcome at which a distribution passes u: a binary search."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cdf) + 1)).cast("int"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        go = F.coalesce(F.get(cdf, mid) <= u, F.lit(False))
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & go, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~go, mid).otherwise(s["hi"]).alias("hi"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cdf).alias("hi")), half, lambda s: s["lo"])
+    return least + F.least(found, F.size(cdf) - 1)
+
+
+def resampled(rows: DataFrame, times: str, *key: Column | str | int) -> DataFrame:
+    """Each row with columns n and f once for every element of the array ``times``, with the element's fields and hits.
+
+    The key of a draw is followed by these fields.
+    """
+    fields = rows.schema[times].dataType.elementType.names
+    dealt = rows.join(distributions(rows), ["n", "f"]).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the rows are few, what follows is not
+    with_u = F.transform(times, lambda t: F.struct(*[t[c].alias(c) for c in fields], uniform(*key, *[t[c] for c in fields]).alias("u")))
+    drawn = F.transform(with_u, lambda t: F.struct(*[t[c].alias(c) for c in fields], outcome(F.col("least"), F.col("cdf"), t["u"]).alias("hits")))
+    return dealt.select(*[c for c in rows.columns if c != times], F.inline(drawn))
 
 
 def occupation_stats(labelled: DataFrame, cells: DataFrame) -> DataFrame:
@@ -50,9 +82,10 @@ def point_gaps(stats: DataFrame, by: list[str]) -> DataFrame:
 
 def flat(stats: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Texts resampled on each side. Limits are order statistics int(.025 B) and int(.975 B) - 1, not interpolated."""
+    stats = held(stats)
     sides = stats.groupBy("model_tag", "cell", "stereotype").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    reps = sides.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = resampled(reps, seed, "flat", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep"))
+    reps = sides.withColumn("times", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"))))
+    drawn = resampled(reps, "times", seed, "flat", F.col("model_tag"), F.col("cell"), F.col("stereotype"))
     side = lambda s, c: F.sum(F.when(F.col("stereotype") == s, F.col(c)))
     gaps = drawn.groupBy("model_tag", "cell", "rep").agg((side("female", "hits") / side("female", "n") - side("male", "hits") / side("male", "n")).alias("g"))
     ordered = F.array_sort(F.collect_list("g"))  # replicates of them at most
@@ -73,8 +106,9 @@ def replicate_gaps(stats: DataFrame, replicates: int, seed: int) -> DataFrame:
     known = known.withColumns({"k": F.row_number().over(Window.partitionBy(*of).orderBy("occupation")) - 1, "size": F.count(F.lit(1)).over(Window.partitionBy(*of))})
     slots = known.select(*of, "size").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     picks = slots.withColumn("k", (draw(seed, "pick", F.col("cell"), F.col("stereotype"), F.col("rep"), F.col("slot")) % F.col("size")).cast("int")).drop("size")
-    drawn = picks.join(known.drop("size"), [*of, "k"]).join(stats, [*of, "occupation"])
-    drawn = resampled(drawn, seed, "text", F.col("model_tag"), F.col("cell"), F.col("stereotype"), F.col("rep"), F.col("slot"))
+    picked = picks.groupBy(*of, "k").agg(F.collect_list(F.struct("rep", "slot")).alias("times"))  # replicates times occupations at most
+    drawn = picked.join(known.drop("size"), [*of, "k"]).join(stats, [*of, "occupation"]).drop("k", "occupation")
+    drawn = resampled(drawn, "times", seed, "text", F.col("model_tag"), F.col("cell"), F.col("stereotype"))
     side = lambda s, c: F.sum(F.when(F.col("stereotype") == s, F.col(c)))
     return drawn.groupBy("unit", "model_tag", "cell", "rep").agg((side("female", "hits") / side("female", "n") - side("male", "hits") / side("male", "n")).alias("gap"))
 
@@ -85,8 +119,7 @@ def contrasts(stats: DataFrame, units: DataFrame, replicates: int = 2000, seed:
     units: unit, model_tag, coef. Replicates in which a model has an empty side are dropped. Limits are
     interpolated percentiles; they are null unless every model has two occupations on each side.
     """
-    own = stats.join(F.broadcast(units), "model_tag")  # a few rows for each comparison
-    models = Window.partitionBy("unit")
+    own = held(stats.join(F.broadcast(units), "model_tag"))  # a few rows for each comparison
     size = units.groupBy("unit").agg(F.count(F.lit(1)).alias("models"))
     points = point_gaps(own, ["unit", "model_tag", "coef", "cell"])
     whole = points.groupBy("unit", "cell").agg(F.sum(F.col("coef") * F.col("gap")).alias("diff"), F.count("gap").alias("found"), F.min(F.least("k_female", "k_male")).alias("k"), F.min(F.least("n_female_coded", "n_male_coded")).alias("least"))

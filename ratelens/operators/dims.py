@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.functions import text as tx
@@ -62,10 +62,25 @@ def prompts(spark: SparkSession, template_set: str = "short") -> DataFrame:
     return grid.select("occ_ordinal", "occupation", "stereotype", "split", "template_set", "template_id", "template_split", filled.alias("prompt"))
 
 
+def _messages(prompt: Column) -> list[Column]:
+    return [F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", F.lit(SYSTEM_PROMPT)), ("user", prompt))]
+
+
 def with_messages(prompts_: DataFrame) -> DataFrame:
     """Adds the system and user messages of each prompt."""
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return prompts_.withColumn("messages", F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", F.col("prompt"))))
+    return prompts_.withColumn("messages", F.array(*_messages(F.col("prompt"))))
+
+
+def with_stored_messages(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """Records with messages: their own where they have any, else those of their prompt, else of the prompt that their occupation and template make."""
+    out = records
+    if "messages" not in out.columns:
+        out = out.withColumn("messages", F.lit(None).cast("array<struct<role:string,content:string>>"))
+    if "prompt" not in out.columns:
+        out = out.withColumn("prompt", F.lit(None).cast("string"))
+    made = F.broadcast(prompts(spark).select("occupation", "template_id", F.col("prompt").alias("_made")))  # 150 rows
+    own = out.join(made, ["occupation", "template_id"], "left").withColumn("prompt", F.coalesce("prompt", "_made")).drop("_made")
+    return own.withColumn("messages", F.coalesce("messages", F.array(*_messages(F.col("prompt")))))
 
 
 def samples(prompts_: DataFrame, per_prompt: int) -> DataFrame:

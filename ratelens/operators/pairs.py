@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.functions.rng import draw
-from ratelens.operators import dims, funnel
+from ratelens.operators import dims, funnel, lexicon
 
 N_CALIBRATION, LEAST_N, MARGIN = 8, 12, 0.20
 LEAST_NAME_COUNT = 2
@@ -62,11 +62,18 @@ def over_represented(pool: DataFrame) -> DataFrame:
     return out.withColumn("warn", F.col("top_share") > F.greatest(F.lit(0.15), F.lit(3.0) / F.col("n_names")))
 
 
-def build(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated: DataFrame, n_calibration: int = N_CALIBRATION, seed: int = 42) -> DataFrame:
-    """Every source text with its outcome: paired (with pair_id from 0 in file order), swap_failed (with its code) or why it isn't a candidate."""
+def build(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated: DataFrame, n_calibration: int = N_CALIBRATION, seed: int = 42, surnames: DataFrame | None = None) -> DataFrame:
+    """Every source text with its outcome: paired (with pair_id from 0 in file order), swap_failed (with its code) or why it isn't a candidate.
+
+    prompt holds the text's stored messages, or those of its prompt anew. Common surnames, by default those of
+    the lexicon, are never new names.
+    """
     from ratelens.operators.swap import swapper
 
-    pool = F.broadcast(pool_arrays(name_pool(labelled, names)))  # two rows
+    if surnames is None:
+        surnames = lexicon.surnames_table(spark)
+    pool = F.broadcast(pool_arrays(name_pool(labelled, names, surnames)))  # two rows
+    labelled = dims.with_stored_messages(spark, labelled)
     rows = sources(labelled, calibrated, n_calibration)
     rows = rows.join(pool.withColumnRenamed("gender", "target_gender"), "target_gender", "left")
     key = (F.col("occupation"), F.col("template_id"), F.col("sample_id"))
@@ -77,7 +84,7 @@ def build(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated
     outcome = F.when(F.col("outcome") != "candidate", F.col("outcome")).when(F.col("swap.text").isNotNull(), "paired").otherwise("swap_failed")
     rows = rows.withColumn("outcome", outcome)
     new_name = F.coalesce(F.filter("swap.log", lambda e: e["old"] == F.col("name"))[0]["new"], F.col("name"))
-    return rows.select("occ_ordinal", "occupation", "stereotype", "template_id", "sample_id", "outcome", F.col("gender").alias("rejected_gender"), F.col("target_gender").alias("chosen_gender"), F.col("name").alias("old_name"), F.when(F.col("outcome") == "paired", new_name).alias("new_name"), F.col("completion").alias("rejected"), F.col("swap.text").alias("chosen"), F.col("swap.log").alias("swap_log"), F.coalesce(F.col("swap.fail"), F.when(F.col("outcome") == "swap_failed", F.lit("no_replacement_name"))).alias("swap_failure"), "other_person_flag")
+    return rows.select("occ_ordinal", "occupation", "stereotype", "template_id", "sample_id", "outcome", F.col("gender").alias("rejected_gender"), F.col("target_gender").alias("chosen_gender"), F.col("name").alias("old_name"), F.when(F.col("outcome") == "paired", new_name).alias("new_name"), F.col("completion").alias("rejected"), F.col("swap.text").alias("chosen"), F.col("swap.log").alias("swap_log"), F.coalesce(F.col("swap.fail"), F.when(F.col("outcome") == "swap_failed", F.lit("no_replacement_name"))).alias("swap_failure"), "other_person_flag", F.col("messages").alias("prompt"))
 
 
 def numbered(built: DataFrame) -> DataFrame:
@@ -101,3 +108,14 @@ def statistics(built: DataFrame) -> DataFrame:
     one = lambda what, column, where: built.filter(where).groupBy(column.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("metric"), "key", "n")
     paired = F.col("outcome") == "paired"
     return one("outcome", F.col("outcome"), F.lit(True)).unionByName(one("swap_failure", F.col("swap_failure"), F.col("swap_failure").isNotNull())).unionByName(one("direction", F.concat_ws("->", "rejected_gender", "chosen_gender"), paired)).unionByName(one("occupation", F.col("occupation"), paired))
+
+
+def chat_form(pairs_: DataFrame) -> DataFrame:
+    """chosen and rejected as the assistant's message after the prompt's messages."""
+    said = lambda c: F.array(F.struct(F.lit("assistant").alias("role"), F.col(c).alias("content"))).alias(c)
+    return pairs_.withColumns({c: said(c) for c in ("chosen", "rejected")})
+
+
+def alarms(built: DataFrame, least: int = 200) -> DataFrame:
+    """n_pairs, and whether there are too few."""
+    return built.agg(F.sum((F.col("outcome") == "paired").cast("long")).alias("n_pairs")).select(F.coalesce("n_pairs", F.lit(0)).alias("n_pairs")).withColumn("alarm", F.col("n_pairs") < least)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +11,16 @@ from ratelens.functions import text as tx
 from ratelens.operators import bootstrap, dims, legacy, lexicon, metrics, pairs, review, training
 from ratelens.operators import funnel as fn
 from ratelens.plans import completions as data
+from ratelens.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, Callable[[], str]] = {}
 
-BOOT, SEED = 200, 42
-N_CALIBRATION = 3
+SEED = 42
+N_CALIBRATION = pairs.N_CALIBRATION
+#: Replicates of the flat interval and of the others, the operators' own.
+FLAT, BOOT = 1000, 2000
 KEY = ["model_tag", "occupation", "template_id", "sample_id"]
 
 
@@ -38,14 +40,6 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.labelled(spark, sf_dir)
 
 
-def _n_calibration() -> int:
-    return pairs.N_CALIBRATION if data.is_whole() else N_CALIBRATION
-
-
-def _boot() -> dict[str, int]:
-    return {} if data.is_whole() else {"replicates": BOOT}
-
-
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).filter("model_tag = 'base'")
 
@@ -57,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- dimensions -------------------------------------------------------------------------
 
 
-def _prompt_sql() -> str:
+def prompt_sql() -> str:
     t = data.values((s, i, t + (dims.SUFFIX if s == "short" else "."), p) for s, ts in dims.TEMPLATES.items() for i, (t, p) in enumerate(ts))
     o = data.values((i, *o) for i, o in enumerate(dims.OCCUPATIONS))
     return f"""SELECT occ_ordinal, occupation, stereotype, split, template_set, template_id, template_split,
@@ -65,17 +59,17 @@ def _prompt_sql() -> str:
     FROM (VALUES {o}) o(occ_ordinal, occupation, stereotype, split), (VALUES {t}) t(template_set, template_id, template, template_split)"""
 
 
-@query(_prompt_sql)
+@query(prompt_sql)
 def prompt_grid(spark, sf_dir):
     return dims.prompts(spark).unionByName(dims.prompts(spark, "longform"))
 
 
-@query(lambda: f"SELECT occupation, template_id, sample_id, split_part(prompt, '. Begin', 1) AS prefix FROM ({_prompt_sql()}), range(3) r(sample_id) WHERE template_set = 'short'")
+@query(lambda: f"SELECT occupation, template_id, sample_id, split_part(prompt, '. Begin', 1) AS prefix FROM ({prompt_sql()}), range(3) r(sample_id) WHERE template_set = 'short'")
 def sample_expansion(spark, sf_dir):
     return dims.samples(dims.prompts(spark), 3).select("occupation", "template_id", "sample_id", tx.prompt_prefix(F.col("prompt")).alias("prefix"))
 
 
-@query(lambda: f"SELECT occupation, template_id FROM ({_prompt_sql()}) WHERE template_set = 'short' AND split = 'train' AND template_split = 'train' ORDER BY {data.sql_draw("'42'", "'sample'", 'occupation', 'template_id::VARCHAR')}, occupation, template_id LIMIT 10")
+@query(lambda: f"SELECT occupation, template_id FROM ({prompt_sql()}) WHERE template_set = 'short' AND split = 'train' AND template_split = 'train' ORDER BY {data.sql_draw("'42'", "'sample'", 'occupation', 'template_id::VARCHAR')}, occupation, template_id LIMIT 10")
 def monitor_prompt_subset(spark, sf_dir):
     return review.monitor_prompts(dims.prompts(spark), 10).select("occupation", "template_id")
 
@@ -89,14 +83,13 @@ def name_dictionary(spark, sf_dir):
 # --- text and funnel --------------------------------------------------------------------
 
 
-@query(rf"""SELECT 'documents' AS source, count(*) AS n, sum(m) AS male, sum(f) AS female, count(*) FILTER (m > 0 AND f > 0) AS mixed FROM (
-  SELECT len(regexp_extract_all(t, '(?i)\b({tx.ALTERNATION["male"]})\b')) AS m, len(regexp_extract_all(t, '(?i)\b({tx.ALTERNATION["female"]})\b')) AS f FROM (SELECT regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM documents))
-UNION ALL SELECT 'conversations', count(*), sum(m), sum(f), count(*) FILTER (m > 0 AND f > 0) FROM (
-  SELECT len(regexp_extract_all(t, '(?i)\b({tx.ALTERNATION["male"]})\b')) AS m, len(regexp_extract_all(t, '(?i)\b({tx.ALTERNATION["female"]})\b')) AS f FROM (SELECT regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM conversations))""".replace("SELECT 'documents'", "/* both tables */ SELECT 'documents'"))
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS n, sum(m) AS male, sum(f) AS female, count(*) FILTER (m > 0 AND f > 0) AS mixed FROM (SELECT {data.sql_count('text', tx.MALE_PRONOUNS)} AS m, {data.sql_count('text', tx.FEMALE_PRONOUNS)} AS f FROM {t})" for t in ("documents", "conversations"))
+
+
+@query(f"/* both tables */ {_COUNTS}")
 def pronoun_gender_counts(spark, sf_dir):
     def one(name):
-        ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-        rows = _table(spark, sf_dir, name).select(tx.pronoun_count(ascii_text, "male").alias("m"), tx.pronoun_count(ascii_text, "female").alias("f"))
+        rows = _table(spark, sf_dir, name).select(tx.pronoun_count(F.col("text"), "male").alias("m"), tx.pronoun_count(F.col("text"), "female").alias("f"))
         return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("male"), F.sum("f").alias("female"), F.sum((tx.gender_of(F.col("m"), F.col("f")) == "mixed").cast("long")).alias("mixed")).select(F.lit(name).alias("source"), "*")
 
     return one("documents").unionByName(one("conversations"))
@@ -129,7 +122,7 @@ def nonlatin_sensitivity(spark, sf_dir):
     return fn.reasons_by_model(fn.without_non_latin(_labelled(spark, sf_dir)))
 
 
-@query(rf"""SELECT model_tag, count(*) FILTER (reason = 'first_person') AS excluded, count(*) FILTER (regexp_matches(completion, '{tx.FIRST_PERSON}')) AS anywhere, count(*) FILTER (regexp_matches(regexp_replace(completion, '{tx.QUOTED}', ' ', 'g'), '{tx.FIRST_PERSON}')) AS narration FROM labelled GROUP BY 1""")
+@query(rf"""SELECT model_tag, count(*) FILTER (reason = 'first_person') AS excluded, count(*) FILTER (regexp_matches(completion, '{data.sql_words(tx.FIRST_PERSON)}')) AS anywhere, count(*) FILTER (regexp_matches(regexp_replace(completion, '{tx.QUOTED}', ' ', 'g'), '{data.sql_words(tx.FIRST_PERSON)}')) AS narration FROM labelled GROUP BY 1""")
 def first_person_rates(spark, sf_dir):
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     text = F.col("completion")
@@ -144,7 +137,7 @@ def name_level_reasons(spark, sf_dir):
 # --- metrics ----------------------------------------------------------------------------
 
 
-@query(rf"""SELECT model_tag, count(*) AS n, avg(usable::INT::DOUBLE) AS usable_rate, avg((n_male + n_female > 0)::INT::DOUBLE) AS gendered_rate, avg(regexp_matches(completion, '{tx.FIRST_PERSON}')::INT::DOUBLE) AS first_person_rate, avg(regexp_matches(completion, '{tx.NON_LATIN}')::INT::DOUBLE) AS non_latin_rate, avg(n_new_tokens) AS mean_new_tokens, avg(truncated::INT::DOUBLE) AS truncated_rate FROM labelled GROUP BY 1""")
+@query(rf"""SELECT model_tag, count(*) AS n, avg(usable::INT::DOUBLE) AS usable_rate, avg((n_male + n_female > 0)::INT::DOUBLE) AS gendered_rate, avg(regexp_matches(completion, '{data.sql_words(tx.FIRST_PERSON)}')::INT::DOUBLE) AS first_person_rate, avg(regexp_matches(completion, '{tx.NON_LATIN}')::INT::DOUBLE) AS non_latin_rate, avg(n_new_tokens) AS mean_new_tokens, avg(truncated::INT::DOUBLE) AS truncated_rate FROM labelled GROUP BY 1""")
 def quality_by_model(spark, sf_dir):
     return metrics.quality(_labelled(spark, sf_dir))
 
@@ -195,16 +188,15 @@ def gap_trajectory(spark, sf_dir):
     return metrics.trajectory(_labelled(spark, sf_dir))
 
 
-@query("SELECT model_tag, occupation, stereotype, split, coalesce(printf('%.2f', round_even(p, 2)), '–') AS shown FROM occupations CROSS JOIN tags LEFT JOIN (SELECT model_tag, occupation, avg((gender = 'female')::INT::DOUBLE) AS p FROM labelled WHERE usable AND sample_id = 1 GROUP BY 1, 2) USING (model_tag, occupation)")
+@query("SELECT model_tag, occupation, stereotype, split, coalesce(printf('%.2f', round_even(p, 2)), '–') AS shown FROM occupations CROSS JOIN tags LEFT JOIN (SELECT model_tag, occupation, avg((gender = 'female')::INT::DOUBLE) AS p FROM labelled WHERE usable GROUP BY 1, 2) USING (model_tag, occupation)")
 def occupation_table(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return metrics.occupation_table(spark, rows if data.is_whole() else rows.withColumn("usable", F.col("usable") & (F.col("sample_id") == 1)))
+    return metrics.occupation_table(spark, _labelled(spark, sf_dir))
 
 
-@query("""SELECT template_id AS step, count(*) AS n, avg(usable::INT::DOUBLE) AS usable_rate, avg((n_male + n_female > 0)::INT::DOUBLE) AS gendered_pronoun_rate, avg(coalesce(reason = 'first_person', false)::INT::DOUBLE) AS first_person_rate,
-  avg((gender = 'female')::INT::DOUBLE) FILTER (usable AND stereotype = 'female') - avg((gender = 'female')::INT::DOUBLE) FILTER (usable AND stereotype = 'male') AS gap, count(*) FILTER (usable) AS n_usable FROM labelled WHERE model_tag = 'step10' GROUP BY 1""")
+@query("""SELECT CASE model_tag WHEN 'base' THEN 0 ELSE regexp_extract(model_tag, '([0-9]+)$', 1)::INT END AS step, count(*) AS n, avg(usable::INT::DOUBLE) AS usable_rate, avg((n_male + n_female > 0)::INT::DOUBLE) AS gendered_pronoun_rate, avg(coalesce(reason = 'first_person', false)::INT::DOUBLE) AS first_person_rate,
+  avg((gender = 'female')::INT::DOUBLE) FILTER (usable AND stereotype = 'female') - avg((gender = 'female')::INT::DOUBLE) FILTER (usable AND stereotype = 'male') AS gap, count(*) FILTER (usable) AS n_usable FROM labelled WHERE regexp_matches(model_tag, '^(base|step[0-9]+)$') GROUP BY 1""")
 def monitor_metrics(spark, sf_dir):
-    return metrics.monitor_metrics(_labelled(spark, sf_dir).filter("model_tag = 'step10'").withColumnRenamed("template_id", "step"))
+    return metrics.monitor_metrics(_labelled(spark, sf_dir).withColumn("step", tx.tag_step(F.col("model_tag"))).filter("step is not null"))
 
 
 @query("""/* labels */ WITH j AS (SELECT source, lang, toxic, quality FROM documents JOIN labels USING (doc_id))
@@ -226,26 +218,26 @@ sources AS (SELECT l.*, target_gender, CASE WHEN target_gender IS NULL THEN 'occ
 
 @query(_CALIBRATION + "SELECT occupation, stereotype, n, p_female, decision, target_gender FROM calibration")
 def calibration(spark, sf_dir):
-    return pairs.calibration(spark, _base(spark, sf_dir), _n_calibration())
+    return pairs.calibration(spark, _base(spark, sf_dir))
 
 
 @query(_CALIBRATION + "SELECT outcome, count(*) AS n FROM sources GROUP BY 1")
 def pair_source_outcomes(spark, sf_dir):
     base = _base(spark, sf_dir)
-    return pairs.sources(base, pairs.calibration(spark, base, _n_calibration()), _n_calibration()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.sources(base, pairs.calibration(spark, base)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-_POOL = lambda: f", names(name, gender) AS (VALUES {data.values(sorted(lexicon.default_names().items()))}), pool AS (SELECT names.gender, name, count(*) AS n FROM labelled JOIN names USING (name) WHERE model_tag = 'base' AND usable AND names.gender <> 'unisex' GROUP BY 1, 2)"
+_POOL = lambda: f", names(name, gender) AS (VALUES {data.values(sorted(lexicon.default_names().items()))}), pool AS (SELECT names.gender, name, count(*) AS n FROM labelled JOIN names USING (name) WHERE model_tag = 'base' AND usable AND names.gender <> 'unisex' AND name NOT IN ({', '.join(repr(n) for n in sorted(lexicon.SURNAMES))}) GROUP BY 1, 2)"
 
 
 @query(lambda: data.cte() + _POOL() + "SELECT gender, name, n FROM pool")
 def name_pool(spark, sf_dir):
-    return pairs.name_pool(_base(spark, sf_dir), lexicon.names_table(spark))
+    return pairs.name_pool(_base(spark, sf_dir), lexicon.names_table(spark), lexicon.surnames_table(spark))
 
 
 @query(lambda: data.cte() + _POOL() + "SELECT gender, max(n)::DOUBLE / sum(n) AS top_share, count(*) AS n_names, max(n)::DOUBLE / sum(n) > greatest(0.15, 3.0 / count(*)) AS warn FROM pool GROUP BY 1")
 def name_overrepresentation(spark, sf_dir):
-    return pairs.over_represented(pairs.name_pool(_base(spark, sf_dir), lexicon.names_table(spark)))
+    return pairs.over_represented(pairs.name_pool(_base(spark, sf_dir), lexicon.names_table(spark), lexicon.surnames_table(spark)))
 
 
 @query(lambda: data.cte() + _POOL() + f""", every AS (SELECT gender, list(name ORDER BY n DESC, name) FILTER (n >= 2) AS frequent FROM pool GROUP BY 1),
@@ -253,22 +245,22 @@ picked AS (SELECT occupation, template_id, sample_id, l.name, list_filter(freque
 SELECT occupation, template_id, sample_id, name, names[1 + {data.sql_draw("'42'", "'name'", 'occupation', 'template_id::VARCHAR', 'sample_id::VARCHAR')} % len(names)] AS picked FROM picked""")
 def replacement_names(spark, sf_dir):
     base = _base(spark, sf_dir).filter("usable")
-    pool = pairs.pool_arrays(pairs.name_pool(base, lexicon.names_table(spark)))
+    pool = pairs.pool_arrays(pairs.name_pool(base, lexicon.names_table(spark), lexicon.surnames_table(spark)))
     other = base.withColumn("gender", F.when(F.col("gender") == "male", "female").otherwise("male")).join(F.broadcast(pool), "gender")
     return other.select("occupation", "template_id", "sample_id", "name", pairs.pick_name(F.col("frequent"), F.col("every"), F.col("name"), SEED, "name", F.col("occupation"), F.col("template_id"), F.col("sample_id")).alias("picked"))
 
 
 @query()
 def swap_pairs(spark, sf_dir):
-    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
-    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, _n_calibration()), _n_calibration())
+    labelled = files.work_table(fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), "labelled")  # read three times
+    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled))
     return pairs.numbered(built).select("pair_id", "occupation", "template_id", "sample_id", "rejected_gender", "chosen_gender", "old_name", "new_name", "rejected", "chosen", "other_person_flag")
 
 
 @query()
 def pair_statistics(spark, sf_dir):
-    labelled = fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
-    return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled, _n_calibration()), _n_calibration()))
+    labelled = files.work_table(fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), "labelled")  # read three times
+    return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled)))
 
 
 # --- around training --------------------------------------------------------------------
@@ -351,15 +343,15 @@ def flip_examples(spark, sf_dir):
     return review.flip_examples(_labelled(spark, sf_dir).drop("name"), "base", "step20")
 
 
-@query(rf"SELECT model_tag, occupation, template_id, sample_id, regexp_replace(completion, '(?i)\b({tx.ALTERNATION['male']}|{tx.ALTERNATION['female']})\b', '[[\1]]', 'g') AS shown FROM labelled WHERE usable AND sample_id = 0")
+@query(rf"SELECT model_tag, occupation, template_id, sample_id, array_to_string(list_transform(regexp_extract_all(completion, '[\pL\pN_]+|[^\pL\pN_]+'), lambda w: CASE WHEN lower(w) IN ({', '.join(map(repr, tx.MALE_PRONOUNS + tx.FEMALE_PRONOUNS))}) THEN '[[' || w || ']]' ELSE w END), '') AS shown FROM labelled WHERE usable")
 def highlighted_texts(spark, sf_dir):
-    return _labelled(spark, sf_dir).filter("usable" if data.is_whole() else "usable and sample_id = 0").select(*KEY, tx.highlighted(F.col("completion")).alias("shown"))
+    return _labelled(spark, sf_dir).filter("usable").select(*KEY, tx.highlighted(F.col("completion")).alias("shown"))
 
 
 # --- the retired builder ----------------------------------------------------------------
 
-_LEGACY = rf""", old AS (SELECT *, CASE WHEN NOT regexp_matches(completion, '\S') THEN 'empty' WHEN truncated THEN 'truncated' WHEN regexp_matches(lower(completion), '{"|".join(tx.LEGACY_REAL_PEOPLE)}') THEN 'real_person' WHEN regexp_matches(completion, '{tx.REFUSALS.replace("'", "''")}') THEN 'refusal'
-  WHEN regexp_matches(regexp_replace(completion, '{tx.QUOTED}', ' ', 'g'), '{tx.FIRST_PERSON}') THEN 'first_person' WHEN n_male + n_female < 2 THEN 'no_signal' END AS old_reason,
+_LEGACY = rf""", old AS (SELECT *, CASE WHEN NOT regexp_matches(completion, '\S') THEN 'empty' WHEN truncated THEN 'truncated' WHEN regexp_matches(lower(completion), '{"|".join(tx.LEGACY_REAL_PEOPLE)}') THEN 'real_person' WHEN regexp_matches(completion, '{data.sql_words("(?i:" + "|".join(tx.REFUSALS) + ")").replace("'", "''")}') THEN 'refusal'
+  WHEN regexp_matches(regexp_replace(completion, '{tx.QUOTED}', ' ', 'g'), '{data.sql_words(tx.FIRST_PERSON)}') THEN 'first_person' WHEN n_male + n_female < 2 THEN 'no_signal' END AS old_reason,
   CASE WHEN n_male > 0 AND n_female > 0 THEN 'mixed' WHEN CASE WHEN n_male > 0 THEN 'male' ELSE 'female' END = stereotype THEN 'stereo' ELSE 'counter' END AS class FROM counted WHERE model_tag = 'base'),
 stepped AS (SELECT *, CASE WHEN old_reason IS NOT NULL THEN old_reason WHEN stereotype = 'balanced' THEN 'balanced_control' WHEN class = 'mixed' THEN 'mixed' WHEN split = 'heldout' THEN 'heldout' ELSE 'eligible' END AS step FROM old)
 """
@@ -370,9 +362,12 @@ def legacy_funnel(spark, sf_dir):
     return legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_LEGACY + "SELECT occupation, template_id, count(*) FILTER (class = 'counter') AS n_counter, count(*) FILTER (class = 'stereo') AS n_stereo, CASE WHEN count(*) FILTER (class = 'counter') = 0 THEN 'no_counter' WHEN count(*) FILTER (class = 'stereo') = 0 THEN 'no_stereo' ELSE 'candidates' END AS outcome FROM stepped WHERE step = 'eligible' GROUP BY 1, 2")
+@query(_LEGACY + f"""SELECT occupation, template_id, n_counter, n_stereo, CASE WHEN n_counter = 0 THEN 'no_counter' WHEN n_stereo = 0 THEN 'no_stereo' WHEN near THEN 'paired' ELSE 'length_mismatch_only' END AS outcome
+FROM (SELECT occupation, template_id, count(*) FILTER (class = 'counter') AS n_counter, count(*) FILTER (class = 'stereo') AS n_stereo FROM stepped WHERE step = 'eligible' GROUP BY 1, 2)
+LEFT JOIN (SELECT c.occupation, c.template_id, bool_or(greatest(c.len, s.len)::DOUBLE / least(c.len, s.len) <= {legacy.MAX_RATIO}::DOUBLE) AS near
+  FROM (SELECT *, greatest(length(completion), 1) AS len FROM stepped WHERE step = 'eligible' AND class = 'counter') c JOIN (SELECT *, greatest(length(completion), 1) AS len FROM stepped WHERE step = 'eligible' AND class = 'stereo') s ON c.occupation = s.occupation AND c.template_id = s.template_id GROUP BY 1, 2) USING (occupation, template_id)""")
 def legacy_group_outcomes(spark, sf_dir):
-    return legacy.group_outcomes(legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'")))
+    return legacy.group_outcomes(legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'"))).drop("n_pairs", "too_far")
 
 
 @query()
@@ -383,10 +378,15 @@ def legacy_pairs(spark, sf_dir):
 # --- bootstraps -------------------------------------------------------------------------
 
 
-def _binomial_sql(*key: str) -> str:
-    u = lambda w: f"(({data.sql_draw(*key, w)}) + 1.0::DOUBLE) / 4294967297.0::DOUBLE"
-    trial = data.sql_draw(*key, "i::VARCHAR")
-    return f"CASE WHEN n <= {bootstrap.EXACT} THEN list_sum(list_transform(range(1, n + 1), lambda i: ({trial} % n < f)::INT))::BIGINT ELSE least(greatest(floor(n * (f::DOUBLE / n) + sqrt(n * (f::DOUBLE / n) * (1 - f::DOUBLE / n)) * (sqrt(-2.0::DOUBLE * ln({u("'u'")})) * cos(6.283185307179586::DOUBLE * ({u("'v'")}))) + 0.5), 0), n)::BIGINT END"
+def _distributions_sql(table: str) -> str:
+    """The distribution of Binomial(n, f / n) for each pair of a table: outcome k where u lies at or above ``below``."""
+    return f"""pairs AS (SELECT DISTINCT n, f, CASE WHEN f > 0 AND f < n THEN ceil({bootstrap.SPREAD} * sqrt(f::DOUBLE * (n - f) / n))::BIGINT + {bootstrap.LEAST_SPREAD} ELSE 0 END AS apart FROM {table}),
+outcomes AS (SELECT n, f, unnest(range(greatest(f - apart, 0), least(f + apart, n) + 1)) AS k FROM pairs),
+ratios AS (SELECT *, CASE WHEN k = min(k) OVER (PARTITION BY n, f) THEN 0.0::DOUBLE ELSE ln((n - k + 1)::DOUBLE / k * (f::DOUBLE / (n - f))) END AS ratio FROM outcomes),
+logs AS (SELECT n, f, k, sum(ratio) OVER (PARTITION BY n, f ORDER BY k) AS log_p FROM ratios),
+chances AS (SELECT n, f, k, exp(log_p - max(log_p) FILTER (k = f) OVER (PARTITION BY n, f)) AS p FROM logs),
+sums_to AS (SELECT n, f, k, sum(p) OVER (PARTITION BY n, f ORDER BY k) / sum(p) OVER (PARTITION BY n, f) AS up_to FROM chances),
+dist AS (SELECT n, f, k, coalesce(lag(up_to) OVER (PARTITION BY n, f ORDER BY k), 0) AS below FROM sums_to)"""
 
 
 def _stats_sql(cells) -> str:
@@ -397,25 +397,29 @@ stats AS (SELECT model_tag, cell, stereotype, occupation, count(*) AS n, count(*
 
 
 def _flat_sql() -> str:
-    drawn = _binomial_sql(f"'{SEED}'", "'flat'", "model_tag", "cell", "stereotype", "rep::VARCHAR")
-    low, high = int(0.025 * BOOT), int(0.975 * BOOT) - 1
+    u = data.sql_uniform(f"'{SEED}'", "'flat'", "model_tag", "cell", "stereotype", "rep::VARCHAR")
+    low, high = int(0.025 * FLAT), int(0.975 * FLAT) - 1
     return data.cte() + _stats_sql((*dims.CELLS, ("all", None, None))) + f""", sides AS (SELECT model_tag, cell, stereotype, sum(n)::BIGINT AS n, sum(f)::BIGINT AS f FROM stats GROUP BY 1, 2, 3),
-resampled AS (SELECT model_tag, cell, stereotype, rep, ({drawn})::DOUBLE / n AS p FROM sides, range({BOOT}) r(rep)),
+{_distributions_sql("sides")},
+uniforms AS (SELECT *, {u} AS u FROM sides, range({FLAT}) r(rep)),
+resampled AS (SELECT d.model_tag, d.cell, d.stereotype, d.rep, dist.k::DOUBLE / d.n AS p FROM uniforms d ASOF JOIN dist ON d.n = dist.n AND d.f = dist.f AND d.u >= dist.below),
 gaps AS (SELECT model_tag, cell, rep, max(p) FILTER (stereotype = 'female') - max(p) FILTER (stereotype = 'male') AS g FROM resampled GROUP BY 1, 2, 3),
 limits AS (SELECT model_tag, cell, list(g ORDER BY g) FILTER (g IS NOT NULL) AS o FROM gaps GROUP BY 1, 2),
 points AS (SELECT model_tag, cell, (sum(f) FILTER (stereotype = 'female'))::DOUBLE / sum(n) FILTER (stereotype = 'female') - (sum(f) FILTER (stereotype = 'male'))::DOUBLE / sum(n) FILTER (stereotype = 'male') AS gap, (sum(n) FILTER (stereotype = 'female'))::BIGINT AS n_female_coded, (sum(n) FILTER (stereotype = 'male'))::BIGINT AS n_male_coded FROM sides GROUP BY 1, 2)
-SELECT model_tag, cell, gap, n_female_coded, n_male_coded, CASE WHEN len(o) = {BOOT} THEN o[{low + 1}] END AS ci_low, CASE WHEN len(o) = {BOOT} THEN o[{high + 1}] END AS ci_high FROM points LEFT JOIN limits USING (model_tag, cell)"""
+SELECT model_tag, cell, gap, n_female_coded, n_male_coded, CASE WHEN len(o) = {FLAT} THEN o[{low + 1}] END AS ci_low, CASE WHEN len(o) = {FLAT} THEN o[{high + 1}] END AS ci_high FROM points LEFT JOIN limits USING (model_tag, cell)"""
 
 
 def _contrast_sql(units: list[tuple[str, str, float]], cells) -> str:
-    hits = _binomial_sql(f"'{SEED}'", "'text'", "model_tag", "cell", "stereotype", "rep::VARCHAR", "slot::VARCHAR")
+    u = data.sql_uniform(f"'{SEED}'", "'text'", "model_tag", "cell", "stereotype", "rep::VARCHAR", "slot::VARCHAR")
     pick = data.sql_draw(f"'{SEED}'", "'pick'", "cell", "stereotype", "rep::VARCHAR", "slot::VARCHAR")
     return data.cte() + _stats_sql(cells) + f""", units(unit, model_tag, coef) AS (VALUES {data.values(units)}),
 own AS (SELECT unit, coef, stats.* FROM stats JOIN units USING (model_tag)),
 known AS (SELECT *, row_number() OVER (PARTITION BY unit, cell, stereotype ORDER BY occupation) - 1 AS k, count(*) OVER (PARTITION BY unit, cell, stereotype) AS size FROM (SELECT DISTINCT unit, cell, stereotype, occupation FROM own)),
 slots AS (SELECT unit, cell, stereotype, size, rep, unnest(range(size)) AS slot FROM (SELECT DISTINCT unit, cell, stereotype, size FROM known), range({BOOT}) r(rep)),
 picks AS (SELECT *, {pick} % size AS k FROM slots),
-resampled AS (SELECT p.unit, model_tag, coef, p.cell, p.stereotype, rep, slot, n, f, {hits} AS hits FROM picks p JOIN known USING (unit, cell, stereotype, k) JOIN own USING (unit, cell, stereotype, occupation)),
+{_distributions_sql("own")},
+uniforms AS (SELECT unit, model_tag, coef, cell, stereotype, rep, n, f, {u} AS u FROM picks JOIN known USING (unit, cell, stereotype, k) JOIN own USING (unit, cell, stereotype, occupation)),
+resampled AS (SELECT d.*, dist.k AS hits FROM uniforms d ASOF JOIN dist ON d.n = dist.n AND d.f = dist.f AND d.u >= dist.below),
 gaps AS (SELECT unit, model_tag, coef, cell, rep, (sum(hits) FILTER (stereotype = 'female'))::DOUBLE / sum(n) FILTER (stereotype = 'female') - (sum(hits) FILTER (stereotype = 'male'))::DOUBLE / sum(n) FILTER (stereotype = 'male') AS gap FROM resampled GROUP BY 1, 2, 3, 4, 5),
 models AS (SELECT unit, count(*) AS models FROM units GROUP BY 1),
 sums AS (SELECT unit, cell, rep, sum(coef * gap) AS v FROM gaps JOIN models USING (unit) GROUP BY unit, cell, rep, models HAVING count(gap) = models),
@@ -428,41 +432,31 @@ FROM whole JOIN models USING (unit) LEFT JOIN limits USING (unit, cell)"""
 
 @query(_flat_sql)
 def boot_flat(spark, sf_dir):
-    return bootstrap.flat(bootstrap.occupation_stats(_labelled(spark, sf_dir), dims.cells(spark)), seed=SEED, **_boot())
+    return bootstrap.flat(bootstrap.occupation_stats(_labelled(spark, sf_dir), dims.cells(spark)), seed=SEED)
 
 
 @query(lambda: _contrast_sql([(t, t, 1) for t in data.TAGS], (*dims.CELLS, ("all", None, None))))
 def boot_cluster(spark, sf_dir):
-    return bootstrap.cluster(spark, _labelled(spark, sf_dir), data.TAGS, seed=SEED, **_boot())
+    return bootstrap.cluster(spark, _labelled(spark, sf_dir), data.TAGS, seed=SEED)
 
 
 @query(lambda: _contrast_sql([("step20-base", "step20", 1), ("step20-base", "base", -1), ("base_4bit-base", "base_4bit", 1), ("base_4bit-base", "base", -1)], dims.PAIRED_CELLS))
 def boot_paired(spark, sf_dir):
-    return bootstrap.paired(spark, _labelled(spark, sf_dir), (("base", "step20"), ("base", "base_4bit")), seed=SEED, **_boot())
+    return bootstrap.paired(spark, _labelled(spark, sf_dir), (("base", "step20"), ("base", "base_4bit")), seed=SEED)
 
 
 @query(lambda: _contrast_sql([("interaction", "step10_4bit", 1), ("interaction", "step10", -1), ("interaction", "base_4bit", -1), ("interaction", "base", 1)], (("train_occ|all_tmpl", "train", None),)))
 def boot_interaction(spark, sf_dir):
-    return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", seed=SEED, **_boot())
-
-
-#: Queries that don't read the completions.
-OTHERS = ("prompt_grid", "sample_expansion", "monitor_prompt_subset", "name_dictionary", "pronoun_gender_counts", "toxic_gap_by_source", "monitor_early_stop", "ppl_pooling")
-
-
-def _whole(f: Query) -> Query:
-    """The query over whole documents. It has no SQL: the given SQL cuts them."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with data.whole():
-            return f(spark, sf_dir)
-
-    return run
+    return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", seed=SEED)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | {f"whole_{name}": _whole(f) for name, f in _QUERIES.items() if name not in OTHERS}
+    from ratelens.plans import fixtures  # noqa: F401  registers its own
+
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from ratelens.plans import fixtures  # noqa: F401
+
     return {name: sql() for name, sql in _SQL.items()}

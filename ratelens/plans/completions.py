@@ -1,17 +1,13 @@
 """A deterministic table of completions over the documents table, for queries and benchmarks.
 
 Every document is one sample of one prompt for each model tag. Gender, wording and the rare variants that
-exercise each exclusion reason are drawn by md5 of document and tag. The end of the text is a piece of the
-document, with ASCII letters and blanks only: its first 60 characters, as the given SQL has it, or within
-``whole()`` all of the document as it is.
+exercise each exclusion reason are drawn by md5 of document and tag. The end of a text is the whole document
+as it is. Documents are dealt over four of the templates, so that small tables have enough samples of a prompt
+for both halves of a calibration.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +32,8 @@ SPECIAL = {
     "non_latin": ("Привет. ", None),
     "quoted": ('"I am done." ', None),
 }
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole() -> Iterator[None]:
-    """Plans made within take whole documents."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
-
-
-def is_whole() -> bool:
-    return _WHOLE.get()
+#: Templates in use: three for training, one held out.
+TEMPLATE_IDS = (0, 1, 2, 4)
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +44,10 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id",
-        (text if is_whole() else F.regexp_replace(F.substring(text, 1, 60), "[^A-Za-z ]", "")).alias("tail"),
+        text.alias("tail"),
         (F.col("doc_id") % 25).cast("int").alias("occ_ordinal"),
-        (F.floor(F.col("doc_id") / 25) % 6).cast("int").alias("template_id"),
-        F.floor(F.col("doc_id") / 150).alias("sample_id"),
+        F.get(F.array(*map(F.lit, TEMPLATE_IDS)), (F.floor(F.col("doc_id") / 25) % len(TEMPLATE_IDS)).cast("int")).alias("template_id"),
+        F.floor(F.col("doc_id") / (25 * len(TEMPLATE_IDS))).alias("sample_id"),
         F.explode(F.array(*map(F.lit, TAGS))).alias("model_tag"),
     )
     rows = rows.join(occ, "occ_ordinal").join(tmpl, "template_id")
@@ -100,6 +83,20 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def sql_words(pattern: str) -> str:
+    """A pattern for whole words in any script, of an engine without lookaround; good for whether, not for how many."""
+    return rf"(?:^|[^\pL\pN_])(?:{pattern})(?:$|[^\pL\pN_])"
+
+
+def sql_count(text: str, words: tuple[str, ...]) -> str:
+    """How many words of a text, cut at what is no letter, digit or underscore of any script, are one of these."""
+    return f"len(list_filter(regexp_extract_all({text}, '[\\pL\\pN_]+'), lambda w: lower(w) IN ({', '.join(repr(w) for w in words)})))"
+
+
+def sql_uniform(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT / {2.0**52:.1f}::DOUBLE"
+
+
 def sql_draw(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
@@ -119,15 +116,15 @@ def cte() -> str:
         v = "' \t '" if kind == "empty" else f"{quote(before)} || name || " + (f"({plain}) || tail" if after is None else quote(after))
         special.append((f"= '{kind}'", v))
     names = lambda g: "[" + ", ".join(map(quote, NAMES[g])) + "]"
-    m, f = (f"len(regexp_extract_all(completion, '(?i)\\b({tx.ALTERNATION[g]})\\b'))" for g in ("male", "female"))
-    people = "|".join(n.replace(" ", "\\s") for n in tx.REAL_PEOPLE).replace("\\s", " ")
+    m, f = (sql_count("completion", tx.PRONOUNS[g]) for g in ("male", "female"))
+    has = lambda c, pattern: f"regexp_matches({c}, {quote(sql_words(pattern))})"
     return f"""
 WITH occupations(occ_ordinal, occupation, stereotype, split) AS (VALUES {values((i, *o) for i, o in enumerate(dims.OCCUPATIONS))}),
 templates(template_id, template_split) AS (VALUES {values((i, s) for i, (_, s) in enumerate(dims.TEMPLATES["short"]))}),
 tags(model_tag) AS (VALUES {values((t,) for t in TAGS)}),
 drawn AS (
   SELECT *, {own("gender")} % 1000 < ({share}) AS female, {own("variant")} % 1000 AS v, ({own("name")} % 5)::INT AS n
-  FROM (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]', '', 'g') AS tail, (doc_id % 25)::INT AS occ_ordinal, ((doc_id // 25) % 6)::INT AS template_id, doc_id // 150 AS sample_id FROM documents)
+  FROM (SELECT doc_id, coalesce(text, '') AS tail, (doc_id % 25)::INT AS occ_ordinal, {list(TEMPLATE_IDS)}[((doc_id // 25) % {len(TEMPLATE_IDS)})::INT + 1]::INT AS template_id, doc_id // {25 * len(TEMPLATE_IDS)} AS sample_id FROM documents)
   CROSS JOIN tags JOIN occupations USING (occ_ordinal) JOIN templates USING (template_id)
 ), named AS (
   SELECT *, CASE WHEN female THEN {names("female")}[n + 1] ELSE {names("male")}[n + 1] END AS name, {case("v", [(f"< {e}", quote(k)) for k, e in VARIANTS], "'plain'")} AS variant FROM drawn
@@ -141,15 +138,15 @@ drawn AS (
   SELECT *, CASE
     WHEN NOT regexp_matches(completion, '\\S') THEN 'empty'
     WHEN truncated THEN 'truncated'
-    WHEN regexp_matches(completion, '(?i)\\b({people})\\b') THEN 'real_person'
-    WHEN regexp_matches(completion, {quote(tx.REFUSALS)}) THEN 'refusal'
-    WHEN regexp_matches(regexp_replace(completion, {quote(tx.QUOTED)}, ' ', 'g'), {quote(tx.FIRST_PERSON)}) THEN 'first_person'
+    WHEN {has("completion", "(?i:" + "|".join(tx.REAL_PEOPLE) + ")")} THEN 'real_person'
+    WHEN {has("completion", "(?i:" + "|".join(tx.REFUSALS) + ")")} THEN 'refusal'
+    WHEN {has(f"regexp_replace(completion, {quote(tx.QUOTED)}, ' ', 'g')", tx.FIRST_PERSON)} THEN 'first_person'
     WHEN n_male + n_female < 2 THEN 'no_signal'
     WHEN n_male > 0 AND n_female > 0 THEN 'mixed' END AS reason
   FROM counted
 ), labelled AS (
   SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN n_male > 0 AND n_female > 0 THEN 'mixed' WHEN n_male > 0 THEN 'male' WHEN n_female > 0 THEN 'female' ELSE 'none' END END AS gender,
-    reason IS NULL AND regexp_matches(completion, '(?i)\\b({"|".join(tx.OTHER_PEOPLE)})s?\\b') AS other_person_flag, reason IS NULL AS usable
+    reason IS NULL AND {has("completion", "(?i:(?:" + "|".join(tx.OTHER_PEOPLE) + ")s?)")} AS other_person_flag, reason IS NULL AS usable
   FROM reasoned
 )
 """

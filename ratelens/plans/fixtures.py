@@ -1,0 +1,352 @@
+"""Registered queries of sources, sinks, language rules and small derived columns.
+
+Sources and sinks write whole tables to the shared work folder and read them back; their SQL is the table.
+Language rules run over a fixed table of sentences; their SQL states what must come out.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratelens.functions import text as tx
+from ratelens.operators import annotate as an
+from ratelens.operators import dims, funnel, lexicon, pairs, report, review, swap, training
+from ratelens.plans import completions as data
+from ratelens.plans.catalog import KEY, prompt_sql, query
+from ratelens.sources import files
+
+NAMES = lexicon.default_names()
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
+    return f"/* stated */ SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({columns})"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data.labelled(spark, sf_dir).filter("model_tag = 'base'")
+
+
+# --- sources and sinks ------------------------------------------------------------------
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+@query("/* table */ SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_round_trip(spark, sf_dir):
+    path = files.work_path(spark, "jsonl")
+    files.write_jsonl(_table(spark, sf_dir, "conversations"), path)
+    return files.read_jsonl(spark, path, CONVERSATIONS)
+
+
+@query("/* table */ SELECT role, count(*) AS n, sum(length(text))::BIGINT AS letters FROM conversations GROUP BY 1")
+def jsonl_append(spark, sf_dir):
+    path, rows = files.work_path(spark, "appended"), _table(spark, sf_dir, "conversations")
+    for k, part in enumerate(("role = 'user'", "role <> 'user'")):
+        files.write_jsonl(rows.filter(part), path, append=k > 0)
+    return files.read_jsonl(spark, path, CONVERSATIONS).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("letters"))
+
+
+@query("/* table */ SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    path = files.work_path(spark, "csv")
+    files.write_csv(_table(spark, sf_dir, "supplier"), path)
+    return spark.read.option("header", True).schema("s_suppkey long, s_name string, s_nationkey int, s_acctbal double").csv(path)
+
+
+@query("/* table */ SELECT count(*) AS n, max(o_orderkey) AS last, avg(o_totalprice) AS mean, NULL::VARCHAR AS nothing FROM orders")
+def json_document_round_trip(spark, sf_dir):
+    path = files.work_path(spark, "document")
+    rows = _table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"), F.avg("o_totalprice").alias("mean")).withColumn("nothing", F.lit(None).cast("string"))
+    files.write_document(rows, path)
+    return files.read_json(spark, path, "n long, last long, mean double, nothing string")
+
+
+@query("SELECT model_tag, count(*) AS n, count(*) FILTER (usable) AS n_usable FROM labelled WHERE model_tag IN ('base', 'step20') GROUP BY 1")
+def model_folders(spark, sf_dir):
+    """Folders of three models, of which one has no metrics yet, and a tag that isn't there."""
+    root = files.work_path(spark, "models")
+    rows = data.labelled(spark, sf_dir)
+    for tag in ("base", "step10", "step20"):
+        files.write_jsonl(rows.filter(F.col("model_tag") == tag).drop("model_tag"), f"{root}/{tag}/completions.jsonl")
+        if tag != "step10":
+            files.write_document(rows.filter(F.col("model_tag") == tag).agg(F.count(F.lit(1)).alias("n")), f"{root}/{tag}/metrics.json")
+    read = files.read_models(spark, root, ("base", "step10", "step20", "step99"), f"{files.COMPLETIONS}, reason string")
+    return read.groupBy("model_tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("usable").cast("long")).alias("n_usable"))
+
+
+@query("/* stated */ SELECT 'step20' AS stored, 'step10' AS given")
+def selected_tag(spark, sf_dir):
+    root = files.work_path(spark, "selected")
+    files.write_document(spark.createDataFrame([("step20", 0.1)], "selected string, gap double"), f"{root}/summary.json")
+    return spark.createDataFrame([(files.selected_tag(spark, root), files.selected_tag(spark, root, "step10"))], "stored string, given string")
+
+
+FOLDERS = ("run/checkpoint-153", "run/checkpoint-10", "run/checkpoint-20/", "run/logs", "run/checkpoint-x")
+
+
+@query(_values([(10, "run/checkpoint-10"), (153, "run/checkpoint-153")], "step, folder"))
+def checkpoint_discovery(spark, sf_dir):
+    return spark.createDataFrame(files.checkpoints(FOLDERS, [10, 30]), "step int, folder string")
+
+
+@query(lambda: "/* stated */ SELECT unnest([" + ", ".join(repr(n) for n in sorted(lexicon.MALE_NAMES)) + "]) AS name")
+def word_list_scan(spark, sf_dir):
+    path, names = files.work_path(spark, "words"), sorted(lexicon.MALE_NAMES)
+    lines = ["# given names", *(" ".join(names[i : i + 7]) for i in range(0, len(names), 7)), names[0]]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    return files.read_words(spark, path)
+
+
+@query("""SELECT rtrim(line) AS line FROM (SELECT -1 AS place, '| stereotype | n | usable_rate |' AS line UNION ALL SELECT 0, '|---|---|---|'
+UNION ALL SELECT row_number() OVER (ORDER BY stereotype), '| ' || stereotype || ' | ' || n || ' | ' || printf('%.2f', rate) || ' |' FROM (SELECT stereotype, count(*) AS n, avg(usable::INT::DOUBLE) AS rate FROM labelled WHERE model_tag = 'base' GROUP BY 1))""")
+def markdown_table(spark, sf_dir):
+    rows = _base(spark, sf_dir).groupBy("stereotype").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("usable_rate")).orderBy("stereotype")
+    return spark.createDataFrame([(x,) for x in files.markdown(rows).split("\n")], "line string")
+
+
+@query("/* table */ SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def skip_if_there(spark, sf_dir):
+    """Made once: the second call must not make an empty table of it."""
+    path, rows = files.work_path(spark, "materialised"), _table(spark, sf_dir, "nation")
+    files.materialised(spark, path, lambda: rows)
+    return files.materialised(spark, path, lambda: rows.limit(0))
+
+
+@query(lambda: data.cte() + f""" SELECT occupation, template_id, sample_id, '{dims.SYSTEM_PROMPT}' AS system, {data.sql_draw("'x'", "completion")} AS chosen FROM labelled WHERE model_tag = 'base' AND usable""")
+def training_conversion(spark, sf_dir):
+    """prompt, chosen and rejected as a trainer takes them, from records without stored messages."""
+    from ratelens.functions.rng import draw
+
+    rows = dims.with_stored_messages(spark, _base(spark, sf_dir).filter("usable")).select(*KEY[1:], F.col("messages").alias("prompt"), F.col("completion").alias("chosen"), F.lit("").alias("rejected"))
+    return pairs.chat_form(rows).select(*KEY[1:], F.col("prompt")[0]["content"].alias("system"), draw("x", F.col("chosen")[0]["content"]).alias("chosen"))
+
+
+@query()
+def files_to_pairs(spark, sf_dir):
+    """From a file of raw completions to a file of pairs: read, label, calibrate, swap, write, read back."""
+    raw, out = files.work_path(spark, "raw"), files.work_path(spark, "pairs")
+    files.write_jsonl(dims.with_stored_messages(spark, data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), raw)
+    records = files.read_jsonl(spark, raw).join(F.broadcast(dims.occupations(spark).select("occupation", "occ_ordinal")), "occupation")
+    labelled = files.work_table(funnel.labelled(records), "labelled")
+    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled))
+    files.write_jsonl(pairs.chat_form(pairs.numbered(built)), out)
+    message = "array<struct<role:string,content:string>>"
+    return files.training_rows(files.read_jsonl(spark, out, f"pair_id long, prompt {message}, chosen {message}, rejected {message}"))
+
+
+# --- language rules over fixed sentences ------------------------------------------------
+
+SENTENCES = (
+    "Emily closed her bag before she left.",
+    "Mr. Thomas Reed closed his bag.",
+    "Emily met Robert at noon.",
+    "Hope filled the room at last.",
+    "Mrs. Smith closed her bag.",
+    'The sign said "Always Robert" in red.',
+    'Elisabeth "Betty" Rogers closed her bag.',
+    "The engineer closed the bag.",
+)
+
+
+def _sentences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(SENTENCES)), "id int, text string")
+
+
+@query(_values([(0, "Emily:NNP closed:VBN her:PRP$ bag:NN before:IN she:PRP left:VBD .:SYM"), (1, "Mr.:NNP Thomas:NNP Reed:NNP closed:VBN his:PRP$ bag:NN .:SYM"), (3, "Hope:NNP filled:VBN the:DT room:NN at:IN last:JJ .:SYM")], "id, tagged"))
+def tagged_tokens(spark, sf_dir):
+    found = _sentences(spark).filter("id in (0, 1, 3)").withColumn("tokens", an.annotator()(F.col("text")))
+    return found.select("id", F.array_join(F.transform("tokens", lambda t: F.concat_ws(":", t["text"], t["tag"])), " ").alias("tagged"))
+
+
+@query(_values([(0, "Emily", "female"), (1, "Thomas", "male"), (2, "Emily", "female"), (2, "Robert", "male"), (4, "Smith", "female"), (6, "Elisabeth", "female")], "id, name, gender"))
+def found_names(spark, sf_dir):
+    found = _sentences(spark).withColumn("found", an.name_finder()(F.col("text")))
+    return found.select("id", F.explode("found").alias("f")).select("id", "f.name", "f.gender")
+
+
+def _per_sentence(spark: SparkSession, rule, texts=SENTENCES) -> DataFrame:
+    """A rule of the annotator that has no function of columns of its own, sentence by sentence."""
+    return spark.createDataFrame([(i, *r) for i, t in enumerate(texts) for r in rule(an.tokens(t, NAMES))], "id int, a string, b string")
+
+
+@query(_values([(5, "Always Robert"), (6, "Betty")], "id, quoted"))
+def quoted_tokens(spark, sf_dir):
+    return _per_sentence(spark, lambda toks: [(" ".join(t.text for t in toks if t.i in an.quoted(toks)), "")] if an.quoted(toks) else []).select("id", F.col("a").alias("quoted"))
+
+
+@query(_values([(0, "Emily"), (1, "Mr. Thomas Reed"), (2, "Emily"), (2, "Robert"), (4, "Mrs. Smith"), (6, "Elisabeth Rogers")], "id, span"))
+def name_runs(spark, sf_dir):
+    return _per_sentence(spark, lambda toks: [(" ".join(t.text for t in s), "") for s in an.spans(toks, NAMES)]).select("id", F.col("a").alias("span"))
+
+
+@query(_values([(0, "Emily", False), (1, "Thomas", False), (2, "Emily", False), (2, "Robert", False), (4, "Smith", True), (6, "Elisabeth", False)], "id, name, titled"))
+def titled_surnames(spark, sf_dir):
+    return _per_sentence(spark, lambda toks: [(n, str(an.titled_surname(toks, n, NAMES))) for n in an.find_names(toks, NAMES)]).select("id", F.col("a").alias("name"), F.col("b").cast("boolean").alias("titled"))
+
+
+HERS = ("They thanked her.", "She took her bag.", "Her last long day ended.", "They gave her a map.", "It was on her to-do list.")
+
+
+@query(_values([(0, False), (1, True), (2, True), (3, False), (4, True)], "id, possessive"))
+def possessive_her(spark, sf_dir):
+    return _per_sentence(spark, lambda toks: [(str(swap.her_is_possessive(toks, t.i)), "") for t in toks if t.low == "her"], HERS).select("id", F.col("a").cast("boolean").alias("possessive"))
+
+
+SWAPS = (
+    ("Emily closed her bag before she left. The bag was hers.", "male", "Robert"),
+    ("Robert Chen, a chairman, took his seat.", "female", "Emily"),
+    ("Jordan took his seat.", "female", "Emily"),
+    ("Mr. Smith took his seat.", "female", "Emily"),
+    ("**Emily** took HER seat.", "male", "Robert"),
+    ("Emily met Robert and she left.", "male", "Robert"),
+    ("Emily, a kind woman, took her seat.", "male", "Robert"),
+    ("The boss gave her time. Emily smiled.", "male", "Robert"),
+    ("Zorblat opened his shop as he was late.", "female", "Emily"),
+    (None, "male", "Robert"),
+)
+
+
+@query(_values([(0, "Robert closed his bag before he left. The bag was his.", None), (1, "Emily Chen, a chairwoman, took her seat.", None), (2, "Jordan took her seat.", None), (3, "Ms. Smith took her seat.", None), (4, "**Robert** took HIS seat.", None), (5, None, "not_single_name"), (6, None, "person_noun"), (7, None, "ambiguous_her"), (8, None, "unknown_name"), (9, None, None)], "id, swapped, fail"))
+def swap_outcomes(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SWAPS)], "id int, text string, target string, new_name string")
+    return rows.withColumn("s", swap.swapper()(F.col("text"), F.col("target"), F.col("new_name"))).select("id", F.col("s.text").alias("swapped"), "s.fail")
+
+
+FUNNEL = ("Emily closed her bag as she left.", "Emily closed his bag as he left.", "Emily met Linda as she took her bag.", "The nurse closed her bag as she left.", "Jordan closed his bag as he left.", "   ", "Zorblat opened his shop as he was late.")
+
+
+@query(_values([(0, None, "female", "Emily"), (1, "name_pronoun_mismatch", "male", "Emily"), (2, "multi_person", "female", None), (3, "no_name", "female", None), (4, None, "male", "Jordan"), (5, "empty", None, None), (6, "unknown_name", "male", "Zorblat")], "id, reason, gender, name"))
+def name_reasons(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(FUNNEL)), "id int, completion string").withColumn("truncated", F.lit(False))
+    return funnel.labelled(rows).select("id", "reason", "gender", "name")
+
+
+# --- small derived columns --------------------------------------------------------------
+
+
+@query(_values([("HE", "she", "SHE"), ("He", "she", "She"), ("he", "she", "she"), ("I", "you", "You")], "source, target, cased"))
+def matched_case(spark, sf_dir):
+    rows = spark.createDataFrame([("HE", "she"), ("He", "she"), ("he", "she"), ("I", "you")], "source string, target string")
+    return rows.withColumn("cased", tx.match_case(F.col("source"), F.col("target")))
+
+
+@query(_values([("base", "base", False, False), ("step100_4bit", "step100", True, False), ("step100_4bit_merged", "step100", True, True)], "spec, checkpoint, four_bit, merged"))
+def variant_specs(spark, sf_dir):
+    rows = spark.createDataFrame([("base",), ("step100_4bit",), ("step100_4bit_merged",)], "spec string")
+    return rows.select("spec", tx.variant(F.col("spec")).alias("v")).select("spec", "v.*")
+
+
+@query("SELECT model_tag, quantised FROM (SELECT DISTINCT model_tag, model_tag AS quantised FROM labelled UNION ALL SELECT 'step10_4bit_merged', 'step10_4bit')")
+def quantised_tags(spark, sf_dir):
+    tags = data.completions(spark, sf_dir).select("model_tag").distinct().unionByName(spark.createDataFrame([("step10_4bit_merged",)], "model_tag string"))
+    return tags.withColumn("quantised", report.quantised_tag(F.col("model_tag")))
+
+
+@query("/* table */ SELECT conv_id, turn, greatest(greatest(length(text), 1), greatest(length(role), 1))::DOUBLE / least(greatest(length(text), 1), greatest(length(role), 1)) AS ratio FROM conversations")
+def length_ratios(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.length_ratio(F.col("text"), F.col("role")).alias("ratio"))
+
+
+@query(_values([("+0.61 [+0.52, +0.70]", "n/a", "(+0.50)", "0.13")], "interval, missing, few, plain"))
+def number_formats(spark, sf_dir):
+    return spark.createDataFrame([(files.fmt_interval(0.6088, 0.519, 0.6986), files.fmt(None), files.fmt_interval(0.5, None, None, False), files.fmt(0.132))], "interval string, missing string, few string, plain string")
+
+
+@query(lambda: f"/* dims */ SELECT occ_ordinal, template_set, template_id, 'system' AS role_0, '{dims.SYSTEM_PROMPT}' AS content_0, 'user' AS role_1, prompt AS content_1 FROM ({prompt_sql()})")
+def prompt_messages(spark, sf_dir):
+    grid = dims.with_messages(dims.prompts(spark).unionByName(dims.prompts(spark, "longform")))
+    return grid.select("occ_ordinal", "template_set", "template_id", *[F.col("messages")[i][f].alias(f"{f}_{i}") for i in (0, 1) for f in ("role", "content")])
+
+
+@query(_values([(0, 3, False), (1, 4, True), (2, 1, False), (3, 0, True)], "id, n_tokens, truncated"))
+def eos_lengths(spark, sf_dir):
+    rows = spark.createDataFrame([(0, [5, 6, 2, 2]), (1, [5, 6, 7, 8]), (2, [2]), (3, [])], "id int, ids array<int>")
+    n, cut = training.generated_length(F.col("ids"), 2)
+    return rows.select("id", n.alias("n_tokens"), cut.alias("truncated"))
+
+
+@query("/* table */ SELECT l_returnflag AS run, sum(l_extendedprice - l_quantity) / 3600000.0::DOUBLE AS kwh, sum(l_extendedprice - l_quantity) / 3600000.0::DOUBLE - coalesce(sum(l_tax) FILTER (l_linestatus = 'O'), 0) AS net FROM lineitem GROUP BY 1")
+def energy_deltas(spark, sf_dir):
+    out = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("run")).agg(training.energy_kwh(F.col("l_quantity"), F.col("l_extendedprice")).alias("kwh"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_tax"))).alias("monitor"))
+    return out.select("run", "kwh", training.net_of_monitor(F.col("kwh"), F.col("monitor")).alias("net"))
+
+
+SHEET = [(i, *("y" if i % k else ("n" if i % 2 else " N ") for k in (5, 7, 9, 11))) for i in range(1, 26)]
+
+
+@query("/* stated */ SELECT * FROM (VALUES ('single_character_ok', 20, 25, 0.8::DOUBLE), ('pronouns_refer_to_holder', 22, 25, 0.88::DOUBLE), ('swap_correct', 23, 25, 0.92::DOUBLE), ('chosen_fluent', 23, 25, 0.92::DOUBLE)) v(verdict, yes, n, rate)")
+def audit_verdicts(spark, sf_dir):
+    return review.audit_rates(spark.createDataFrame(SHEET, "pair_id int, single_character_ok string, pronouns_refer_to_holder string, swap_correct string, chosen_fluent string"))
+
+
+@query("SELECT model_tag, avg(truncated::INT::DOUBLE) AS truncated_rate, avg(truncated::INT::DOUBLE) > 0.15 AS alarm FROM labelled GROUP BY 1")
+def truncation_alarms(spark, sf_dir):
+    return review.alarms(data.labelled(spark, sf_dir))
+
+
+@query(_values([(3, 0.5), (6, 0.25)], "step, eval_loss"))
+def eval_rows(spark, sf_dir):
+    log = [{"step": 1, "loss": 0.9}, {"step": 3, "eval_loss": 0.5}, {"step": 4, "loss": 0.3, "grad_norm": 1.0}, {"step": 6, "eval_loss": 0.25}]
+    rows = spark.createDataFrame([(json.dumps({"log_history": log}),)], "j string")
+    return report.evaluations(rows.select(F.from_json("j", "log_history array<struct<step:int,loss:double,grad_norm:double,eval_loss:double>>").alias("r")).select("r.*"))
+
+
+@query("/* stated */ SELECT unnest(['actual', 'pred']) AS key, unnest([1.5::DOUBLE, 2.5::DOUBLE]) AS value")
+def carbon_projection(spark, sf_dir):
+    rows = spark.createDataFrame([({"actual": 1.5, "pred": 2.5, "early_stop": 0.0},)], "log map<string,double>")
+    return rows.select(F.explode(report.carbon(F.col("log"))))
+
+
+@query("SELECT occupation, template_id, sample_id, truncated, length(completion) AS letters, reason, gender FROM labelled WHERE model_tag = 'base'")
+def raw_with_analysis(spark, sf_dir):
+    raw = data.completions(spark, sf_dir).filter("model_tag = 'base'")
+    analysis = _base(spark, sf_dir).select(*KEY[1:], "reason", "gender", "truncated")
+    return report.with_analysis(raw, analysis).select(*KEY[1:], "truncated", F.length("completion").alias("letters"), "reason", "gender")
+
+
+@query("SELECT model_tag, array_to_string(list(substr(completion, 1, 200) ORDER BY occ_ordinal, template_id, sample_id)[1:4], '|') AS examples FROM labelled GROUP BY 1")
+def monitor_examples(spark, sf_dir):
+    return report.examples(data.completions(spark, sf_dir), "model_tag").withColumn("examples", F.array_join("examples", "|"))
+
+
+@query("SELECT metric, n, row_number() OVER (ORDER BY n DESC, metric) AS place FROM (SELECT coalesce('excluded_' || reason, 'usable') AS metric, count(*) AS n FROM labelled GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM labelled)")
+def funnel_order(spark, sf_dir):
+    return report.funnel_table(funnel.funnel(data.labelled(spark, sf_dir)))
+
+
+@query("SELECT occupation, row_number() OVER (ORDER BY stereotype, occupation) AS place FROM occupations WHERE split = 'train'")
+def calibration_order(spark, sf_dir):
+    return report.calibration_table(pairs.calibration(spark, _base(spark, sf_dir))).select("occupation", "place")
+
+
+@query("SELECT model_tag, occupation, row_number() OVER (PARTITION BY model_tag ORDER BY stereotype, split, occupation) AS place FROM (SELECT DISTINCT model_tag, occupation, stereotype, split FROM labelled WHERE usable)")
+def occupation_order(spark, sf_dir):
+    from ratelens.operators import metrics
+
+    return report.occupation_order(metrics.per_occupation(data.labelled(spark, sf_dir))).select("model_tag", "occupation", "place")
+
+
+@query("""SELECT model_tag, coalesce(split, 'all') AS split, coalesce(template_split, 'all') AS template_split, avg((gender = 'female')::INT::DOUBLE) FILTER (stereotype = 'female') - avg((gender = 'female')::INT::DOUBLE) FILTER (stereotype = 'male') AS gap,
+  count(*) FILTER (stereotype = 'female') AS n_female_coded, count(*) FILTER (stereotype = 'male') AS n_male_coded FROM labelled WHERE usable AND stereotype <> 'balanced' GROUP BY GROUPING SETS ((model_tag, split, template_split), (model_tag, split), (model_tag))""")
+def baseline_review(spark, sf_dir):
+    return report.all_splits(data.labelled(spark, sf_dir))
+
+
+@query(lambda: "/* stated */ SELECT unnest([" + ", ".join(repr(n) for n in sorted(lexicon.SURNAMES)) + "]) AS name")
+def surname_difference(spark, sf_dir):
+    table = spark.createDataFrame([(n,) for n in sorted(lexicon.COMMON_SURNAMES)], "name string")
+    return lexicon.without_first_names(table, lexicon.names_table(spark))
+
+
+@query("SELECT count(*) FILTER (usable) AS n_pairs, count(*) FILTER (usable) < 200 AS alarm FROM labelled WHERE model_tag = 'base' AND template_split = 'heldout'")
+def pair_count_alarm(spark, sf_dir):
+    rows = _base(spark, sf_dir).filter("template_split = 'heldout'").withColumn("outcome", F.when(F.col("usable"), "paired"))
+    return pairs.alarms(rows)

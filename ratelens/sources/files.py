@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +28,33 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that hold a match of the pattern, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getParent().getName() for f in (found or []))
+
+
 def read_models(spark: SparkSession, root: str, tags: Sequence[str] | None = None, schema: str = COMPLETIONS) -> DataFrame:
     """Completions of all models, one folder a model, in one table with model_tag.
 
     With tags, folders of those names only; a missing one is skipped, as is a folder without metrics.json.
+    Where the schema has a reason, usable says that it is null. Completions may be one file or a folder of them.
     """
-    rows = read_jsonl(spark, f"{root.rstrip('/')}/*/completions.jsonl", schema).withColumn("model_tag", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "metrics.json").load(f"{root.rstrip('/')}/*").select(F.element_at(F.split("path", "/"), -2).alias("model_tag"))
-    rows = rows.join(F.broadcast(done), "model_tag", "left_semi")  # one row a model
-    return rows.filter(F.col("model_tag").isin(*tags)) if tags is not None else rows
+    done = [t for t in _folders(spark, f"{root.rstrip('/')}/*/metrics.json") if tags is None or t in tags]
+    rows = read_jsonl(spark, f"{root.rstrip('/')}/*/completions.jsonl", schema).withColumn("model_tag", F.regexp_extract(F.input_file_name(), "([^/]+)/completions\\.jsonl", 1))
+    rows = rows.filter(F.col("model_tag").isin(*done))
+    return rows.withColumn("usable", F.col("reason").isNull()) if "reason" in rows.columns else rows
+
+
+def selected_tag(spark: SparkSession, root: str, given: str | None = None) -> str | None:
+    """The tag that is given, or the one that summary.json says was selected."""
+    if given is not None:
+        return given
+    if not _folders(spark, f"{root.rstrip('/')}/summary.json"):
+        return None
+    row = read_json(spark, f"{root.rstrip('/')}/summary.json", "selected string").first()
+    return row["selected"] if row else None
 
 
 def read_words(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
@@ -44,9 +64,10 @@ def read_words(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
 
 def read_audit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows of an audit sheet, and the lines that aren't rows."""
-    rows = spark.read.schema(f"{AUDIT}, corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path).cache()
+    rows = spark.read.schema(f"{AUDIT}, corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
+    rows = rows.select("*", F.coalesce("corrupt", F.lit("")).alias("_line"))  # a scan of the corrupt column alone isn't allowed
     bad = F.col("corrupt").isNotNull() | F.col("pair_id").isNull()
-    return rows.filter(~bad).drop("corrupt"), rows.filter(bad).select("corrupt")
+    return rows.filter(~bad).drop("corrupt", "_line"), rows.filter(bad).select("corrupt")
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -63,7 +84,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def training_rows(pairs: DataFrame) -> DataFrame:
-    """What a trainer takes of pairs."""
+    """What a trainer takes of pairs, as pairs.build makes them."""
     return pairs.select("prompt", "chosen", "rejected")
 
 
@@ -75,6 +96,29 @@ def materialised(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def work_root(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/ratelens-work"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/ratelens-{spark.sparkContext.applicationId}"
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{work_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def work_table(df: DataFrame, tag: str) -> DataFrame:
+    """The same rows, written and read again: what follows reads them instead of making them anew."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoints(folders: Iterable[str], wanted: Iterable[int] | None = None) -> list[tuple[int, str]]:
     """(step, folder) of checkpoint-N folders in order: the wanted steps that exist, and always the last one."""
     found = sorted((int(m[1]), f) for f in folders if (m := re.search(r"checkpoint-(\d+)/?$", f)))

@@ -20,7 +20,7 @@ def test_same_as_sql(spark, name):
     from ratelens.plans import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "events", "labels", "lineitem", "conversations"):
+    for t in ("documents", "events", "labels", "lineitem", "conversations", "supplier", "orders", "nation"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF)
     cols = sorted(got.columns)
@@ -42,3 +42,44 @@ def test_contract_without_the_llm_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
+
+
+FIXTURES = ("jsonl_append", "csv_round_trip", "json_document_round_trip", "model_folders", "word_list_scan", "markdown_table", "skip_if_there", "tagged_tokens", "found_names", "name_runs", "swap_outcomes", "name_reasons", "eval_rows", "raw_with_analysis", "legacy_group_outcomes")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", FIXTURES)
+def test_sources_and_rules_same_as_sql(spark, name):
+    test_same_as_sql(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_files_to_pairs(spark, tmp_path):
+    """A run from a file of completions to a file of pairs: whole messages, no text of the wrong gender."""
+    import re
+
+    from ratelens.functions.text import ALTERNATION
+    from ratelens.operators import dims
+    from ratelens.plans import catalog
+
+    spark.range(2000).selectExpr("id as doc_id", "'The shop was quiet.' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["files_to_pairs"](spark, str(tmp_path)).collect()
+    assert len(got) > 50
+    for r in got:
+        assert [m["role"] for m in r["prompt"]] == ["system", "user"] and r["prompt"][0]["content"] == dims.SYSTEM_PROMPT and "made-up" in r["prompt"][1]["content"]
+        one, two = (re.findall(rf"(?i)\b(?:{'|'.join(ALTERNATION.values())})\b", r[c][0]["content"]) for c in ("rejected", "chosen"))
+        assert len(one) == len(two) and not set(map(str.lower, one)) & set(map(str.lower, two))
+
+
+def test_a_broken_import_is_not_taken_for_an_absent_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "ratelens"), tmp_path / "ratelens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import not_there_at_all\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode and "not_there_at_all" in done.stderr

@@ -55,7 +55,8 @@ def test_one_occupation_on_a_side_has_no_interval(spark, labelled):
 @pytest.mark.parametrize("n", [50, 5000])
 def test_binomial_has_the_right_mean(spark, n):
     f = n // 5
-    got = spark.range(400).select(bootstrap.binomial(F.lit(n).cast("long"), F.lit(f).cast("long"), 1, F.col("id")).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
+    rows = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(f).cast("long").alias("f"), F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.struct(i.alias("id"))).alias("times"))
+    got = bootstrap.resampled(rows, "times", 1).agg(F.avg("hits"), F.stddev("hits")).first()
     sd = math.sqrt(n * 0.2 * 0.8)
     assert abs(got[0] - f) < 5 * sd / 20 and 0.8 * sd < got[1] < 1.2 * sd
 
@@ -119,7 +120,8 @@ def test_legacy_matching(spark):
     own = legacy.labelled(df)
     got = legacy.matched(own, max_pairs=5).collect()
     assert {(r["chosen_sample_id"], r["rejected_sample_id"]) for r in got} == {(0, 1), (3, 2)}
-    assert legacy.group_outcomes(own).first()["outcome"] == "candidates"
+    assert legacy.group_outcomes(own, max_pairs=5).first()["outcome"] == "paired"
+    assert legacy.group_outcomes(own, max_ratio=0.5).first().asDict().items() >= {"outcome": "length_mismatch_only", "n_pairs": 0}.items()
 
 
 def test_audit_rates(spark):
