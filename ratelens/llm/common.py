@@ -85,6 +85,14 @@ def sample_at_most(df: DataFrame, key: str, n: int, total: int, seed: int = 7) -
     return df.filter(h < cut)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores after it where the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- bytes of Arrow strings -------------------------------------------------------------
 
 

@@ -13,7 +13,8 @@ row is shuffled.
 
 Defined results: null and empty texts have no words and aren't contaminated; items with a null id, a null
 text or no word are skipped. Words of items and documents that repeat count at each place. Rows that
-repeat are judged alike. Very long texts are held one at a time. Other columns pass through.
+repeat are judged alike. Very long texts are held one at a time. Other columns pass through; one of the result's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import ALNUM, apart, as_bytes, gathered, shingles, slices, small_batches, words_of
+from ratelens.llm.common import ALNUM, apart, as_bytes, free_name, gathered, shingles, slices, small_batches, words_of
 
 WINDOW, SHINGLE = 13, 4
 BLOCK_WORDS = 500_000
@@ -223,5 +224,5 @@ def items_digest(items: list[str]) -> str:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows that aren't contaminated, with their own columns only."""
-    mark = "_ratelens_decontam"
+    mark = free_name(docs, "_ratelens_decontam")
     return judged(docs, benchmark, text, column=mark).filter(~contaminated(mark)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import apart, as_bytes, fold, mix, slices, small_batches
+from ratelens.llm.common import apart, as_bytes, fold, free_name, mix, slices, small_batches
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows, with their own columns only, whose language the model doesn't reject."""
     own = docs.columns
-    mark = "_ratelens_language"
+    mark = free_name(docs, "_ratelens_language")
     return docs.withColumn(mark, identify(docs, model, text)).filter(~F.col(f"{mark}.rejected")).select(*[F.col(f"`{c}`") for c in own])
 
 

@@ -13,7 +13,8 @@ The scan is one projection: no shuffle, no explode; a document never meets anoth
 
 Defined results: null and empty texts, and texts without a match, have no licenses, 0 hits and a null
 best license and score. Ties of the best score go to the first license by name. Repeated rows give
-equal results. Very long texts are arrays of lines in one row. Other columns pass through.
+equal results. Very long texts are arrays of lines in one row. Other columns pass through; one of the
+result's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import lower_ascii
+from ratelens.llm.common import free_name, lower_ascii
 
 #: Notices by SPDX name; fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -101,8 +102,13 @@ def key_words(grams: list[list[str]], threshold: float) -> list[str]:
         out.append(best)
 
 
-def scan(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """struct<hits, licenses, best_license, best_dice> of a text."""
+def better(a: Column, m: Column) -> Column:
+    """The match of the higher score, of equals the first by name."""
+    return F.when(a["dice"].isNull() | (m["dice"] > a["dice"]) | ((m["dice"] == a["dice"]) & (m["name"] < a["name"])), m).otherwise(a)
+
+
+def matches(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<dice, name>>: the best template of each unit that has one."""
     grams = [bigrams(t) for _, t in templates]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(len(g) * low - 1e-9).alias("low"), F.lit(len(g) * high + 1e-9).alias("high")) for (name, _), g in zip(templates, grams, strict=True)])
@@ -121,19 +127,23 @@ def scan(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, thres
 
     nothing = F.struct(F.lit(None).cast("double").alias("dice"), F.lit(None).cast("string").alias("name"))
 
-    def better(a: Column, m: Column) -> Column:
-        return F.when(a["dice"].isNull() | (m["dice"] > a["dice"]) | ((m["dice"] == a["dice"]) & (m["name"] < a["name"])), m).otherwise(a)
-
     def best_of(g: Column) -> Column:
         return F.aggregate(F.transform(F.filter(known, lambda t: (F.size(g) >= t["low"]) & (F.size(g) <= t["high"])), lambda t: dice(g, t)), nothing, better)
 
     found = F.filter(F.transform(pairs, best_of), lambda m: m["dice"] >= threshold - 1e-12)
     none = F.array().cast("array<struct<dice:double,name:string>>")
-    found = F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def summary(found: Column) -> Column:
+    """struct<hits, licenses, best_license, best_dice> of a text's matches."""
+    nothing = F.struct(F.lit(None).cast("double").alias("dice"), F.lit(None).cast("string").alias("name"))
     best = F.aggregate(found, nothing, better)
     return F.struct(F.size(found).cast("long").alias("hits"), F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["name"]))), ",").alias("licenses"), best["name"].alias("best_license"), best["dice"].alias("best_dice"))
 
 
-def scanned(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with a struct column ``license_scan``."""
-    return docs.withColumn("license_scan", scan(F.col(text), templates, threshold))
+def scanned(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, column: str = "license_scan") -> DataFrame:
+    """The rows with a struct column of hits, licenses, best_license and best_dice."""
+    mark = free_name(docs, "_ratelens_matches")
+    rows = docs.select("*", F.explode(F.array(matches(F.col(text), templates, threshold))).alias(mark))  # a generator: else each field of the summary would scan the text anew
+    return rows.withColumn(column, summary(F.col(mark))).drop(mark)

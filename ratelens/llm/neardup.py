@@ -8,7 +8,8 @@ their weighted sets. Shingles whose next arrival comes later than every componen
 arrivals are made. With weights of one, the default, probability Jaccard is plain Jaccard, which is what is
 verified; by counts, texts that differ in how often they repeat a passage would seldom share a band.
 
-Texts with equal words are one class member before anything else. Signatures are banded; in each bucket
+Rows are numbered and written with their sketches; nothing is looked up by doc_id. Texts with equal words, by a
+128-bit digest of them, are one class member before anything else. Signatures are banded; in each bucket
 every member is compared with the bucket's least member, and links of similarity ``threshold`` or more
 are verified on the exact shingle sets. Classes are the connected components of the links. Buckets that
 still hold several components are taken further, so that no link in a bucket is lost: members are dealt by
@@ -21,18 +22,21 @@ keys; no bucket is collected, capped or expanded into all pairs. Components are
 large-star and small-star steps over tables.
 
 Defined results: texts without a word, null ones included, are alone, as are rows with a null doc_id.
-Rows that repeat a doc_id share its class. The member with the smallest doc_id stays; of rows that repeat
-it, one. Other columns pass through ``distinct_rows``.
+A class holds rows, not ids: rows that repeat a doc_id are classed by their own texts. The member with the
+smallest doc_id stays; of rows that repeat it, one. Very long texts are shingled whole. An empty table gives
+no rows. Other columns, whatever their names, pass through ``distinct_rows``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelens.llm.common import ALNUM, apart, as_bytes, discard, distinct, gathered, mix, shingles, small_batches, words_of, written
 
@@ -84,21 +88,29 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, siz
     return winner.reshape(n, size)
 
 
+def digests(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """128 bits of each text's words in order, one separator between them."""
+    out = []
+    for i in range(len(offsets) - 1):
+        own = ALNUM[raw[offsets[i] : offsets[i + 1]]]
+        keep = own != 0
+        keep[1:] |= keep[:-1]  # a word's bytes and the one after it
+        end = b"\0" if len(own) and own[-1] else b""
+        out.append(blake2b(own[keep].tobytes() + end, digest_size=16).digest())
+    return out
+
+
 def sketched(docs: DataFrame, key: str, text: str, weights: str, bands: int, rows: int, k: int) -> DataFrame:
-    """doc_id, words, a fingerprint of the sequence of words in two numbers, and the hash of each band."""
-    schema = "doc_id long, words long, fp1 long, fp2 long, bands array<long>"
+    """rid, doc_id, the row itself, words, a digest of the words, and the hash of each band: a written table."""
+    number = docs.columns.index(text)
+    whole = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    schema = T.StructType([*whole.schema.fields, T.StructField("words", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(it, most=2 << 20):
-            raw, offsets = as_bytes(batch.column("t"))
+        for batch in gathered(it, column="row", most=2 << 20):
+            raw, offsets = as_bytes(batch.column("row").field(number))
             n = len(offsets) - 1
             doc, key_, count, words = shingle_sets(raw, offsets, k)
-            part, ends = apart(raw, offsets)
-            s, _, h = words_of(part, ALNUM)
-            bound = np.searchsorted(s, ends)
-            place = np.arange(len(h)) - np.repeat(bound[:-1], words)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ mix(place.astype(np.uint64) * _GOLD + np.uint64(x))))]) for x in (1, 2)]
-            fp = [mix(c[bound[1:]] - c[bound[:-1]] + words.astype(np.uint64)).view(np.int64) for c in sums]
             w = count.astype(np.float64) if weights == "count" else np.ones(len(count))
             sig = signatures(doc, key_, w, n, bands * rows).reshape(n, bands, rows)
             hashes = np.zeros((n, bands), np.uint64)
@@ -107,9 +119,9 @@ def sketched(docs: DataFrame, key: str, text: str, weights: str, bands: int, row
             hashes = mix(hashes + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLD)
             flat = pa.array(hashes.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(words.astype(np.int64)), pa.array(fp[0]), pa.array(fp[1]), lists], ["doc_id", "words", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(words.astype(np.int64)), pa.array(digests(raw, offsets), pa.binary()), lists], ["doc_id", "row", "words", "digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(sketch, schema)
+    return written(whole.mapInArrow(sketch, schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -155,18 +167,28 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "binary", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc_id and class_id of each row: class_id is the least doc_id of its class."""
+def _classed(docs: DataFrame, key: str, text: str, threshold: float, weights: str, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows, and rid, class_id and keep_rid of all that have words and an id."""
     small_batches(docs.sparkSession, 1024)
-    sketch = written(sketched(docs, key, text, weights, bands, rows, k), "sketches")
+    sketch = sketched(docs, key, text, weights, bands, rows, k)
     able = sketch.filter("words > 0 and doc_id is not null")
-    reps = written(able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "reps")
-    rows_ = written(able.join(reps, ["fp1", "fp2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "represented")
-    discard(reps)
-    roots = rooted(rows_, docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), threshold, k)
-    out = rows_.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
-    alone = sketch.filter("words = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone)
+    # of equal texts one row stands for all: the first by id
+    first = able.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rep"))
+    members = written(able.select("rid", "digest", "bands").join(first, "digest").select("rid", "rep", "first_id", F.when(F.col("rid") == F.col("rep"), F.col("bands")).alias("bands")), "represented")
+    reps = members.filter("bands is not null")
+    roots = rooted(reps.select("rep", "bands"), sketch.select(F.col("rid").alias("k"), F.col(f"row.c{docs.columns.index(text)}").alias("t")), threshold, k)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # with the roots themselves
+    of = reps.join(roots.withColumnRenamed("node", "rep"), "rep").groupBy("root").agg(F.min(F.struct("first_id", "rep")).alias("keep"))
+    of = roots.join(of, "root").select(F.col("node").alias("rep"), F.col("keep.first_id").alias("class_id"), F.col("keep.rep").alias("keep_rid"))
+    out = members.select("rid", "rep", "first_id").join(of, "rep", "left").select("rid", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("keep_rid", "rep").alias("keep_rid"))
+    return sketch, out
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "binary", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id and kept of each row: class_id is the least doc_id of its class, of which one row is kept."""
+    sketch, out = _classed(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)) if key != text else docs.select(key), key, text, threshold, weights, bands, rows, k)
+    found = sketch.select("rid", "doc_id").join(out, "rid", "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("keep_rid") == F.col("rid"), F.lit(True)).alias("kept"))
 
 
 def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -298,7 +320,9 @@ def _across(threshold: float):
     return work
 
 
-def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that stay, with their own columns only."""
-    drop = classes(docs, key, text, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_ratelens_gone")).distinct()
-    return docs.join(drop.hint("merge"), F.col(key) == F.col("_ratelens_gone"), "left_anti")
+def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weights: str = "binary", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+    """One row of each class, with its own columns only."""
+    sketch, out = _classed(docs, key, text, threshold, weights, bands, rows, k)
+    gone = out.filter("rid <> keep_rid").select("rid")
+    left = sketch.select("rid", "row").join(gone.hint("merge"), "rid", "left_anti")
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

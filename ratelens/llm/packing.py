@@ -2,16 +2,18 @@
 
 A document's cost in a sequence is estimated as ``linear * tokens + quadratic * tokens ** 2``: the layers
 that grow with its tokens, and attention within it. Whole pieces of ``capacity`` tokens fill a sequence
-each; what remains of every document is dealt, by a hash of document and place, into shards of about
-``shard_tokens`` tokens, and every shard is packed by itself: pieces in descending order of cost, each to
-the sequence of lowest cost among those with room for it. A shard starts with as many sequences as its
-tokens need; a piece for which none has room opens another. Pieces are ordered by cost, id and start,
-so results don't depend on the order of rows.
+each and are numbered where they are; what remains of every document is dealt, by a hash of document, place
+and row, into shards of about ``shard_tokens`` tokens, so that a row that repeats makes no hot shard, and
+every shard is packed by itself: pieces in descending order of cost, each to the sequence of lowest cost
+among those with room for it. A shard starts with as many sequences as its tokens need; a piece for which
+none has room opens another. Pieces of a shard are ordered by cost, id and start.
 
 Tokens are counted where the text is: only (id, start, length, checksum) leave the tokenizer. Shards are
 of bounded size at any scale; packing them takes one shuffle of these few numbers.
 
-Tokenization is exact but remembered: each distinct run between white space is encoded once by a worker.
+Tokenization is exact but remembered: each distinct run between white space is encoded once by a worker. Runs
+are found by a 64-bit hash, and their bytes compared; a text with a run that only shares its hash with another
+is encoded whole.
 
 Defined results: a null or empty text has the end token only, one piece of length 1. Rows that repeat a
 doc_id are packed as separate documents with pieces of their own. Very long texts are cut into as many
@@ -31,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import NONSPACE, apart, as_bytes, distinct, gathered, small_batches, words_of, written
+from ratelens.llm.common import NONSPACE, apart, as_bytes, distinct, gathered, same_bytes, small_batches, words_of, written
 
 CAPACITY = 4096
 SHARD_TOKENS = 2_000_000
 END = 2
+#: Sequences of whole pieces are numbered from here, above those of all shards.
+WHOLE = 1 << 62
 
 
 class WordTokenizer:
     """ids of whole texts by a tokenizers file that drops white space and lower-cases.
 
     Text is cut at ASCII white space, at which such a tokenizer always cuts, and A-Z lower-cased; each
-    distinct run, by its 64-bit hash, is encoded once and remembered while there is room. A run of plain
+    distinct run is encoded once and remembered, with its bytes, while there is room. A run of plain
     letters, with or without signs after it, is encoded by the tokenizer's model alone, any other run by the
     whole tokenizer. A text that may hold special tokens goes whole to the tokenizer.
     """
@@ -68,6 +72,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.keys, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.from_, self.to, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -94,6 +99,9 @@ class WordTokenizer:
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        to = len(self.bytes) + np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        self.from_, self.to = np.insert(self.from_, at, to - [len(r) for r in runs]), np.insert(self.to, at, to)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(runs), np.uint8)])
 
     def encode_all(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit numbers."""
@@ -109,15 +117,23 @@ class WordTokenizer:
         if len(new):
             self.remember(keys[new], [data[a:b].lower() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
+        # bytes of runs against those remembered, and against the first of their hash in this text
+        low = LOWER_BYTES[spaced]
+        s1, e1 = s[first], e[first]
+        same = same_bytes(low, s1, e1, self.bytes, self.from_[at], self.to[at])[number]
+        for a in range(0, len(s), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            same[part] &= same_bytes(low, s[part], e[part], low, s1[number[part]], e1[number[part]])
         size, start = self.size[at][number].astype(np.int64), self.start[at][number].astype(np.int64)
         to = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
         word = np.searchsorted(s, ends)  # the first word of each text
         out = [ids[to[a] : to[b]] for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True)]
-        if b"<|" in data:
+        unlike = np.bincount(np.searchsorted(ends, s[~same], "right") - 1, minlength=n) > 0
+        if b"<|" in data or unlike.any():
             for i in range(n):
                 text = data[ends[i] : ends[i + 1] - 1]
-                if b"<|" in text:
+                if b"<|" in text or unlike[i]:
                     out[i] = np.array(self.whole(text.decode("utf-8", "replace")), np.uint32)
         return out
 
@@ -126,6 +142,9 @@ class WordTokenizer:
         return self.encode_all(raw, np.array([0, len(raw)]))[0]
 
 
+#: Bytes with A-Z in lower case.
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -192,23 +211,20 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1 / 4096, shard_tokens: int = SHARD_TOKENS, tokenizer: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost."""
-    parts = written(pieces(docs, key, text, capacity, tokenizer), "pieces")
-    rest = F.col("length") < capacity
-    tokens = parts.filter(rest).agg(F.sum("length")).first()[0] or 0
+    parts = pieces(docs, key, text, capacity, tokenizer).withColumn("piece", F.monotonically_increasing_id())
+    parts = written(parts, "pieces")
+    rest = parts.filter(F.col("length") < capacity)
+    tokens = rest.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-tokens // shard_tokens))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, sequence long, offset long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        full = rows["length"].to_numpy() >= capacity
-        rows = rows.assign(_full=full).sort_values(["_full", "length", "doc_id", "start"], ascending=[False, False, True, True], kind="stable", na_position="last").drop(columns="_full").reset_index(drop=True)
-        k = int(full.sum())
-        lengths = rows["length"].to_numpy(np.int64)
-        seq, off = assign(lengths[k:], capacity, linear, quadratic)
-        rows["sequence"] = np.concatenate([np.arange(k), seq + k])
-        rows["offset"] = np.concatenate([np.zeros(k, np.int64), off])
-        return rows
-
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    out = dealt.groupBy("shard").applyInPandas(pack, schema)
+        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+        seq, off = assign(rows["length"].to_numpy(np.int64), capacity, linear, quadratic)
+        return rows.assign(sequence_id=rows["shard"] * (1 << 32) + seq, offset=off)[[c.split()[0] for c in schema.split(", ")]]
+
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "piece"), F.lit(shards))).drop("piece")
+    whole = parts.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("piece") + F.lit(WHOLE), "offset": F.lit(0).cast("long")}).drop("piece")
+    out = dealt.groupBy("shard").applyInPandas(pack, schema).unionByName(whole)
     cost = F.lit(linear) * F.col("length") + F.lit(quadratic) * F.col("length") * F.col("length")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("shard") * F.lit(1 << 32) + F.col("sequence")).alias("sequence_id"), "offset", cost.cast("double").alias("cost"))
+    return out.withColumn("cost", cost.cast("double"))

@@ -33,7 +33,6 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"[0-9+/_=A-Z]")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 ORDINARY = ("internationalization", "get_user_profile_by_id", "configurationManager", "https-connection-pool", "example_function_name", "responsibilities-and-rights", "MAX_BUFFER_LENGTH_BYTES", "src/main/resources/messages", "version-2024-01-15-release", "------------------------", "========================", "________________________")
 
@@ -137,7 +136,7 @@ def train(random: list[str], ordinary: list[str], prior: float = 1e-4, drawn: in
     with np.errstate(invalid="ignore"):
         start, step = np.nan_to_num(logs[0][0] - logs[1][0]), np.nan_to_num(logs[0][1] - logs[1][1])
     model = Model(start, step, float(np.log((1 - prior) / prior)))
-    if len(held) >= 1000:
+    if held:
         model.least = max(model.least, float(np.quantile([model.ratio(r) for r in held], 0.999)))
     model.memo.clear()
     return model
@@ -175,5 +174,5 @@ def scanner(docs: DataFrame, model: Model):
 
 
 def scanned(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows with an array column ``secret_spans``."""
+    """The rows with an array column ``secret_spans``, in place of one of that name."""
     return docs.withColumn("secret_spans", scanner(docs, model)(F.col(text)))

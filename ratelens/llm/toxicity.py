@@ -253,9 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """A model from at most max_rows labelled rows; labels may be restricted by the caller."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y is not null and k is not null")
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y is not null and k is not null").groupBy("k").agg(F.max("y").alias("y"))
     some = sample_at_most(known, "k", max_rows, known.count())
-    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k").repartition(12, "k"), "toxic-sample")  # max_rows pairs of numbers
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k")  # max_rows pairs of numbers
+    rows = written(found.groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).repartition(12, "k"), "toxic-sample")  # one text of each key
     half = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(2))
     learned = learn_stems(rows.filter(half == 0))
 

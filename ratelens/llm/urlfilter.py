@@ -8,9 +8,9 @@ segments, each with the stack that holds there. Rules are the caller's parameter
 a list it already has; pages are never collected.
 
 Pages and segment starts are then sorted together by key, and each page takes the last segment start
-before it. Any page can be looked up apart from any other, so pages are dealt out evenly by a hash of
-host and path into as many sweeps as there are shuffle partitions, with all segments in each: a hot host
-is no hot task. Of the stack's rules whose path begins the page's path, the longest wins: by host and
+before it. Any page can be looked up apart from any other, so rows are dealt out in turn, whatever they
+hold, into as many sweeps as there are shuffle partitions, with all segments in each: neither a hot host
+nor a url of many rows, or of none, is a hot task. Of the stack's rules whose path begins the page's path, the longest wins: by host and
 path together, then by host.
 
 Defined results: a null url or one without ``://`` has an empty host and path; no rule fits an empty
@@ -75,7 +75,7 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     own = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
     kind = "array<struct<host:string,path:string,verdict:string>>"
     points = pages.select(own.alias("row"), host.alias("host"), path.alias("path"))
-    points = points.select("row", "host", "path", reversed_key(F.col("host")).alias("key"), F.lit(1).alias("is_page"), F.pmod(F.xxhash64("host", "path"), F.lit(n)).cast("int").alias("sweep"), F.lit(None).cast(kind).alias("stack"))
+    points = points.select("row", "host", "path", reversed_key(F.col("host")).alias("key"), F.lit(1).alias("is_page"), F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("sweep"), F.lit(None).cast(kind).alias("stack"))
     cuts = spark.createDataFrame(segments(rules), f"key string, stack {kind}")
     cuts = cuts.select("key", "stack", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sweep"), F.lit(0).alias("is_page"))
     both = points.unionByName(cuts, allowMissingColumns=True)

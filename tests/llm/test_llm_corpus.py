@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ratelens.llm import common, exactdedup, neardup, packing, urlfilter
 
@@ -101,7 +102,8 @@ def test_near_dedup_against_all_pairs(spark, weights, monkeypatch):
     for r in got:
         assert r["class_id"] == (None if r["doc_id"] is None else find(r["doc_id"]))
     left = neardup.distinct_rows(df)
-    assert left.columns == df.columns and {r["doc_id"] for r in left.collect() if r["doc_id"] is not None} == {find(i) for i in range(len(texts))}
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted({find(i) for i in range(len(texts))})
+    assert sum(r["kept"] for r in got) == left.count()
     assert neardup.classes(df.filter("false")).count() == 0
 
 
@@ -120,6 +122,32 @@ def test_near_dedup_finds_copies_that_repeat_a_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(40)}
 
 
+def test_near_dedup_classes_rows_not_ids(spark):
+    """Rows that repeat a doc_id are classed by their texts; of identical rows one stays; columns may have any names."""
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(3, two, "x", 1), (7, one, "y", 2), (7, two + " end", "z", 3), (20, "some other text of six words", "p", 4), (20, "some other text of six words", "q", 5), (None, two, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string, digest int")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in neardup.classes(df).collect())
+    assert got == [(0, 0, True), (3, 3, True), (7, 3, False), (7, 7, True), (20, 20, False), (20, 20, True)]
+    left = neardup.distinct_rows(df)
+    assert left.columns == df.columns
+    assert {r["digest"] for r in left.collect()} in ({1, 2, 4, 6}, {1, 2, 5, 6})
+
+
+def thue_morse():
+    """A word over a and b and its complement: every hash by powers of a base modulo a power of two confuses them."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_dedup_tells_words_apart(spark):
+    one, two = thue_morse()
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame([(1, one), (2, two), (3, f"{one}\n"), (4, "A b"), (5, "ab"), (6, "a, B."), (7, "x" * 300_000 + " y")], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 4, 7: 7}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = {i: rng.integers(1, 5) for i in range(0, 200)}, {i: rng.integers(1, 5) for i in range(60, 260)}
@@ -166,6 +194,37 @@ def test_packing_round_trip(spark):
     assert packing.packed(df.filter("false")).count() == 0
 
 
+def test_tokenizer_tells_words_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    raw = Tokenizer.from_file(packing.default_tokenizer())
+    one, two = thue_morse()
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    for t in (f"x {one} y", f"x {two} y", f"{two} {one}"):
+        assert tok.encode(t).tolist() == raw.encode(t, add_special_tokens=False).ids
+    # all words of a length share a hash: their bytes still tell them apart, in one text, in one batch and in memory
+    plain = packing.words_of
+
+    def alike(data, table):
+        s, e, _ = plain(data, table)
+        return s, e, (e - s).astype(np.uint64)
+
+    monkeypatch.setattr(packing, "words_of", alike)
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    texts = ["thing other thing", "hello", "world hello", "", "THING", "a b c"]
+    for _ in range(2):
+        data = [t.encode() for t in texts]
+        got = tok.encode_all(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+        assert [x.tolist() for x in got] == [raw.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_that_repeat_make_no_hot_shard(spark):
+    df = spark.range(3000).selectExpr("1L as doc_id", "'some words of a text that repeats' as text", "id as shard", "'s' as piece")
+    out = packing.packed(df, shard_tokens=2000)
+    sizes = [r["count"] for r in out.groupBy(F.floor(F.col("sequence_id") / (1 << 32))).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 5 and max(sizes) < 2 * min(sizes)
+
+
 def test_assignment_is_the_plain_rule():
     rng = np.random.default_rng(2)
     for _ in range(30):
