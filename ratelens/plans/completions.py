@@ -39,6 +39,9 @@ TEMPLATE_IDS = (0, 1, 2, 4)
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_tag, occ_ordinal, occupation, stereotype, split, template_id, template_split, sample_id, name, completion, truncated, n_new_tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < cores:  # a table of few files is dealt out to all cores; one of many is read as it lies
+        docs = docs.repartition(cores)
     occ = F.broadcast(dims.occupations(spark))
     tmpl = F.broadcast(dims.templates(spark).select(F.col("template_id"), "template_split"))
     text = F.coalesce("text", F.lit(""))
