@@ -20,7 +20,7 @@ def test_exact_dedup_against_groups(spark):
     texts = base + [t.upper() if t and rng.random() < 0.5 else t for t in base] + [base[-1][:-1] + "c", base[-1][:500] + "z" + base[-1][501:]] + [base[-2]] * 20
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, "SHORT", "y"), (None, "short", "n"), (None, "alone", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rid string")
-    got = exactdedup.copies(df, block=32, edge=8).collect()
+    got = exactdedup.copies(df, block=32).collect()
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[(t or "").translate(LOW)].append(i)
@@ -36,6 +36,24 @@ def test_exact_dedup_against_groups(spark):
     assert exactdedup.copies(df.filter("false")).count() == 0
 
 
+def test_salted_blocks_against_groups(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(exactdedup, "CHUNK", 2)
+    line = "the same passage"
+    texts = [""] * 40 + [line] * 50 + [line * 9] * 30 + [line * 8 + "!"] * 2 + ["x" + line * 9, line * 9 + "x"] + [f"{line}{i}" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    last = {t: i for i, t in enumerate(texts)}
+    got = exactdedup.copies(df, block=16).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert (r["keep_id"], r["group_size"], r["kept_row"]) == (last[t], texts.count(t), last[t] == r["doc_id"])
+    names = exactdedup.block_names(exactdedup.cut(df.select(df.doc_id.alias("rid"), df.text.alias("norm")), 16))
+    blocks = exactdedup.cut(df.select(df.doc_id.alias("rid"), df.text.alias("norm")), 16)
+    pairs = {tuple(r) for r in names.join(blocks, ["rid", "parts", "pos"]).select("name", "block").collect()}
+    assert len({n for n, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
 def test_urls_against_all_rules(spark):
     rng = random.Random(2)
     hosts = ["net", "example.net", "a.example.net", "anexample.net", "example.com", "EXAMPLE.com", "b.example.com", "org", "x.org", "example", "net.example", "", "user@example.net:80", "example.net."]
