@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import decontam, exactdedup, langid, licenses, lmscore, neardup, packing, secretscan, toxicity, urlfilter
+from ratelens.llm import decontam, exactdedup, langid, licenses, lmscore, neardup, packing, runs, secretscan, tokencounts, toxicity, urlfilter, vectorcodes
 from ratelens.llm.common import LOWER, UPPER, fold
 
 RULES = [urlfilter.Rule("block", "net"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
@@ -72,6 +72,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secret_spans")).alias("spans"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counted(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.found(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_toxicity, op3_near_dedup, op4_license_scan, op5_packing, op6_decontamination, op7_lm_score, op8_exact_dedup, op9_url_filter, op10_secret_scan, pipeline)
+    own = (op1_language_id, op2_toxicity, op3_near_dedup, op4_license_scan, op5_packing, op6_decontamination, op7_lm_score, op8_exact_dedup, op9_url_filter, op10_secret_scan, op11_token_counts, op12_periodic_runs, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -162,5 +174,39 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def _op13(parts: int = vectorcodes.PARTS, entries: int = vectorcodes.ENTRIES, rounds: int = vectorcodes.ROUNDS) -> str:
+    """Plain Lloyd: every round scans every part against every entry. A distance and its entry are one number, so that the lowest of equal ones wins."""
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f""", scan{r} AS MATERIALIZED (
+  SELECT rid, p, min((xx - 2 * list_inner_product(x, c) + cc) * {entries} + e)::BIGINT AS best
+  FROM parts JOIN (SELECT *, list_inner_product(c, c) AS cc FROM book{r}) USING (p) GROUP BY rid, p
+)"""
+        if r < rounds:
+            steps += f""", mean{r} AS (
+  SELECT p, e, list(floor(total / n) ORDER BY i) AS c FROM (
+    SELECT p, best % {entries} AS e, i, sum(x[i]) AS total, count(*) AS n
+    FROM scan{r} JOIN parts USING (rid, p), (SELECT unnest(range(1, (SELECT max(w) FROM parts) + 1)) AS i) GROUP BY ALL) GROUP BY p, e
+), book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (p, e)
+)"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT *, list_inner_product(x, x) AS xx
+  FROM (SELECT rid, p, len(v) // {parts} AS w, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS p))
+), book0 AS MATERIALIZED (
+  SELECT p, rid - 1 AS e, x AS c FROM parts WHERE rid <= {entries}
+){steps}, coded AS (
+  SELECT rid, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM scan{rounds} GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": _OP4, "op6_decontamination": _OP6, "op8_exact_dedup": _OP8, "op9_url_filter": _OP9}
+    return {"op4_license_scan": _OP4, "op6_decontamination": _OP6, "op8_exact_dedup": _OP8, "op9_url_filter": _OP9, "op13_vector_codes": _op13()}

@@ -37,7 +37,8 @@ def tables(spark, tmp_path_factory):
     labels = spark.createDataFrame([(i, 1, int("fool" in (t or ""))) for i, (t, _) in enumerate(texts)] + [(20, 0, 0), (None, 1, 1), (21, 1, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, PASSAGE), (10, "house stands"), (2, None), (None, "x"), (3, "!"), (10, "house stands")], "item_id long, text string")
     pages = spark.createDataFrame([(1, "http://a.example.net/en/x?q"), (2, None), (3, "nothing"), (4, "x://EXAMPLE.com/de/"), (4, "x://EXAMPLE.com/de/"), (5, "http://b.org#f"), (None, "http://n.net")], "page_id long, url string")
-    for name, df in (("labels", labels), ("benchmark", bench), ("pages", pages)):
+    vectors = spark.createDataFrame([(i, [i % 7 / 8, i / 64, -i / 96, 0.25], i % 3) for i in range(300)] + [(5, None, 1), (None, [0.5] * 4, None)], "vec_id long, embedding array<float>, label int")
+    for name, df in (("labels", labels), ("benchmark", bench), ("pages", pages), ("embeddings", vectors)):
         df.write.parquet(f"{at}/full/{name}.parquet")
         df.filter("false").write.parquet(f"{at}/none/{name}.parquet")
     return at, rows
@@ -58,6 +59,9 @@ TYPES = {
     "op8_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op9_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "pipeline": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
 }
 
