@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratelens.functions import text as tx
 from ratelens.functions.rng import draw, uniform
 from ratelens.operators import dims
 
@@ -146,6 +147,12 @@ def paired(spark: SparkSession, labelled: DataFrame, pairs: tuple[tuple[str, str
     return contrasts(occupation_stats(labelled, dims.cells(spark, cells)), units_of(spark, rows), replicates, seed)
 
 
+def trajectory(spark: SparkSession, labelled: DataFrame, tags: tuple[str, ...], replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """step, cell, gap, its limits and whether to interpret it, of the tags that are training steps; empty gaps are left out."""
+    out = cluster(spark, labelled, tuple(t for t in tags if not t.endswith("_4bit")), replicates, seed)
+    return out.filter("diff is not null").select(tx.tag_step(F.col("unit")).alias("step"), "cell", F.col("diff").alias("gap"), "ci_low", "ci_high", "interpretable").filter("step is not null")
+
+
 def interaction(spark: SparkSession, labelled: DataFrame, base: str, selected: str, base_4bit: str, selected_4bit: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """(selected_4bit - selected) - (base_4bit - base), train occupations, all templates; null where a side is empty."""
     rows = [("interaction", selected_4bit, 1.0), ("interaction", selected, -1.0), ("interaction", base_4bit, -1.0), ("interaction", base, 1.0)]

@@ -92,3 +92,8 @@ def cells(spark: SparkSession, which=(*CELLS, ("all", None, None))) -> DataFrame
     """cell, split, template_split: one row for every combination that a cell covers."""
     rows = [(name, s, t) for name, split, tmpl in which for s in ([split] if split else ["train", "heldout"]) for t in ([tmpl] if tmpl else ["train", "heldout"])]
     return spark.createDataFrame(rows, "cell string, split string, template_split string")
+
+
+def first_prompts(prompts_: DataFrame, n: int) -> DataFrame:
+    """The first n prompts of the grid, in the order of occupations and templates: a smoke run's limit."""
+    return prompts_.orderBy("occ_ordinal", "template_id").limit(n)

@@ -22,24 +22,21 @@ def labelled_by_text(records: DataFrame, least_pronouns: int = 2, legacy: bool =
 def labelled(records: DataFrame, least_pronouns: int = 2, names: dict[str, str] | None = None) -> DataFrame:
     """labelled_by_text with name, name_gender and the name-level reasons.
 
-    Only texts that survive reach the annotator: the others give it a null, which it skips.
+    Only texts that survive are looked at for names: the others give a null, which costs nothing.
     """
-    from ratelens.operators.annotate import name_finder
+    from ratelens.operators.words import with_people
 
     out = labelled_by_text(records, least_pronouns)
-    found = name_finder(names)(F.when(F.col("reason").isNull(), F.col("completion")))
-    out = out.withColumn("_found", found)
-    n = F.size("_found")
-    one = F.when(n == 1, F.col("_found")[0])
+    out = with_people(out, F.when(F.col("reason").isNull(), F.col("completion")), "_who", names)
+    one = F.col("_who")
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(n == 0, "no_name")
-        .when(n > 1, "multi_person")
+        .when(one["n"] == 0, "no_name")
+        .when(one["n"] > 1, "multi_person")
         .when(one["gender"].isNull(), "unknown_name")
         .when((one["gender"] != "unisex") & (one["gender"] != F.col("gender")), "name_pronoun_mismatch")
     )
-    survived = F.col("reason").isNull()
-    return out.withColumns({"name": F.when(survived, one["name"]), "name_gender": F.when(survived, one["gender"]), "reason": reason}).withColumn("usable", F.col("reason").isNull()).drop("_found")
+    return out.withColumns({"name": one["name"], "name_gender": one["gender"], "reason": reason}).withColumn("usable", F.col("reason").isNull()).drop("_who")
 
 
 def train_cell(columns: bool = True) -> Column:
@@ -47,9 +44,10 @@ def train_cell(columns: bool = True) -> Column:
 
 
 def funnel(labelled_: DataFrame) -> DataFrame:
-    """Tall counters: total, usable and excluded_<reason>."""
+    """Tall counters: total, usable and excluded_<reason>, of one pass over the texts."""
     by = labelled_.groupBy(F.coalesce(F.concat(F.lit("excluded_"), "reason"), F.lit("usable")).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
-    return by.unionByName(labelled_.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("metric"), "n"))
+    # one row a reason goes on; rolled up, and a total of no texts is a row too
+    return by.rollup("metric").agg(F.sum("n").alias("n")).select(F.coalesce("metric", F.lit("total")).alias("metric"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def reasons_by_model(labelled_: DataFrame) -> DataFrame:

@@ -108,3 +108,27 @@ def occupation_table(spark, labelled: DataFrame) -> DataFrame:
     grid = dims.occupations(spark).select("occupation", "stereotype", "split").crossJoin(F.broadcast(tags))  # 25 rows by the models
     found = per_occupation(labelled).select("model_tag", "occupation", "p_female")
     return grid.join(found, ["model_tag", "occupation"], "left").select("model_tag", "occupation", "stereotype", "split", F.coalesce(F.format_number("p_female", 2), F.lit("–")).alias("shown"))
+
+
+def documents(labelled: DataFrame) -> DataFrame:
+    """One row a model with nested maps: cells ("stereotype|split|template split" to n and p_female), gap (cell to gap and counts) and per_occupation.
+
+    All three come of one count of usable texts by model, occupation, template split and gender.
+    """
+    keys = ["model_tag", "occupation", "stereotype", "split", "template_split"]
+    female = F.sum((F.col("gender") == "female").cast("long"))
+    counts = labelled.filter("usable").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), female.alias("f"))
+    rate = lambda by: counts.groupBy("model_tag", *by).agg(F.sum("n").alias("n"), (F.sum("f") / F.sum("n")).alias("p_female"))
+    as_map = lambda key, value, name: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))).alias(name)
+    cells = rate(["stereotype", "split", "template_split"]).groupBy("model_tag").agg(as_map(F.concat_ws("|", "stereotype", "split", "template_split"), F.struct("n", "p_female"), "cells"))
+    occupations = rate(["occupation", "stereotype", "split"]).groupBy("model_tag").agg(as_map(F.col("occupation"), F.struct("n", "p_female", "stereotype", "split"), "per_occupation"))
+    side = lambda s, c: F.sum(F.when(F.col("stereotype") == s, F.col(c)))
+    sums = counts.groupBy("model_tag", "split", "template_split").agg(*(side(s, c).alias(f"{s}_{c}") for s in ("female", "male") for c in "nf"))
+    both = sums.groupingSets([["model_tag", "split", "template_split"], ["model_tag"]], "model_tag", "split", "template_split").agg(*(F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in ("female", "male") for c in "nf"))
+    cell = F.when(F.col("split").isNull(), "all").otherwise(F.concat(F.col("split"), F.lit("_occ|"), F.col("template_split"), F.lit("_tmpl")))
+    gap = F.col("female_f") / F.col("female_n") - F.col("male_f") / F.col("male_n")
+    gaps = both.groupBy("model_tag").agg(as_map(cell, F.struct(gap.alias("gap"), F.col("female_n").alias("n_female_coded"), F.col("male_n").alias("n_male_coded")), "gap"))
+    return cells.join(gaps, "model_tag").join(occupations, "model_tag")
+
+
+DOCUMENT = "cells map<string,struct<n:long,p_female:double>>, gap map<string,struct<gap:double,n_female_coded:long,n_male_coded:long>>, per_occupation map<string,struct<n:long,p_female:double,stereotype:string,split:string>>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelens.functions.rng import draw
@@ -62,52 +62,75 @@ def over_represented(pool: DataFrame) -> DataFrame:
     return out.withColumn("warn", F.col("top_share") > F.greatest(F.lit(0.15), F.lit(3.0) / F.col("n_names")))
 
 
-def build(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated: DataFrame, n_calibration: int = N_CALIBRATION, seed: int = 42, surnames: DataFrame | None = None) -> DataFrame:
-    """Every source text with its outcome: paired (with pair_id from 0 in file order), swap_failed (with its code) or why it isn't a candidate.
+def candidates(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated: DataFrame, n_calibration: int = N_CALIBRATION, seed: int = 42, surnames: DataFrame | None = None) -> DataFrame:
+    """The source texts with outcome, target_gender and, where they are to be swapped, picked: the new name.
 
-    prompt holds the text's stored messages, or those of its prompt anew. Common surnames, by default those of
-    the lexicon, are never new names.
+    Common surnames, by default those of the lexicon, are never new names.
     """
-    from ratelens.operators.swap import swapper
-
     if surnames is None:
         surnames = lexicon.surnames_table(spark)
     pool = F.broadcast(pool_arrays(name_pool(labelled, names, surnames)))  # two rows
-    labelled = dims.with_stored_messages(spark, labelled)
     rows = sources(labelled, calibrated, n_calibration)
     rows = rows.join(pool.withColumnRenamed("gender", "target_gender"), "target_gender", "left")
     key = (F.col("occupation"), F.col("template_id"), F.col("sample_id"))
     picked = pick_name(F.col("frequent"), F.col("every"), F.col("name"), seed, "name", *key)
-    rows = rows.withColumn("picked", F.when(F.col("outcome") == "candidate", picked)).drop("frequent", "every")
-    # the swap sees candidates only; other rows give it nulls, which it skips
-    rows = rows.withColumn("swap", swapper()(F.when(F.col("picked").isNotNull(), F.col("completion")), F.col("target_gender"), F.col("picked")))
-    outcome = F.when(F.col("outcome") != "candidate", F.col("outcome")).when(F.col("swap.text").isNotNull(), "paired").otherwise("swap_failed")
-    rows = rows.withColumn("outcome", outcome)
-    new_name = F.coalesce(F.filter("swap.log", lambda e: e["old"] == F.col("name"))[0]["new"], F.col("name"))
-    return rows.select("occ_ordinal", "occupation", "stereotype", "template_id", "sample_id", "outcome", F.col("gender").alias("rejected_gender"), F.col("target_gender").alias("chosen_gender"), F.col("name").alias("old_name"), F.when(F.col("outcome") == "paired", new_name).alias("new_name"), F.col("completion").alias("rejected"), F.col("swap.text").alias("chosen"), F.col("swap.log").alias("swap_log"), F.coalesce(F.col("swap.fail"), F.when(F.col("outcome") == "swap_failed", F.lit("no_replacement_name"))).alias("swap_failure"), "other_person_flag", F.col("messages").alias("prompt"))
+    return rows.withColumn("picked", F.when(F.col("outcome") == "candidate", picked)).drop("frequent", "every")
 
 
-def numbered(built: DataFrame) -> DataFrame:
-    """The pairs with pair_id, dense from 0 in order of occupation, template and sample.
+def build(spark: SparkSession, labelled: DataFrame, names: DataFrame, calibrated: DataFrame, n_calibration: int = N_CALIBRATION, seed: int = 42, surnames: DataFrame | None = None) -> DataFrame:
+    """Every source text with its outcome: paired, swap_failed (with its code) or why it isn't a candidate.
 
-    Numbers are dealt without one global sort: counts of each (occupation, template) give each group its first
-    number, and a window numbers rows within the group.
+    prompt holds the text's stored messages, or those of its prompt anew.
+    """
+    from ratelens.operators.swap import swapped
+
+    rows = candidates(spark, dims.with_stored_messages(spark, labelled), names, calibrated, n_calibration, seed, surnames)
+    # the swap sees candidates only; other rows give it nulls, which cost nothing
+    rows = swapped(rows, F.when(F.col("picked").isNotNull(), F.col("completion")), F.col("target_gender"), F.col("picked"))
+    outcome = F.when(F.col("outcome") != "candidate", F.col("outcome")).when(F.col("swap.text").isNotNull(), "paired").otherwise("swap_failed")
+    new_name = F.coalesce(F.filter("swap.log", lambda e: e["old"] == F.col("name"))[0]["new"], F.col("name"))
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select(
+        *("occ_ordinal", "occupation", "stereotype", "template_id", "sample_id", "outcome"),
+        F.col("gender").alias("rejected_gender"),
+        F.col("target_gender").alias("chosen_gender"),
+        F.col("name").alias("old_name"),
+        F.when(F.col("outcome") == "paired", new_name).alias("new_name"),
+        F.col("completion").alias("rejected"),
+        F.col("swap.text").alias("chosen"),
+        F.col("swap.log").alias("swap_log"),
+        F.coalesce(F.col("swap.fail"), F.when(F.col("outcome") == "swap_failed", F.lit("no_replacement_name"))).alias("swap_failure"),
+        "other_person_flag",
+        F.col("messages").alias("prompt"),
+    )
+
+
+def numbered(built: DataFrame, order: tuple[str, ...] = ("occ_ordinal", "template_id", "sample_id"), partitions: int | None = None) -> DataFrame:
+    """The pairs with pair_id, dense from 0 in the order of the keys.
+
+    Rows are dealt by ranges of the whole key and sorted within them; a range's first number is the sum of the sizes
+    before it. No group is larger than a range, whatever keys repeat their beginnings. Rows of equal keys are numbered as
+    they come. The ranges are a work table, so that counts and numbers are of the same rows.
     """
-    from pyspark.sql import Window
+    from ratelens.sources.files import work_table
 
-    pairs_ = built.filter("outcome = 'paired'")
-    group = ["occ_ordinal", "template_id"]
-    sizes = pairs_.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    first = sizes.withColumn("first", F.sum("size").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)))  # at most 25 x 6 rows
-    own = F.row_number().over(Window.partitionBy(*group).orderBy("sample_id")) - 1
-    return pairs_.withColumn("own", own).join(F.broadcast(first.drop("size")), group).withColumn("pair_id", F.coalesce("first", F.lit(0)) + F.col("own")).drop("own", "first", "outcome", "swap_failure")
+    spark = built.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = built.filter("outcome = 'paired'").drop("outcome", "swap_failure").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    table = work_table(dealt.withColumns({"_range": F.spark_partition_id(), "_place": place}), "numbered")
+    sizes = table.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_first"))  # a row a range
+    return table.join(F.broadcast(first), "_range").withColumn("pair_id", F.col("_first") + F.col("_place")).drop("_range", "_place", "_first")
 
 
 def statistics(built: DataFrame) -> DataFrame:
-    """Tall counters: outcomes, failures, directions, occupations."""
-    one = lambda what, column, where: built.filter(where).groupBy(column.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("metric"), "key", "n")
+    """Tall counters of one pass: outcomes, failures, directions, occupations."""
     paired = F.col("outcome") == "paired"
-    return one("outcome", F.col("outcome"), F.lit(True)).unionByName(one("swap_failure", F.col("swap_failure"), F.col("swap_failure").isNotNull())).unionByName(one("direction", F.concat_ws("->", "rejected_gender", "chosen_gender"), paired)).unionByName(one("occupation", F.col("occupation"), paired))
+    keys = {"outcome": F.col("outcome"), "swap_failure": F.col("swap_failure"), "direction": F.when(paired, F.concat_ws("->", "rejected_gender", "chosen_gender")), "occupation": F.when(paired, F.col("occupation"))}
+    some = built.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.count(F.lit(1)).alias("n"))
+    tall = some.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("key")) for k in keys))).alias("x")).select("x.*", "n")
+    return tall.filter("key is not null").groupBy("metric", "key").agg(F.sum("n").alias("n"))
 
 
 def chat_form(pairs_: DataFrame) -> DataFrame:

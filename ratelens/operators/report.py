@@ -79,3 +79,14 @@ def interval_table(contrasts: DataFrame) -> str:
     rows = contrasts.orderBy("unit", "cell").collect()  # a row a comparison and cell
     lines = ["| comparison | cell | difference |", "|---|---|---|"]
     return "\n".join([*lines, *(f"| {r['unit']} | {r['cell']} | {files.fmt_interval(r['diff'], r['ci_low'], r['ci_high'], r['interpretable'])} |" for r in rows)])
+
+
+def number_text(x: Column, signed: bool = True) -> Column:
+    """Two decimals, rounded half to even, with a sign; n/a for null."""
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string("%+.2f" if signed else "%.2f", F.bround(x, 2) + 0.0))
+
+
+def interval_text(point: Column, low: Column, high: Column, interpretable: Column) -> Column:
+    """+0.61 [+0.52, +0.70]; in brackets where it isn't to be interpreted."""
+    whole = F.when(point.isNull() | low.isNull() | high.isNull(), number_text(point)).otherwise(F.concat(number_text(point), F.lit(" ["), number_text(low), F.lit(", "), number_text(high), F.lit("]")))
+    return F.when(interpretable | point.isNull(), whole).otherwise(F.concat(F.lit("("), whole, F.lit(")")))

@@ -7,18 +7,38 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import text as tx
 from ratelens.functions.rng import draw
+from ratelens.sources.files import work_table
 
 GUARD = 0.10
 
 
-def stratified_split(pairs: DataFrame, key: list[str], stratum: str = "occupation", fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds part: eval for round-half-even(fraction n) rows of each stratum, at least one where n >= 5, by hash order."""
-    own = Window.partitionBy(stratum)
-    n = F.count(F.lit(1)).over(own)
-    k = F.bround(F.lit(float(fraction)) * F.col("_n")).cast("long")
-    k = F.when((k == 0) & (F.col("_n") >= 5) & F.lit(fraction > 0), 1).otherwise(k)
-    ranked = pairs.withColumn("_h", draw(seed, "split", *map(F.col, key))).withColumns({"_n": n, "_r": F.row_number().over(own.orderBy("_h", *key))})
-    return ranked.withColumn("part", F.when(F.col("_r") <= k, "eval").otherwise("train")).drop("_h", "_n", "_r")
+#: Strata up to so many have their cuts broadcast; more are joined by a shuffle.
+BROADCAST_STRATA = 100_000
+
+
+def stratified_split(pairs: DataFrame, key: list[str], stratum: str = "occupation", fraction: float = 0.1, seed: int = 42, bits: int = 12) -> DataFrame:
+    """Adds part: eval for round-half-even(fraction n) rows of each stratum, at least one where n >= 5, by hash order.
+
+    A stratum is never gathered: counts by the hash's first bits, summed up, say which of their buckets holds the last
+    row to take; only that bucket's rows are ranked, and every other row compares its hash and key with the cut. Rows that
+    repeat a key fall on the same side.
+    """
+    rows = pairs.withColumn("_h", draw(seed, "split", *map(F.col, key)))
+    bucket = F.shiftright("_h", 32 - bits)
+    counts = rows.groupBy(F.col(stratum).alias("_s"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("m"))
+    own = Window.partitionBy("_s")
+    counts = counts.withColumns({"n": F.sum("m").over(own), "upto": F.sum("m").over(own.orderBy("_b"))})  # at most 2 ** bits rows a stratum
+    k = F.bround(F.lit(float(fraction)) * F.col("n")).cast("long")
+    k = F.when((k == 0) & (F.col("n") >= 5) & F.lit(fraction > 0), 1).otherwise(k)
+    edge = counts.withColumn("k", k).filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("m") < F.col("k")))
+    edge = work_table(edge.select("_s", "_b", (F.col("k") - F.col("upto") + F.col("m")).alias("take")), "split-edges")
+    few = edge.count() <= BROADCAST_STRATA
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    at = rows.withColumn("_b", bucket).join(small(edge.withColumnRenamed("_b", "_e")), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_e")))
+    place = F.struct("_h", *key)
+    last = at.select("_s", "take", place.alias("cut")).withColumn("_r", F.row_number().over(own.orderBy("cut"))).filter("_r = take").select("_s", "cut")
+    joined = rows.join(small(last), F.col(stratum).eqNullSafe(F.col("_s")), "left")
+    return joined.withColumn("part", F.when(place <= F.col("cut"), "eval").otherwise("train")).drop("_h", "_s", "cut")
 
 
 def select_checkpoint(summary: DataFrame, guard: float = GUARD) -> DataFrame:

@@ -59,27 +59,6 @@ def prompt_sql() -> str:
     FROM (VALUES {o}) o(occ_ordinal, occupation, stereotype, split), (VALUES {t}) t(template_set, template_id, template, template_split)"""
 
 
-@query(prompt_sql)
-def prompt_grid(spark, sf_dir):
-    return dims.prompts(spark).unionByName(dims.prompts(spark, "longform"))
-
-
-@query(lambda: f"SELECT occupation, template_id, sample_id, split_part(prompt, '. Begin', 1) AS prefix FROM ({prompt_sql()}), range(3) r(sample_id) WHERE template_set = 'short'")
-def sample_expansion(spark, sf_dir):
-    return dims.samples(dims.prompts(spark), 3).select("occupation", "template_id", "sample_id", tx.prompt_prefix(F.col("prompt")).alias("prefix"))
-
-
-@query(lambda: f"SELECT occupation, template_id FROM ({prompt_sql()}) WHERE template_set = 'short' AND split = 'train' AND template_split = 'train' ORDER BY {data.sql_draw("'42'", "'sample'", 'occupation', 'template_id::VARCHAR')}, occupation, template_id LIMIT 10")
-def monitor_prompt_subset(spark, sf_dir):
-    return review.monitor_prompts(dims.prompts(spark), 10).select("occupation", "template_id")
-
-
-@query(lambda: "SELECT * FROM (VALUES " + data.values(sorted(lexicon.default_names().items())) + ") v(name, name_gender)")
-def name_dictionary(spark, sf_dir):
-    table = lambda names: spark.createDataFrame([(n,) for n in sorted(names)], "name string")
-    return lexicon.dictionary_table(table(lexicon.MALE_NAMES | lexicon.UNISEX_NAMES), table(lexicon.FEMALE_NAMES | lexicon.UNISEX_NAMES))
-
-
 # --- text and funnel --------------------------------------------------------------------
 
 
@@ -129,11 +108,6 @@ def first_person_rates(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("model_tag").agg(n(F.col("reason") == "first_person").alias("excluded"), n(tx.first_person_anywhere(text)).alias("anywhere"), n(tx.first_person_narration(text)).alias("narration"))
 
 
-@query()
-def name_level_reasons(spark, sf_dir):
-    return fn.reasons_by_model(fn.labelled(data.completions(spark, sf_dir)))
-
-
 # --- metrics ----------------------------------------------------------------------------
 
 
@@ -250,19 +224,6 @@ def replacement_names(spark, sf_dir):
     return other.select("occupation", "template_id", "sample_id", "name", pairs.pick_name(F.col("frequent"), F.col("every"), F.col("name"), SEED, "name", F.col("occupation"), F.col("template_id"), F.col("sample_id")).alias("picked"))
 
 
-@query()
-def swap_pairs(spark, sf_dir):
-    labelled = files.work_table(fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), "labelled")  # read three times
-    built = pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled))
-    return pairs.numbered(built).select("pair_id", "occupation", "template_id", "sample_id", "rejected_gender", "chosen_gender", "old_name", "new_name", "rejected", "chosen", "other_person_flag")
-
-
-@query()
-def pair_statistics(spark, sf_dir):
-    labelled = files.work_table(fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), "labelled")  # read three times
-    return pairs.statistics(pairs.build(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled)))
-
-
 # --- around training --------------------------------------------------------------------
 
 
@@ -370,11 +331,27 @@ def legacy_group_outcomes(spark, sf_dir):
     return legacy.group_outcomes(legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'"))).drop("n_pairs", "too_far")
 
 
-@query()
+_WALK = f""", eligible AS (SELECT occupation, template_id, sample_id, class, greatest(length(completion), 1) AS len, {data.sql_draw(f"'{SEED}'", "'legacy'", "occupation", "template_id::VARCHAR", "sample_id::VARCHAR")} AS h FROM stepped WHERE step = 'eligible'),
+turns AS (SELECT *, row_number() OVER (PARTITION BY occupation, template_id ORDER BY h, sample_id) AS k FROM eligible WHERE class = 'counter'),
+walk AS (SELECT DISTINCT occupation, template_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS chosen, NULL::BIGINT AS rejected, NULL::DOUBLE AS ratio FROM eligible
+UNION ALL SELECT occupation, template_id, k, CASE WHEN best.ratio <= {legacy.MAX_RATIO} THEN list_append(used, best.id) ELSE used END, CASE WHEN best.ratio <= {legacy.MAX_RATIO} THEN sample_id END, CASE WHEN best.ratio <= {legacy.MAX_RATIO} THEN best.id END, best.ratio
+  FROM (SELECT w.occupation, w.template_id, t.k, w.used, t.sample_id, min({{'ratio': greatest(t.len, s.len)::DOUBLE / least(t.len, s.len), 'id': s.sample_id}}) AS best
+    FROM walk w JOIN turns t ON t.occupation = w.occupation AND t.template_id = w.template_id AND t.k = w.k + 1 JOIN eligible s ON s.occupation = w.occupation AND s.template_id = w.template_id AND s.class = 'stereo'
+    WHERE len(w.used) < 2 AND NOT list_contains(w.used, s.sample_id) GROUP BY ALL))
+"""
+
+
+@query(lambda: (data.cte() + _LEGACY + _WALK).replace("WITH occupations", "WITH RECURSIVE occupations", 1) + "SELECT occupation, template_id, chosen AS chosen_sample_id, rejected AS rejected_sample_id, ratio FROM walk WHERE chosen IS NOT NULL")
 def legacy_pairs(spark, sf_dir):
     return legacy.matched(legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'")))
 
 
+@query(lambda: (data.cte() + _LEGACY + _WALK).replace("WITH occupations", "WITH RECURSIVE occupations", 1) + "SELECT occupation, template_id, count(*) FILTER (chosen IS NOT NULL) AS n_pairs, count(*) FILTER (k > 0 AND chosen IS NULL) AS too_far FROM walk GROUP BY 1, 2")
+def legacy_counts(spark, sf_dir):
+    """How many pairs each prompt gives, and how many texts found none near enough."""
+    return legacy.group_outcomes(legacy.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'"))).select("occupation", "template_id", "n_pairs", "too_far")
+
+
 # --- bootstraps -------------------------------------------------------------------------
 
 
@@ -450,13 +427,28 @@ def boot_interaction(spark, sf_dir):
     return bootstrap.interaction(spark, _labelled(spark, sf_dir), "base", "step10", "base_4bit", "step10_4bit", seed=SEED)
 
 
+EXTRA = (("train_occ|all_tmpl", "train", None),)
+
+
+@query(lambda: _contrast_sql([("base_4bit-base", "base_4bit", 1), ("base_4bit-base", "base", -1)], EXTRA))
+def boot_extra_cell(spark, sf_dir):
+    """What quantising does to the training occupations over all templates."""
+    return bootstrap.paired(spark, _labelled(spark, sf_dir), (("base", "base_4bit"),), seed=SEED, cells=EXTRA)
+
+
+@query(lambda: f"SELECT CASE unit WHEN 'base' THEN 0 ELSE regexp_extract(unit, '([0-9]+)$', 1)::INT END AS step, cell, diff AS gap, ci_low, ci_high, interpretable FROM ({_contrast_sql([(t, t, 1) for t in data.TAGS if not t.endswith('_4bit')], (*dims.CELLS, ('all', None, None)))}) WHERE diff IS NOT NULL")
+def trajectory_intervals(spark, sf_dir):
+    """The gap by training step and cell with its interval."""
+    return bootstrap.trajectory(spark, _labelled(spark, sf_dir), data.TAGS, seed=SEED)
+
+
 def queries() -> dict[str, Query]:
-    from ratelens.plans import fixtures  # noqa: F401  registers its own
+    from ratelens.plans import derived, language  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from ratelens.plans import fixtures  # noqa: F401
+    from ratelens.plans import derived, language  # noqa: F401
 
     return {name: sql() for name, sql in _SQL.items()}

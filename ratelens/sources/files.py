@@ -28,7 +28,7 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def _folders(spark: SparkSession, pattern: str) -> list[str]:
+def folders_with(spark: SparkSession, pattern: str) -> list[str]:
     """Names of the folders that hold a match of the pattern, in order."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
@@ -41,7 +41,7 @@ def read_models(spark: SparkSession, root: str, tags: Sequence[str] | None = Non
     With tags, folders of those names only; a missing one is skipped, as is a folder without metrics.json.
     Where the schema has a reason, usable says that it is null. Completions may be one file or a folder of them.
     """
-    done = [t for t in _folders(spark, f"{root.rstrip('/')}/*/metrics.json") if tags is None or t in tags]
+    done = [t for t in folders_with(spark, f"{root.rstrip('/')}/*/metrics.json") if tags is None or t in tags]
     rows = read_jsonl(spark, f"{root.rstrip('/')}/*/completions.jsonl", schema).withColumn("model_tag", F.regexp_extract(F.input_file_name(), "([^/]+)/completions\\.jsonl", 1))
     rows = rows.filter(F.col("model_tag").isin(*done))
     return rows.withColumn("usable", F.col("reason").isNull()) if "reason" in rows.columns else rows
@@ -51,7 +51,7 @@ def selected_tag(spark: SparkSession, root: str, given: str | None = None) -> st
     """The tag that is given, or the one that summary.json says was selected."""
     if given is not None:
         return given
-    if not _folders(spark, f"{root.rstrip('/')}/summary.json"):
+    if not folders_with(spark, f"{root.rstrip('/')}/summary.json"):
         return None
     row = read_json(spark, f"{root.rstrip('/')}/summary.json", "selected string").first()
     return row["selected"] if row else None
@@ -62,14 +62,31 @@ def read_words(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").startswith(comment)).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("name")).filter("name <> ''").distinct()
 
 
-def read_audit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_audit(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows of an audit sheet, and the lines that aren't rows."""
-    rows = spark.read.schema(f"{AUDIT}, corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
+    rows = spark.read.schema(f"{AUDIT}, corrupt string").option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(path)
     rows = rows.select("*", F.coalesce("corrupt", F.lit("")).alias("_line"))  # a scan of the corrupt column alone isn't allowed
     bad = F.col("corrupt").isNotNull() | F.col("pair_id").isNull()
     return rows.filter(~bad).drop("corrupt", "_line"), rows.filter(bad).select("corrupt")
 
 
+def rescued(bad: DataFrame) -> DataFrame:
+    """Rows of an audit sheet from lines that weren't rows: quoted as a whole, or with stray semicolons at an end.
+
+    The line is freed of both and read again; lines that still aren't rows are left out.
+    """
+    inner = F.regexp_replace(F.col("corrupt"), r"^[;\s]+|[;\s]+$", "")
+    inner = F.when(inner.rlike('^".*"$'), F.replace(F.regexp_replace(inner, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(inner)
+    row = F.from_csv(F.regexp_replace(inner, r"[;\s]+$", ""), AUDIT, {"mode": "PERMISSIVE"})
+    return bad.select(row.alias("r")).select("r.*").filter("pair_id is not null")
+
+
+def read_whole_audit(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """All rows of an audit sheet, and whether each had to be rescued."""
+    good, bad = read_audit(spark, path, header)
+    return good.withColumn("rescued", F.lit(False)).unionByName(rescued(bad).withColumn("rescued", F.lit(True)))
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
@@ -96,6 +113,25 @@ def materialised(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialised_by(spark: SparkSession, path: str, by: str, wanted: Sequence[str], make) -> DataFrame:
+    """The wanted parts of the table at path, one folder a value of by; make(missing) gives the rows of those that aren't there.
+
+    Parts that are there aren't touched: only the folders of what is made are replaced.
+    """
+    there = {f.split("=", 1)[1] for f in folders_with(spark, f"{path.rstrip('/')}/{by}=*/*.parquet")}
+    missing = [w for w in wanted if w not in there]
+    if missing:
+        made = make(missing).filter(F.col(by).isin(*missing))
+        made.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return spark.read.parquet(path).filter(F.col(by).isin(*wanted))
+
+
+def write_documents(df: DataFrame, path: str, by: str) -> None:
+    """One JSON document a row, each in the folder of its value of by."""
+    rest = [c for c in df.columns if c != by]
+    df.select(by, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,15 +14,15 @@ def canon(v):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", NAMES)
-def test_same_as_sql(spark, name):
+def test_same_as_sql(spark, name, sf_dir=SF, tables=("documents", "events", "labels", "lineitem", "conversations", "supplier", "orders", "nation")):
     import duckdb
 
     from ratelens.plans import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "events", "labels", "lineitem", "conversations", "supplier", "orders", "nation"):
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got = catalog.queries()[name](spark, SF)
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}'")
+    got = catalog.queries()[name](spark, sf_dir)
     cols = sorted(got.columns)
     ours = sorted(tuple(canon(r[c]) for c in cols) for r in got.collect())
     rel = con.sql(catalog.oracle_sql()[name])
@@ -44,7 +44,7 @@ def test_contract_without_the_llm_part(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
 
 
-FIXTURES = ("jsonl_append", "csv_round_trip", "json_document_round_trip", "model_folders", "word_list_scan", "markdown_table", "skip_if_there", "tagged_tokens", "found_names", "name_runs", "swap_outcomes", "name_reasons", "eval_rows", "raw_with_analysis", "legacy_group_outcomes")
+FIXTURES = ("jsonl_append", "csv_round_trip", "json_document_round_trip", "model_folders", "selected_tag", "word_list_scan", "markdown_table", "skip_if_there", "skip_by_variant", "tagged_tokens", "found_names", "name_runs", "name_reasons", "eval_rows", "audit_verdicts", "metrics_documents", "raw_with_analysis", "legacy_group_outcomes", "legacy_pairs")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -71,6 +71,16 @@ def test_files_to_pairs(spark, tmp_path):
         assert len(one) == len(two) and not set(map(str.lower, one)) & set(map(str.lower, two))
 
 
+#: Ends of texts: further pronouns, titles, quotes, people, verbs of two objects.
+ENDS = ("The shop was quiet.", "Mr. Hale gave her time.", 'A sign said "Ask Robert" in red.', "It was on her to-do list.", "A woman came in.", "Her last long day was his.", "Miss Stone left.", "HIS bag, his!", "Linda called.", "The chairman and the waitress said: his.")
+
+
+@pytest.mark.parametrize("name", ["swap_pairs", "swap_outcomes", "pair_statistics", "pair_count_alarm", "legacy_pairs", "legacy_counts", "possessive_her", "quoted_tokens"])
+def test_pairs_same_as_sql(spark, name, tmp_path):
+    spark.createDataFrame([(i, ENDS[(i // 7) % len(ENDS)] + " word" * (i % 5)) for i in range(2000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    test_same_as_sql(spark, name, str(tmp_path), ("documents",))
+
+
 def test_a_broken_import_is_not_taken_for_an_absent_part(tmp_path):
     import shutil
     import subprocess
