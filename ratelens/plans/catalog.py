@@ -442,6 +442,10 @@ def trajectory_intervals(spark, sf_dir):
     return bootstrap.trajectory(spark, _labelled(spark, sf_dir), data.TAGS, seed=SEED)
 
 
+def oracle_sql_of(name: str) -> str:
+    return _SQL[name]()
+
+
 def queries() -> dict[str, Query]:
     from ratelens.plans import derived, language  # noqa: F401  register their own
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import text as tx
 from ratelens.operators import dims, funnel, lexicon, metrics, pairs, report, review, training
+from ratelens.plans import catalog
 from ratelens.plans import completions as data
 from ratelens.plans.catalog import _SUMMARY, KEY, prompt_sql, query
 from ratelens.sources import files, folders, logs
+from ratelens.streaming import monitor
 
 
 
@@ -375,3 +377,27 @@ def metrics_documents(spark, sf_dir):
     read = spark.read.schema(f"{metrics.DOCUMENT}, model_tag string").json(path)
     part = lambda name, n, value: read.select("model_tag", F.lit(name).alias("part"), F.explode(name).alias("key", "v")).select("model_tag", "part", "key", F.col(f"v.{n}").alias("n"), F.col(f"v.{value}").alias("value"))
     return part("cells", "n", "p_female").unionByName(part("per_occupation", "n", "p_female")).unionByName(part("gap", "n_female_coded", "gap"))
+
+
+# --- streams ----------------------------------------------------------------------------
+
+DAYS_LATE = 400
+
+
+def _shuffled_events(spark: SparkSession, sf_dir: str, files_: int = 6) -> str:
+    """Events as files in no order of time, and a last one whose only event lies so far ahead that it closes all steps."""
+    path, rows = files.work_path(spark, "event-files"), _table(spark, sf_dir, "events")
+    own = rows.select(F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") < 50).alias("usable"))
+    own.repartition(files_, F.xxhash64("event_id")).write.parquet(path)
+    end = own.agg((F.max("at") + F.expr(f"INTERVAL {2 * DAYS_LATE} DAYS")).alias("at")).filter("at is not null")
+    end.select(F.lit("the end").alias("run"), "at", F.lit(True).alias("usable")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(lambda: catalog.oracle_sql_of("monitor_early_stop").replace("SELECT run, step,", "SELECT run, step::BIGINT AS step,"))
+def monitor_stream(spark, sf_dir):
+    """The early stop over a stream of events in parts and out of order: the same verdicts as over the table."""
+    path = _shuffled_events(spark, sf_dir)
+    texts = spark.readStream.schema("run string, at timestamp, usable boolean").option("maxFilesPerTrigger", 3).parquet(path)
+    found = monitor.run_to_table(monitor.early_stop_by_time(texts, f"{DAYS_LATE} days", drop=0.02), f"{path}-verdicts", f"{path}-state")
+    return found.filter("run <> 'the end'")

@@ -189,3 +189,30 @@ def test_nested_documents_of_models(spark, tmp_path):
 def test_number_texts(spark):
     one = lambda *x: spark.createDataFrame([x], "p double, l double, h double, ok boolean").select(report.interval_text(*map(F.col, ("p", "l", "h", "ok")))).first()[0]
     assert one(0.6088, 0.519, 0.6986, True) == "+0.61 [+0.52, +0.70]" and one(None, None, None, True) == "n/a" and one(0.5, None, None, False) == "(+0.50)" and one(-0.001, -0.5, 0.5, True) == "+0.00 [-0.50, +0.50]"
+
+
+# --- the monitor as a stream ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("per_trigger", [1, 4])
+def test_stream_of_parts_out_of_order_gives_the_table_s_verdicts(spark, tmp_path, per_trigger):
+    from datetime import datetime, timedelta
+
+    from ratelens.streaming import monitor
+
+    rng = random.Random(per_trigger)
+    start = datetime(2024, 1, 1)
+    rates = {"a": [0.9, 0.85, 0.5, 0.9, 0.4, 0.3, 0.2], "b": [0.5, 0.5, 0.1, 0.1]}
+    rows = [(run, start + timedelta(days=d, minutes=rng.randrange(1440)), i < 20 * rate) for run, rs in rates.items() for d, rate in enumerate(rs) for i in range(20)]
+    rng.shuffle(rows)
+    cuts = [rows[i::5] for i in range(5)]
+    for n, part in enumerate([*cuts[:3], cuts[3] + cuts[4] + [("end", start + timedelta(days=99), True)]]):
+        spark.createDataFrame(part, "run string, at timestamp, usable boolean").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+        if n in (1, 3):  # what is there so far, and then the rest from where the first call left off
+            read = spark.readStream.schema("run string, at timestamp, usable boolean").option("maxFilesPerTrigger", per_trigger).parquet(f"{tmp_path}/in")
+            found = monitor.run_to_table(monitor.early_stop_by_time(read, "30 days"), f"{tmp_path}/out", f"{tmp_path}/state")
+            assert n == 3 or found.count() == 0
+    day = (start - datetime(1970, 1, 1)).days
+    log = spark.createDataFrame([(run, day + d, rate) for run, rs in rates.items() for d, rate in enumerate(rs)], "run string, step int, usable_rate double")
+    want = {tuple(r) for r in training.early_stop(log, by=["run"]).select("run", "step", "usable_rate", "strike", "stop").collect()}
+    assert {tuple(r) for r in found.collect()} == want and sum(r[4] for r in want) == 2
