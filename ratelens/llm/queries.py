@@ -36,7 +36,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.TEMPLATES + licenses.STANDARD).select("doc_id", "license_scan.*")
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=_NOTICES).select("doc_id", "license_scan.*")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,27 +101,41 @@ _LOWER = f"translate(%s, '{UPPER}', '{LOWER}')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_NOTICES = licenses.TEMPLATES + licenses.STANDARD
+_TELLS = f"list_sort(list_filter(%s, lambda x: regexp_matches(x, '{licenses.TELLING}')))"
+_GRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+
 _OP4 = f"""
 WITH templates AS (
-  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM (SELECT name, string_split(trim(regexp_replace({_LOWER % 't'}, '{_GAP}', ' ', 'g')), ' ') AS w
-        FROM (VALUES {", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES)}) v(name, t))
+  SELECT name, grams, {_TELLS % 'grams'} AS tells FROM (SELECT name, list_distinct({_GRAMS}) AS grams
+    FROM (SELECT name, string_split(trim(regexp_replace({_LOWER % 't'}, '{_GAP}', ' ', 'g')), ' ') AS w
+          FROM (VALUES {", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in _NOTICES)}) v(name, t)))
+), likely AS (
+  SELECT doc_id, text AS t FROM documents WHERE regexp_matches(text, '(?i)(?:licen|permission|redistribut|software|public)')
 ), units AS (
-  SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), list_filter(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n\\s*'), lambda u: contains(u, chr(10))))) AS u
-  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), list_filter(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n\\s*'), lambda u: contains(u, chr(10))))) AS u FROM likely
 ), grams AS (
-  SELECT row_number() OVER () AS unit, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM (SELECT doc_id, string_split(trim(regexp_replace({_LOWER % 'u'}, '{_GAP}', ' ', 'g')), ' ') AS w FROM units)
-  WHERE len(w) > 1
+  SELECT row_number() OVER () AS unit, doc_id, g, {_TELLS % 'g'} AS tells FROM (SELECT doc_id, list_distinct({_GRAMS}) AS g
+    FROM (SELECT doc_id, string_split(trim(regexp_replace({_LOWER % 'u'}, '{_GAP}', ' ', 'g')), ' ') AS w FROM units) WHERE len(w) > 1)
 ), dice AS (
-  SELECT unit, doc_id, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS d FROM grams, templates
+  SELECT unit, doc_id, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS d FROM grams JOIN templates USING (tells)
 ), best AS (
   SELECT * FROM dice WHERE d >= {licenses.THRESHOLD} - 1e-12
   QUALIFY row_number() OVER (PARTITION BY unit ORDER BY d DESC, name) = 1
+), whole AS (
+  SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, string_split(trim(regexp_replace({_LOWER % 't'}, '{_GAP}', ' ', 'g')), ' ') AS w FROM likely)
+), tried AS (
+  SELECT doc_id, name, grams, tells, g FROM whole, templates WHERE len(list_intersect(list_distinct(g), grams)) >= len(grams) * {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) - 1e-9
+), windows AS (
+  SELECT doc_id, name, grams, tells, list_distinct(g[i : i + len(grams) - 1]) AS g FROM (SELECT *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(grams, g[i]))) AS i FROM tried)
+), extra AS (
+  SELECT doc_id, name, max(2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams))) AS d FROM windows WHERE {_TELLS % 'g'} = tells GROUP BY 1, 2
+), shown AS (
+  SELECT doc_id, name, d FROM best UNION ALL SELECT doc_id, name, d FROM extra WHERE d >= {licenses.THRESHOLD} - 1e-12 AND (doc_id, name) NOT IN (SELECT doc_id, name FROM best)
 ), found AS (
-  SELECT doc_id, count(*) AS hits, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY doc_id
+  SELECT doc_id, count(*) AS hits, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM shown GROUP BY doc_id
 ), top AS (
-  SELECT doc_id, name AS best_license, d AS best_dice FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, name) = 1
+  SELECT doc_id, name AS best_license, d AS best_dice FROM shown QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, name) = 1
 )
 SELECT doc_id, coalesce(hits, 0) AS hits, coalesce(licenses, '') AS licenses, best_license, best_dice
 FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN top USING (doc_id)
