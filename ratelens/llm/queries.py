@@ -55,7 +55,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = exactdedup.copies(docs, carry={"sha": F.sha2(exactdedup.normalised(F.col("text")), 256)})
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("kept_row").alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
 """
 
 _OP8 = f"""
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, {_LOWER % "coalesce(text, '')"} AS norm FROM documents)
 WINDOW g AS (PARTITION BY norm)
 """
