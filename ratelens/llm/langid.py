@@ -4,8 +4,8 @@ A text is the average of the embeddings of its hashed character n-grams (1 to 4
 letters, word ends marked by a blank); a linear layer and a softmax give a probability for each
 language. Embeddings and layer are trained together by stochastic gradient descent in numpy, on the
 driver, from a bounded sample: at most ``per_lang`` texts of each language, each reduced on the
-executors to counts of at most ``BUCKETS`` hashed n-grams, so that neither many rows nor long texts
-grow what the driver holds. A tenth of the sample calibrates: it sets the softmax temperature, and the
+executors to counts of at most ``BUCKETS`` hashed n-grams, and of all languages together at most
+``max_bytes`` of such counts, so that neither many rows, many languages nor long texts grow what the driver holds. A tenth of the sample calibrates: it sets the softmax temperature, and the
 least score, from one half up, at which accepted texts are wrong at most ``max_error`` of the time.
 Texts below it are rejected.
 
@@ -14,7 +14,7 @@ whole texts are scored in numpy over their bytes.
 
 Defined results: a null text, an empty one or one with no letter is ``und`` with score 0 and is
 rejected. Rows with a null language teach nothing. With no labelled row at all every text is ``und``.
-Repeated rows are scored alike. Other columns pass through untouched; text and language columns are
+Of equal scores the language first by name wins. An empty table gives no rows. Repeated rows are scored alike. Other columns pass through untouched; text and language columns are
 taken by name.
 """
 
@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import apart, as_bytes, fold, free_name, mix, slices, small_batches
+from ratelens.llm.common import apart, as_bytes, discard, fold, free_name, mix, slices, small_batches, written
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -180,8 +180,8 @@ def counted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1200, max_langs: int = 500, max_error: float = 0.02) -> Model:
-    """A model from at most per_lang rows of each of the max_langs most frequent languages."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1200, max_langs: int = 500, max_error: float = 0.02, max_bytes: int = 192 << 20) -> Model:
+    """A model from at most per_lang rows of each of the max_langs most frequent languages, and max_bytes of their counts."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("l is not null and t is not null")
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         got = counted(t)
         return pa.StructArray.from_arrays([pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())], ["idx", "n"])
 
-    got = rows.select("k", "l", grams("t").alias("g")).select("k", "l", "g.idx", "g.n").toArrow().to_pandas().sort_values(["l", "k"], kind="stable")
+    sample = written(rows.select("k", "l", grams("t").alias("g")).select("k", "l", "g.idx", "g.n"), "language-sample")
+    got = _within(sample, max_bytes).select("k", "l", "idx", "n").toArrow().to_pandas().sort_values(["l", "k"], kind="stable")
+    discard(sample)
     got = got.groupby("l", sort=True).head(per_lang)
     langs = sorted(got["l"].unique())
     number = {x: i for i, x in enumerate(langs)}
@@ -207,6 +209,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return train(features, got["l"].map(number).to_numpy(np.int64), langs, max_error=max_error)
 
 
+#: Parts of a language's sample, by hash, of which as many are taken as fit.
+PARTS = 4096
+
+
+def _within(sample: DataFrame, max_bytes: int) -> DataFrame:
+    """The sample, or where it is larger than so many bytes, of each language as many parts as its equal share of them holds."""
+    sized = sample.withColumns({"size": F.octet_length("idx") + F.octet_length("n"), "part": F.pmod(F.xxhash64("k", F.lit(11)), F.lit(PARTS))})
+    total = sized.agg(F.sum("size"), F.count_distinct("l")).first()
+    if (total[0] or 0) <= max_bytes:
+        return sample
+    order = Window.partitionBy("l").orderBy("part")
+    upto = sized.groupBy("l", "part").agg(F.sum("size").alias("bytes")).withColumn("upto", F.sum("bytes").over(order))  # PARTS rows a language
+    fits = upto.filter(F.col("upto") <= max_bytes // total[1]).select("l", "part")
+    return sized.join(F.broadcast(fits), ["l", "part"], "left_semi")  # PARTS x max_langs pairs at most
+
+
 def predictor(docs: DataFrame, model: Model):
     """A function of a text column that gives struct<lang, score, rejected>."""
     small_batches(docs.sparkSession)

@@ -56,6 +56,36 @@ def test_language_held_out_accuracy_and_edges(spark, corpus):
     assert kept.columns == corpus.columns and 902 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_scores_are_a_plain_softmax_of_averages(spark, corpus):
+    import pyarrow as pa
+
+    model = langid.fit(langid.training_rows(corpus))
+    rows = [r for r in corpus.select("doc_id", "text").collect() if r["text"] and any(map(str.isalpha, r["text"]))]
+    (got,) = [langid.Model.predict(model, pa.array([r["text"] for r in rows]))]
+    for r, lang, score in zip(rows, got[0], got[1], strict=True):
+        ((idx, n),) = langid.counted(pa.array([r["text"]]))
+        z = (n.astype(float)[:, None] * model.table[idx].astype(float)).sum(0) / n.sum() + model.bias
+        e = np.exp(z - z.max())
+        assert model.langs[int(np.argmax(e))] == lang and e.max() / e.sum() == pytest.approx(score, abs=1e-4)
+
+
+def test_language_sample_is_bounded_over_all_languages(spark):
+    rng = random.Random(12)
+    alphabets = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "en": "abcdefghiklmnoprst", "ja": "あいうえおかきくけこさし"}
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(30)), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    own, most = langid._within, 400_000
+    try:
+        langid._within = lambda sample, m: taken.append(own(sample, m).selectExpr("sum(octet_length(idx) + octet_length(n))", "count(distinct l)").first()) or own(sample, m)
+        model = langid.fit(docs, max_bytes=most)
+    finally:
+        langid._within = own
+    assert most / 2 < taken[0][0] <= most and taken[0][1] == 4
+    got = docs.select("lang", langid.identify(docs, model).alias("p")).collect()
+    assert sum(r["p"]["lang"] == r["lang"] for r in got) >= 0.97 * len(got)
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
