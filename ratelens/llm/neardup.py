@@ -12,10 +12,12 @@ Rows are numbered and written with their sketches; nothing is looked up by doc_i
 128-bit digest of them, are one class member before anything else. Signatures are banded; in each bucket
 every member is compared with the bucket's least member, and links of similarity ``threshold`` or more
 are verified on the exact shingle sets. Classes are the connected components of the links. Buckets that
-still hold several components are taken further, so that no link in a bucket is lost: members are dealt by
-a hash into blocks of about ``BLOCK``, and blocks are compared with each other by products of their
-shingle matrices, which give one link for any two components that have one. Thus a bucket of n near copies
-costs n comparisons, and an unresolved one (n / BLOCK) squared products; pairs are never emitted.
+still hold several components are taken further, so that no link in a bucket is lost. One of up to ``BLOCK``
+members is compared by a product of its shingle matrix with itself, which gives one link for any two components that
+have one. Members of larger ones are dealt into finer buckets by their rarest shingles, of which two members with
+a link have one in common, and compared with each finer bucket's least member; what shares wording that many have is
+parted so. A finer bucket that still holds several components is dealt by a hash into blocks, which are compared with each
+other: (n / BLOCK) squared products of n members that share a rare shingle. Pairs are never emitted.
 
 Every group is handled by shuffle joins between tables that have been written, so that Spark can split hot
 keys; no bucket is collected, capped or expanded into all pairs. Components are found by alternating
@@ -34,7 +36,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,7 +211,10 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     # buckets of several components; of those with the same members, one
     of = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("p"), F.max("rep").alias("q"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"))
     open_ = written(of.filter("x < y and n > 2").groupBy("n", "p", "q", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("n").alias("n")), "open-buckets")
-    rest = written(placed.join(open_, "bucket").select("bucket", "rep", "root", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "open-members")
+    large = open_.filter(F.col("n") > BLOCK)
+    split = None if large.isEmpty() else _split(placed.join(large.select("bucket"), "bucket", "left_semi").select("rep", "root").distinct(), texts, threshold, k)
+    rest = placed.join(open_.filter(F.col("n") <= BLOCK), "bucket").select("bucket", "rep", "root", F.lit(1).cast("long").alias("blocks"))
+    rest = written(rest if split is None else rest.unionByName(split[1]), "open-members")
     discard(placed, open_)
     again = written(rest.join(texts.withColumnRenamed("k", "rep"), "rep").select("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "root", "t"), "open-texts")
     shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -219,8 +224,8 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     many = blocked.filter("a is null").select("bucket", "block", "payload")
     two = many.select("bucket", F.col("block").alias("block2"), F.col("payload").alias("payload2"))
     across = many.join(two, "bucket").filter("block < block2").mapInArrow(_across(threshold), "a long, b long")
-    more = written(own.unionByName(across).distinct(), "more-links")  # between roots
-    discard(blocked)
+    more = written((own.unionByName(across) if split is None else own.unionByName(across).unionByName(split[0])).distinct(), "more-links")  # between roots
+    discard(blocked, *(split or ()))
     if more.isEmpty():
         return roots
     upper = components(more)
@@ -228,6 +233,62 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     return lower.unionByName(upper)
 
 
+def _prefixes(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """rep, root, key, early: of each member the rarest shingles, of which two members with a link have one in common.
+
+    Of n shingles these are n - ceil(t n) + 1, in one order for all: by how many of the members hold them, then by hash. The first
+    that two have in common is early, among the first n - ceil(2 t n / (1 + t)) + 1, for the smaller of the two sets.
+    """
+
+    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            doc, key, _, _ = shingle_sets(*as_bytes(batch.column("t")), k)
+            size = np.bincount(doc, minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), pa.array(size.astype(np.int64)), lists], ["rep", "root", "size", "keys"])
+
+    whole = members.join(texts.withColumnRenamed("k", "rep"), "rep").select("rep", "root", "t").mapInArrow(keys, "rep long, root long, size long, keys array<long>")
+    held = written(whole.select("rep", "root", "size", F.explode("keys").alias("key")), "member-shingles")
+    often = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "shingle-counts")
+    order = Window.partitionBy("rep").orderBy("often", "key")  # a document's shingles
+    least = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    ranked = held.join(often, "key").withColumn("place", F.row_number().over(order)).filter((F.col("place") <= least) & (F.col("often") > 1))
+    early = F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    out = written(ranked.select("rep", "root", "key", early.alias("early")), "prefixes")
+    discard(held, often)
+    return out
+
+
+def _split(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """Large open buckets by rare shingles: links (a, b) between roots, and bucket, rep, root, blocks of what is open still.
+
+    Every link of two members is between some that hold one of both's rarest shingles, so members are dealt into a
+    bucket for each of these; its members are compared with the least of them, and only buckets that hold several
+    components after that go on to be compared by blocks.
+    """
+    members = written(members, "large-members")
+    prefix = _prefixes(members, texts, threshold, k)
+    heads = prefix.groupBy("key").agg(F.min("rep").alias("centre"), F.min("root").alias("x"), F.max("root").alias("y"), F.max("early").alias("early")).filter("x < y and early").select("key", "centre")
+    sub = written(prefix.drop("early").join(heads, "key"), "rare-buckets")
+    discard(prefix)
+    pairs = written(sub.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "rare-pairs")
+    hits = compared(pairs, texts, k).filter(F.col("similarity") >= threshold).select("a", "b")
+    of = lambda c: members.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))
+    links = hits.join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    links = written(links, "rare-links")
+    discard(pairs, members)
+    if not links.isEmpty():
+        tops = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        now = written(sub.join(tops, "root", "left").select("key", "rep", F.coalesce("top", "root").alias("root")), "rare-placed")
+        discard(sub)
+        sub = now
+    of = sub.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("p"), F.max("rep").alias("q"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"))
+    open_ = of.filter("x < y and n > 2").groupBy("n", "p", "q", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    rest = written(sub.join(open_, "key").select(F.col("key").alias("bucket"), "rep", "root", "blocks"), "rare-open")
+    discard(sub)
+    return links, rest
+
+
 #: Documents compared at once in a bucket with several components, and columns of one product of matrices.
 BLOCK, COLUMNS = 256, 16_384
 BLOCK_SCHEMA = "bucket long, block long, payload binary, a long, b long"
