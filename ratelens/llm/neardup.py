@@ -14,7 +14,7 @@ every member is compared with the bucket's least member, and links of similarity
 are verified on the exact shingle sets. Classes are the connected components of the links. Buckets that
 still hold several components are taken further, so that no link in a bucket is lost. One of up to ``BLOCK``
 members is compared by a product of its shingle matrix with itself, which gives one link for any two components that
-have one. Members of larger ones are dealt into finer buckets by their rarest shingles, of which two members with
+have one. Members of larger ones are dealt into finer buckets by their rarer shingles, of which two members with
 a link have one in common, and compared with each finer bucket's least member; what shares wording that many have is
 parted so. A finer bucket that still holds several components is dealt by a hash into blocks, which are compared with each
 other: (n / BLOCK) squared products of n members that share a rare shingle. Pairs are never emitted.
@@ -36,7 +36,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,30 +233,54 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     return lower.unionByName(upper)
 
 
+#: Counters of how often shingles occur, by the upper bits of their hashes.
+SLOT_BITS = 16
+
+
+def _frequencies(members: DataFrame, texts: DataFrame, k: int) -> np.ndarray:
+    """For each slot the bits of how many shingles of members fall on it: 2 ** SLOT_BITS numbers, whatever the members.
+
+    Wording that many members share stands out of what falls on a slot by chance.
+    """
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in it:
+            key = shingle_sets(*as_bytes(batch.column("t")), k)[1]
+            n += np.bincount((key >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    rows = members.join(texts.withColumnRenamed("k", "rep"), "rep").select("t").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows:
+        out[r["slot"]] = int(r["n"]).bit_length()
+    return out
+
+
 def _prefixes(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """rep, root, key, early: of each member the rarest shingles, of which two members with a link have one in common.
+    """rep, root, key, early: of each member the first shingles, of which two members with a link have one in common.
 
-    Of n shingles these are n - ceil(t n) + 1, in one order for all: by how many of the members hold them, then by hash. The first
-    that two have in common is early, among the first n - ceil(2 t n / (1 + t)) + 1, for the smaller of the two sets.
+    Of n shingles these are n - ceil(t n) + 1, in one order for all: by how often shingles of their slot occur, then by hash.
+    The first that two have in common is early, among the first n - ceil(2 t n / (1 + t)) + 1, for the smaller of the two sets.
     """
+    often = _frequencies(members, texts, k)
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             doc, key, _, _ = shingle_sets(*as_bytes(batch.column("t")), k)
+            order = np.lexsort((key, often[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], doc))
             size = np.bincount(doc, minlength=batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), pa.array(size.astype(np.int64)), lists], ["rep", "root", "size", "keys"])
-
-    whole = members.join(texts.withColumnRenamed("k", "rep"), "rep").select("rep", "root", "t").mapInArrow(keys, "rep long, root long, size long, keys array<long>")
-    held = written(whole.select("rep", "root", "size", F.explode("keys").alias("key")), "member-shingles")
-    often = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "shingle-counts")
-    order = Window.partitionBy("rep").orderBy("often", "key")  # a document's shingles
-    least = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    ranked = held.join(often, "key").withColumn("place", F.row_number().over(order)).filter((F.col("place") <= least) & (F.col("often") > 1))
-    early = F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    out = written(ranked.select("rep", "root", "key", early.alias("early")), "prefixes")
-    discard(held, often)
-    return out
+            own = doc[order]
+            place = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+            upto = lambda share: size - np.ceil(size * share - 1e-9).astype(np.int64) + 1
+            keep = place < upto(threshold)[own]
+            early = place[keep] < upto(2 * threshold / (1 + threshold))[own[keep]]
+            who = pa.array(own[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(who), batch.column("root").take(who), pa.array(key[order][keep].view(np.int64)), pa.array(early)], ["rep", "root", "key", "early"])
+
+    whole = members.join(texts.withColumnRenamed("k", "rep"), "rep").select("rep", "root", "t")
+    return written(whole.mapInArrow(keys, "rep long, root long, key long, early boolean"), "prefixes")
 
 
 def _split(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
