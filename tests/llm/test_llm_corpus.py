@@ -137,11 +137,11 @@ def test_near_dedup_parts_large_open_buckets_by_rare_shingles(spark, monkeypatch
 
     monkeypatch.setattr(neardup, "_split", split)
     rng = random.Random(4)
-    shared, texts = [f"s{i}" for i in range(160)], []
+    shared, texts = [f"s{i}" for i in range(150)], []
     for i in range(50):
-        text = shared + [f"o{i}x{j}" for j in range(20)]
+        text = shared + [f"o{i}x{j}" for j in range(26)]  # more than are early, also where one shares its slot with common wording
         other = list(text)
-        other[rng.randrange(170, 180)] = "changed"
+        other[rng.randrange(160, 170)] = "changed"
         texts += [text, other]
     sets = [shingle_set(" ".join(t)) for t in texts]
     near = {(i, j) for i in range(100) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
