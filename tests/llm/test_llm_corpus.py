@@ -125,17 +125,8 @@ def test_near_dedup_against_all_pairs(spark, weights, monkeypatch):
     assert neardup.classes(df.filter("false")).count() == 0
 
 
-def test_near_dedup_parts_large_open_buckets_by_rare_shingles(spark, monkeypatch):
+def test_large_open_buckets_are_parted_by_rare_shingles(spark):
     """Pairs of copies whose texts are three quarters wording that all share, below the threshold for any two pairs."""
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    calls, own = [], neardup._split
-
-    def split(*args):
-        links, rest = own(*args)
-        calls.append((links.count(), rest.count()))
-        return links, rest
-
-    monkeypatch.setattr(neardup, "_split", split)
     rng = random.Random(4)
     shared, texts = [f"s{i}" for i in range(150)], []
     for i in range(50):
@@ -144,11 +135,15 @@ def test_near_dedup_parts_large_open_buckets_by_rare_shingles(spark, monkeypatch
         other[rng.randrange(160, 170)] = "changed"
         texts += [text, other]
     sets = [shingle_set(" ".join(t)) for t in texts]
-    near = {(i, j) for i in range(100) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
-    assert near == {(2 * i + 1, 2 * i) for i in range(50)}
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    near = {(j, i) for i in range(100) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert near == {(2 * i, 2 * i + 1) for i in range(50)}
+    members = spark.createDataFrame([(i, i) for i in range(100)], "rep long, root long")
+    held = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "k long, t string")
+    links, rest = neardup._split(members, held, 0.8, 5)
+    assert {tuple(sorted(r)) for r in links.collect()} == near
+    assert rest.count() == 0  # nothing is left to compare by blocks
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(held.withColumnsRenamed({"k": "doc_id", "t": "text"})).collect()}
     assert got == {i: i - i % 2 for i in range(100)}
-    assert calls and calls[0][0] > 0 and calls[0][1] == 0  # links were found, and nothing was left to compare by blocks
 
 
 def repeated_passages():
