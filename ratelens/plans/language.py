@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratelens.functions import sqltext
 from ratelens.functions import text as tx
 from ratelens.functions.rng import draw
 from ratelens.operators import funnel as fn
@@ -14,7 +15,7 @@ from ratelens.operators import lexicon, pairs, swap
 from ratelens.operators import lexicon as lx
 from ratelens.operators import words as wd
 from ratelens.plans import completions as data
-from ratelens.plans.catalog import _CALIBRATION, KEY, SEED, query
+from ratelens.plans.catalog import _CALIBRATION, KEY, SEED, oracle_sql_of, query
 from ratelens.sources import files
 
 # --- the rules in SQL -------------------------------------------------------------------
@@ -273,3 +274,35 @@ def swap_outcomes(spark, sf_dir):
     rows = pairs.candidates(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled)).filter("picked is not null")
     rows = swap.swapped(rows, F.col("completion"), F.col("target_gender"), F.col("picked"))
     return rows.select(*KEY[1:], F.col("target_gender").alias("target"), F.col("picked").alias("new_name"), F.when(F.col("swap.text").isNotNull(), draw("x", F.col("swap.text"))).alias("swapped"), F.col("swap.fail").alias("fail"))
+
+
+# --- the same from SQL text -------------------------------------------------------------
+
+
+@query(f"{_DOCS}{people_sql('docs', 'doc_id', 'text', 'd')} SELECT doc_id, name, gender, titled FROM d_names")
+def sql_names(spark, sf_dir):
+    """The people every document names, asked for in SQL."""
+    sqltext.register(spark)
+    return spark.sql("SELECT d.doc_id, p.name, p.gender, p.titled FROM {docs} d, LATERAL names_of(d.text) p", docs=_documents(spark, sf_dir))
+
+
+@query(lambda: data.cte() + final_sql() + "SELECT model_tag, reason, gender, name_gender, count(*) AS n, count(DISTINCT name) AS n_names FROM final GROUP BY 1, 2, 3, 4")
+def sql_annotations(spark, sf_dir):
+    """All completions annotated in SQL, and counted."""
+    sqltext.register(spark)
+    return spark.sql(
+        """SELECT model_tag, a.reason, a.gender, a.name_gender, count(*) AS n, count(DISTINCT a.name) AS n_names
+        FROM (SELECT model_tag, annotate_text(completion, truncated) AS a FROM {texts}) GROUP BY ALL""",
+        texts=data.completions(spark, sf_dir),
+    )
+
+
+@query(lambda: oracle_sql_of("swap_outcomes"))
+def sql_swaps(spark, sf_dir):
+    """What becomes of each candidate, by the swap in SQL."""
+    sqltext.register(spark)
+    labelled = files.work_table(fn.labelled(data.completions(spark, sf_dir).filter("model_tag = 'base'").drop("name")), "labelled")
+    rows = pairs.candidates(spark, labelled, lexicon.names_table(spark), pairs.calibration(spark, labelled)).filter("picked is not null")
+    made = spark.sql("SELECT *, swap_gender(completion, target_gender, picked) AS made FROM {rows}", rows=rows)
+    swapped = F.when(F.col("made.text").isNotNull(), draw("x", F.col("made.text")))
+    return made.select(*KEY[1:], F.col("target_gender").alias("target"), F.col("picked").alias("new_name"), swapped.alias("swapped"), F.col("made.fail").alias("fail"))

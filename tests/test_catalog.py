@@ -44,7 +44,7 @@ def test_contract_without_the_llm_part(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
 
 
-FIXTURES = ("jsonl_append", "csv_round_trip", "json_document_round_trip", "model_folders", "selected_tag", "word_list_scan", "markdown_table", "skip_if_there", "skip_by_variant", "tagged_tokens", "found_names", "name_runs", "name_reasons", "eval_rows", "audit_verdicts", "metrics_documents", "raw_with_analysis", "legacy_group_outcomes", "legacy_pairs")
+FIXTURES = ("jsonl_append", "csv_round_trip", "json_document_round_trip", "model_folders", "selected_tag", "word_list_scan", "markdown_table", "skip_if_there", "skip_by_variant", "tagged_tokens", "found_names", "name_runs", "name_reasons", "sql_names", "sql_annotations", "eval_rows", "audit_verdicts", "metrics_documents", "raw_with_analysis", "legacy_group_outcomes", "legacy_pairs")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -75,7 +75,7 @@ def test_files_to_pairs(spark, tmp_path):
 ENDS = ("The shop was quiet.", "Mr. Hale gave her time.", 'A sign said "Ask Robert" in red.', "It was on her to-do list.", "A woman came in.", "Her last long day was his.", "Miss Stone left.", "HIS bag, his!", "Linda called.", "The chairman and the waitress said: his.")
 
 
-@pytest.mark.parametrize("name", ["swap_pairs", "swap_outcomes", "pair_statistics", "pair_count_alarm", "legacy_pairs", "legacy_counts", "possessive_her", "quoted_tokens"])
+@pytest.mark.parametrize("name", ["swap_pairs", "swap_outcomes", "sql_swaps", "pair_statistics", "pair_count_alarm", "legacy_pairs", "legacy_counts", "possessive_her", "quoted_tokens"])
 def test_pairs_same_as_sql(spark, name, tmp_path):
     spark.createDataFrame([(i, ENDS[(i // 7) % len(ENDS)] + " word" * (i % 5)) for i in range(2000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     test_same_as_sql(spark, name, str(tmp_path), ("documents",))
