@@ -106,13 +106,40 @@ def _documents(spark, sf_dir):
 _DOCS = "/* documents */ WITH docs AS (SELECT doc_id, text FROM documents)"
 
 
-@query(f"{_DOCS}{people_sql('docs', 'doc_id', 'text', 'd')} SELECT tag, count(*) AS n, count(*) FILTER (capital) AS capitalised, count(DISTINCT lower(word)) AS n_words FROM d_facts GROUP BY 1")
+def signs_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '[\x09-\x0D\x20]+', '', 'g'), '({wd.SIGN})', '\1:X ', 'g')"
+
+
+#: Pronouns that are possessive before what is someone's; "her" has a rule of its own.
+POSSESSIVE = ("his", "my", "their", "its", "your", "our", "whose")
+
+
+@query(lambda: f"""{_DOCS}, cut AS (SELECT row_number() OVER () AS r, doc_id, text, {words_sql("text")} FROM (SELECT doc_id, coalesce(text, '') AS text FROM docs)),
+pieces AS (SELECT r, unnest(range(len(w))) AS place, unnest(w) AS word, unnest(g) AS gap FROM cut),
+alone AS (SELECT *, {tag_sql("lower(word)")} AS own, {kind_sql("word")} IS NOT NULL AS known FROM pieces),
+placed AS (SELECT *, CASE WHEN ({matches("word", wd.CAPITAL)} AND own NOT IN ({", ".join(map(repr, wd.CLOSED))}) AND (known OR (place > 0 AND NOT {matches("gap", wd.SENTENCE)} AND own <> 'Y'))) OR {among("word", wd.ALL_TITLES)} THEN 'P' ELSE own END AS tag FROM alone),
+strings AS (SELECT r, string_agg(CASE WHEN NOT {matches("gap", wd.SIGN)} THEN ' ' WHEN gap = '-' THEN '-' ELSE '|' END || tag, '' ORDER BY place) AS tags FROM placed GROUP BY 1),
+owners AS (SELECT r, place, CASE lower(word) WHEN 'her' THEN {possessive_sql("(place + 1)")} ELSE {matches("tags[place * 2 + 3:]", swap.AFTER_HIS)} END AS owner FROM placed JOIN strings USING (r) JOIN cut USING (r) WHERE {among("lower(word)", (*POSSESSIVE, "her"))}),
+joined AS (SELECT r, count(*) AS n, sum(length(gap) + length(word))::BIGINT AS size, string_agg({signs_sql("gap")} || word || ':' || CASE WHEN owner THEN 'O' ELSE tag END, ' ' ORDER BY place) AS tokens, string_agg(own, '' ORDER BY place) AS owns FROM placed LEFT JOIN owners USING (r, place) GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, trim(coalesce(tokens, '') || ' ' || {signs_sql("substr(text, 1 + coalesce(size, 0))")}, ' ') AS tagged, coalesce(owns, '') AS own_tags FROM cut LEFT JOIN joined USING (r)""")
 def tagged_tokens(spark, sf_dir):
-    """How many words of all documents have each tag by themselves."""
-    rows = wd.token_table(_documents(spark, sf_dir), ["doc_id"]).filter("not quoted")
-    rows = rows.select(F.lower("word").alias("low"), F.col("word").rlike(wd.CAPITAL).cast("long").alias("c"))
-    by = rows.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))  # a tag is made once a word of the vocabulary
-    return by.groupBy(wd.word_tag(F.col("low")).alias("tag")).agg(F.sum("n").alias("n"), F.sum("c").alias("capitalised"), F.count(F.lit(1)).alias("n_words"))
+    """All words and signs of every document in order, each with its tag in its place, and the words' tags by themselves.
+
+    Besides tags of words, X is a sign and O a pronoun before what is someone's.
+    """
+    signs = lambda c: F.regexp_replace(F.regexp_replace(c, r"[\x09-\x0D\x20]+", ""), f"({wd.SIGN})", "$1:X ")
+    rows = _documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = wd.held(rows, w=wd.words(F.col("text")), g=wd.gaps(F.col("text")))
+    names = wd.by_gender(None)
+    rows = wd.held(rows, t=F.transform("w", lambda word, i: swap.tags(word, F.get("g", i), i, names)), size=F.aggregate(F.zip_with("g", "w", lambda a, b: F.length(a) + F.length(b)), F.lit(0), lambda a, n: a + n))
+    rows = wd.held(rows, s=F.array_join(F.zip_with("g", "t", lambda gap, t: F.concat(swap.between(gap), t["tag"])), ""))
+
+    def one(word, i):
+        owner = F.when(F.lower(word) == "her", swap.her_is_possessive(F.col("w"), F.col("g"), F.col("s"), i)).when(F.lower(word).isin(*POSSESSIVE), swap.rest(F.col("s"), i).rlike(swap.AFTER_HIS))
+        return F.concat(signs(F.get("g", i)), word, F.lit(":"), F.when(owner, "O").otherwise(F.get("t", i)["tag"]))
+
+    tagged = F.trim(F.concat(F.array_join(F.transform("w", one), " "), F.lit(" "), signs(F.substring("text", F.col("size") + 1, F.length("text")))))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), tagged.alias("tagged"), F.array_join(F.transform("t", lambda t: t["own"]), "").alias("own_tags"))
 
 
 @query(rf"""{_DOCS}, said AS (SELECT doc_id, array_to_string(regexp_extract_all(text, {quote(wd.QUOTE)}), ' ') AS q FROM docs)

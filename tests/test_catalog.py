@@ -93,3 +93,18 @@ def test_a_broken_import_is_not_taken_for_an_absent_part(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode and "not_there_at_all" in done.stderr
+
+
+def test_tagged_tokens_keep_every_word_and_sign(spark, tmp_path):
+    """Each document's tokens in order, tagged in their places, in quotes too: counts by tag alone are less than the job."""
+    from ratelens.plans import catalog
+
+    texts = ["Emily closed her bag before she left.", 'Mr. Thomas said: "Always Robert" - in red!', "", " ... ", None, "no end sign\t\nLinda", "A 🙂 for Emily, Mr."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalog.queries()["tagged_tokens"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    assert got[0]["tagged"] == "Emily:P closed:B her:O bag:N before:I she:R left:V .:X" and got[0]["own_tags"] == "YBRNIRV" and got[0]["n_words"] == 7
+    for i, t in enumerate(texts):
+        assert "".join(x[:-2] for x in got[i]["tagged"].split(" ") if x) == "".join((t or "").split())
+    assert "Thomas:P" in got[1]["tagged"] and "Robert:P" in got[1]["tagged"] and '":X' in got[1]["tagged"]
+    test_same_as_sql(spark, "tagged_tokens", str(tmp_path), ("documents",))
