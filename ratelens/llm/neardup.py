@@ -147,7 +147,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     one = texts.select(F.col("k").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,9 +195,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """node, root of representatives in classes of several, by verified links between those that share a band."""
-    buckets = members.filter("bands is not null").select("rep", F.explode("bands").alias("bucket")).distinct()
+    buckets = members.filter("bands is not null").select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))  # a rep is one row
     centres = written(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "centres")
-    held = written(buckets.join(centres, "bucket"), "buckets")
+    held = written(buckets.join(centres.hint("merge"), "bucket"), "buckets")  # joins with texts and bands have one plan at every size
     discard(centres)
     # texts are moved once; later joins read those that share a bucket
     texts = written(texts.join(held.select(F.col("rep").alias("k")).distinct().hint("merge"), "k", "left_semi"), "texts")
@@ -216,7 +216,7 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     rest = placed.join(open_.filter(F.col("n") <= BLOCK), "bucket").select("bucket", "rep", "root", F.lit(1).cast("long").alias("blocks"))
     rest = written(rest if split is None else rest.unionByName(split[1]), "open-members")
     discard(placed, open_)
-    again = written(rest.join(texts.withColumnRenamed("k", "rep"), "rep").select("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "root", "t"), "open-texts")
+    again = written(rest.join(texts.withColumnRenamed("k", "rep").hint("merge"), "rep").select("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "root", "t"), "open-texts")
     shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocked = written(again.repartition(shards, "bucket", "block").sortWithinPartitions("bucket", "block", "rep").mapInArrow(_blocks(k, threshold), BLOCK_SCHEMA), "blocks")
     discard(rest, again, texts)
@@ -291,6 +291,8 @@ def _split(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> tu
     components after that go on to be compared by blocks.
     """
     members = written(members, "large-members")
+    # their texts are moved once; what follows joins no other texts
+    texts = written(texts.join(members.select(F.col("rep").alias("k")).distinct(), "k", "left_semi"), "large-texts")
     prefix = _prefixes(members, texts, threshold, k)
     heads = prefix.groupBy("key").agg(F.min("rep").alias("centre"), F.min("root").alias("x"), F.max("root").alias("y"), F.max("early").alias("early")).filter("x < y and early").select("key", "centre")
     sub = written(prefix.drop("early").join(heads, "key"), "rare-buckets")
@@ -300,7 +302,7 @@ def _split(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> tu
     of = lambda c: members.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))
     links = hits.join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
     links = written(links, "rare-links")
-    discard(pairs, members)
+    discard(pairs, members, texts)
     if not links.isEmpty():
         tops = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
         now = written(sub.join(tops, "root", "left").select("key", "rep", F.coalesce("top", "root").alias("root")), "rare-placed")

@@ -146,6 +146,22 @@ def test_large_open_buckets_are_parted_by_rare_shingles(spark):
     assert got == {i: i - i % 2 for i in range(100)}
 
 
+def test_large_open_buckets_move_their_own_texts_only(spark, monkeypatch):
+    """Texts of other buckets take no part in the joins by rare shingles."""
+    members = spark.createDataFrame([(i, i) for i in range(20)], "rep long, root long")
+    held = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(90)], "k long, t string")
+    seen, plain = [], neardup.compared
+
+    def compared(pairs, texts, k):
+        seen.append({r["k"] for r in texts.select("k").collect()})
+        return plain(pairs, texts, k)
+
+    monkeypatch.setattr(neardup, "compared", compared)
+    links, _ = neardup._split(members, held, 0.8, 5)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
+    assert seen == [set(range(20))]
+
+
 def repeated_passages():
     """20 pairs (2 i, 2 i + 1); the second repeats a passage of the first 50 more times."""
     rows = []
