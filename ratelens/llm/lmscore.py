@@ -178,7 +178,10 @@ def chunks(docs: DataFrame, shards: int, key: str, text: str, folds: int, held:
                 for kind, (keys, n) in (("w", (words, counts)), ("g", grams_of(raw, offsets, ~is_held))):
                     order, some, first = by_shard(keys, shards)
                     out += [(chunk, kind, int(s), 0, pack_sorted(keys[order[a:b]]), pack(n[order[a:b]])) for s, a, b in zip(some, first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHUNKS.types, strict=True)], schema=_CHUNKS)
+                del words, counts, keys, n, order
+                while out:  # a few rows at a time, so that neither side holds a second copy of all
+                    some_rows, out = out[:16], out[16:]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some_rows, strict=True), _CHUNKS.types, strict=True)], schema=_CHUNKS)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (fold(key, folds) == held).alias("h"))
     return rows.mapInArrow(work, CHUNKS)
@@ -353,7 +356,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     two = three.groupBy(shorter("node", 2).alias("node")).agg(*sums)
     two = written(two.mapInArrow(weigh, "node long, a long, b long, below double, lw double"), "nodes-2")
     one = two.groupBy(shorter("node", 1).alias("node")).agg(*sums).toArrow()  # 256 contexts of 255 nodes at most
-    root = spark.createDataFrame(root_mixtures(one).to_pandas(), "node long, m0 double, m1 double, over double")
+    root = spark.createDataFrame(root_mixtures(one))  # from Arrow: no task of pickled rows, whose Python workers would stay
     states = two.join(F.broadcast(root.withColumnRenamed("node", "parent")), shorter("node", 1) == F.col("parent")).drop("parent", "lw")
     states = written(states.mapInArrow(down, "node long, m0 double, m1 double, over double"), "states-2")
     above = three.select("part", "node").join(states.withColumnRenamed("node", "parent"), shorter("node", 2) == F.col("parent")).drop("parent")
@@ -367,10 +370,26 @@ def probabilities(counts: DataFrame) -> DataFrame:
 REPLIES = "chunk long, kind string, shard int, known long, values binary"
 
 
+#: Keys unpacked before they are summed.
+MERGED = 1 << 19
+
+
+def merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a shard's rows with the sums of their counts; holds its distinct keys and MERGED more, however many rows repeat them."""
+    keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        keys.append(unpack_sorted(a.as_py()))
+        counts.append(unpack(b.as_py()))
+        size += len(keys[-1])
+        if size >= max(MERGED, len(keys[0])):
+            keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
+            size = 0
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
 def gram_counts(rows: pa.Table) -> pa.Table:
     """One shard's distinct grams with the sums of their counts."""
-    keys, n = (np.concatenate([f(x.as_py()) for x in rows[c]]) for f, c in ((unpack_sorted, "a"), (unpack, "b")))
-    key, total = summed(keys, n)
+    key, total = merged(rows)
     return pa.table({"key": key.view(np.int64), "n": total.view(np.int64), "shard": pa.array(np.full(len(key), rows["shard"][0].as_py(), np.int32))})
 
 
@@ -389,17 +408,20 @@ def gram_replies(rows: pa.Table, model: pa.Table) -> pa.Table:
 
 def word_replies(rows: pa.Table) -> pa.Table:
     """One shard: to each chunk the training counts of its words; the first row tells how many words have one."""
-    held = [unpack_sorted(x.as_py()) for x in rows["a"]]
-    key, total = summed(np.concatenate(held), np.concatenate([unpack(x.as_py()) for x in rows["b"]]))
-    return _replies(rows, "w", int((total > 0).sum()), (pack(total[np.searchsorted(key, x)]) for x in held))
+    key, total = merged(rows)
+    return _replies(rows, "w", int((total > 0).sum()), (pack(total[np.searchsorted(key, unpack_sorted(x.as_py()))]) for x in rows["a"]))
 
 
-def values_of(keys: np.ndarray, shards: int, replies: dict[int, bytes], read) -> np.ndarray:
+def values_of(keys: np.ndarray, shards: int, replies: dict[int, pa.Scalar], read) -> np.ndarray:
     """The replies' values, in the order of the keys."""
-    order, some, _ = by_shard(keys, shards)
-    got = np.concatenate([read(replies[int(s)]) for s in some]) if len(some) else read(pack(keys[:0]))
-    out = np.empty(len(keys), got.dtype)
-    out[order] = got
+    order, some, first = by_shard(keys, shards)
+    if not len(some):
+        return read(pack(keys[:0]))
+    out = None
+    for s, a, b in zip(some, first, first[1:], strict=False):
+        got = read(replies[int(s)].as_py())
+        out = np.empty(len(keys), got.dtype) if out is None else out
+        out[order[a:b]] = got
     return out
 
 
@@ -408,7 +430,7 @@ RESULTS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """RESULTS of each row, by a model of the rows outside the held-out fold: those whose crc32 of the key, modulo folds, isn't held."""
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession, 1024, 2 << 20)
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = int(max(1, -(-whole // shard_bytes)))
     parts = written(chunks(docs, shards, key, text, folds, held), "chunks")
@@ -424,12 +446,12 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     log_all = float(np.log10(n_train + distinct_words + 1))
 
     def results(rows: pa.Table) -> pa.Table:
-        got: dict[str, dict[int, bytes]] = {"g": {}, "w": {}}
-        for r in rows.to_pylist():
-            if r["kind"] == "t":
-                text, meta = r["a"], unpack(r["b"]).view(np.int64)
+        got: dict[str, dict[int, pa.Scalar]] = {"g": {}, "w": {}}  # of the table, not copied
+        for i, (kind, shard) in enumerate(zip(rows["kind"].to_pylist(), rows["shard"].to_pylist(), strict=True)):
+            if kind == "t":
+                text, meta = rows["a"][i].as_py(), unpack(rows["b"][i].as_py()).view(np.int64)
             else:
-                got[r["kind"]][r["shard"]] = r["values"]
+                got[kind][shard] = rows["values"][i]
         n = (len(meta) - 1) // 4
         offsets, ids, valid, is_held = meta[: n + 1], *meta[n + 1 :].reshape(3, n)
         size = int(offsets[-1])

@@ -158,3 +158,26 @@ def test_words_of_equal_hash_are_equal(spark):
     df = spark.createDataFrame([(a, one), (b, two), (c, one)], "doc_id long, text string")
     base = {r["doc_id"]: r["base_score"] for r in lmscore.scored(df).collect()}
     assert base[a] == base[c] > base[b]
+
+
+def test_a_shard_holds_its_distinct_keys_not_all_rows():
+    """Counts of many small chunks that repeat the same keys are summed as they come."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 48, 20_000).astype(np.uint64))
+    a, b = lmscore.pack_sorted(keys), lmscore.pack(np.ones(len(keys), np.uint64))
+    rows = pa.table({"chunk": list(range(300)), "shard": pa.array([0] * 300, pa.int32()), "a": pa.array([a] * 300, pa.binary()), "b": pa.array([b] * 300, pa.binary())})
+    tracemalloc.start()
+    got = lmscore.gram_counts(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n"].to_pylist() == [300] * 20_000 and got["key"].to_pylist() == keys.tolist()
+    assert most < 60_000_000  # 6,000,000 keys and counts alone are 96 MB
+    tracemalloc.start()
+    back = lmscore.word_replies(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(lmscore.unpack(x).tolist() == [300] * 20_000 for x in back["values"].to_pylist()[::99])
+    assert most < 60_000_000
