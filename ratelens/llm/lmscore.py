@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import NONSPACE, apart, as_bytes, discard, distinct, fold, gathered, mix, slices, small_batches, words_of, written
+from ratelens.llm.common import LARGE_VALUES, NONSPACE, apart, as_bytes, discard, distinct, fold, gathered, mix, slices, small_batches, words_of, written
 
 DEPTH, SPLIT = 5, 3
 END = 255
@@ -54,18 +54,18 @@ END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
 # --- numbers in rows --------------------------------------------------------------------
 
 
-def pack(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+def pack(x: np.ndarray, kind: str = "<u8") -> bytes:
+    """Numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
     return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
+def unpack(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
     if not n:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], size * n, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -125,22 +125,24 @@ def grams_of(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[n
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         keys.append(key[new])
         counts.append(np.add.reduceat(one, new) if len(new) else key[:0])
-        if len(keys) == 8:
+        if len(keys) == 4:
             keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text's end after its words; and the texts' bounds among them."""
-    part, ends = apart(raw, offsets)
-    s, _, h = words_of(part, NONSPACE)
-    bound = np.searchsorted(s, ends)
-    n = len(offsets) - 1
-    bound = bound + np.arange(n + 1)
-    out, word = np.full(len(h) + n, END_WORD, np.uint64), np.ones(len(h) + n, bool)
-    word[bound[1:] - 1] = False
-    out[word] = h
-    return out, bound
+    tokens, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in slices(np.diff(offsets), STEP):  # places of words are of a few texts only
+        part, ends = apart(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        s, _, h = words_of(part, NONSPACE)
+        bound = np.searchsorted(s, ends) + np.arange(j - i + 1)
+        out, word = np.full(len(h) + j - i, END_WORD, np.uint64), np.ones(len(h) + j - i, bool)
+        word[bound[1:] - 1] = False
+        out[word] = h
+        tokens.append(out)
+        sizes.append(np.diff(bound))
+    return np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
 
 
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,7 +405,7 @@ def gram_replies(rows: pa.Table, model: pa.Table) -> pa.Table:
     key, log_p = model["key"].to_numpy().view(np.uint64), model["log_p"].to_numpy()
     order = np.argsort(key)
     key, log_p = key[order], log_p[order].astype("<f4")
-    return _replies(rows, "g", 0, (log_p[np.searchsorted(key, unpack_sorted(x.as_py()))].tobytes() for x in rows["a"]))
+    return _replies(rows, "g", 0, (pack(log_p[np.searchsorted(key, unpack_sorted(x.as_py()))], "<f4") for x in rows["a"]))
 
 
 def word_replies(rows: pa.Table) -> pa.Table:
@@ -433,13 +435,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     small_batches(docs.sparkSession, 1024, 2 << 20)
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = int(max(1, -(-whole // shard_bytes)))
-    parts = written(chunks(docs, shards, key, text, folds, held), "chunks")
+    parts = written(chunks(docs, shards, key, text, folds, held), "chunks", LARGE_VALUES)
     asked = parts.filter("kind = 'g'").select("chunk", "shard", "a", "b")
     counts = written(asked.groupBy("shard").applyInArrow(gram_counts, "key long, n long, shard int"), "gram-counts")
     model = probabilities(counts)
     grams = asked.select("chunk", "shard", "a").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(gram_replies, REPLIES)
     words = parts.filter("kind = 'w'").select("chunk", "shard", "a", "b").groupBy("shard").applyInArrow(word_replies, REPLIES)
-    replies = written(grams.unionByName(words), "replies")
+    replies = written(grams.unionByName(words), "replies", LARGE_VALUES)
     discard(counts, model)
     n_train = parts.filter("kind = 't'").agg(F.sum("tokens")).first()[0] or 0
     distinct_words = replies.agg(F.sum("known")).first()[0] or 0
@@ -457,7 +459,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         size = int(offsets[-1])
         raw = np.frombuffer(pa.decompress(text, size, "zstd", asbytes=True) if size else b"", np.uint8)
         keys, _ = grams_of(raw, offsets, np.zeros(n, bool))
-        log_p = values_of(keys, shards, got["g"], lambda x: np.frombuffer(x, "<f4"))
+        log_p = values_of(keys, shards, got["g"], lambda x: unpack(x, "<f4"))
         score = np.zeros(n)
         for key, who in gram_steps(raw, offsets, 1 << 15):  # a place of 16 bits beside a key of 48
             both = (key << np.uint64(16)) | np.arange(len(key), dtype=np.uint64)

@@ -181,3 +181,33 @@ def test_a_shard_holds_its_distinct_keys_not_all_rows():
     tracemalloc.stop()
     assert all(lmscore.unpack(x).tolist() == [300] * 20_000 for x in back["values"].to_pylist()[::99])
     assert most < 60_000_000
+
+
+def test_words_of_a_chunk_are_looked_up_a_few_texts_at_a_time():
+    """Of all words only the hashes are held, not their places."""
+    import tracemalloc
+
+    raw = np.frombuffer(b"ab cd " * 1_000_000, np.uint8)
+    offsets = np.arange(0, len(raw) + 1, 6000)
+    tracemalloc.start()
+    tokens, bound = lmscore.tokens_of(raw, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bound.tolist() == [2001 * i for i in range(1001)] and len(set(tokens.tolist())) == 3 and (tokens[bound[1:] - 1] == lmscore.END_WORD).all()
+    assert most < 80_000_000  # starts, ends and hashes of 2,000,000 words, held twice, are 96 MB
+
+
+def test_tables_of_packed_values_have_no_codec(spark, tmp_path, monkeypatch):
+    """A codec keeps direct buffers as large as the largest page, which an executor's heap doesn't bound."""
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(lmscore, "written", lambda *a: kept.append((a[1], common.written(*a))) or kept[-1][1])
+    words = np.random.default_rng(5).integers(0, 1 << 40, (60, 4000))
+    df = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(words.tolist())], "doc_id long, text string").coalesce(1)
+    lmscore.scored(df, shard_bytes=20_000)
+    for tag in ("chunks", "replies"):
+        (table,) = (t for name, t in kept if name == tag)
+        files = [pq.ParquetFile(f.removeprefix("file://")) for f in table.inputFiles()]
+        columns = [f.metadata.row_group(0).column(i) for f in files for i in range(f.metadata.num_columns) if f.metadata.num_row_groups]
+        assert columns and {c.compression for c in columns} == {"UNCOMPRESSED"}
