@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import LARGE_VALUES, NONSPACE, apart, as_bytes, discard, distinct, fold, gathered, mix, slices, small_batches, words_of, written
+from ratelens.llm.common import LARGE_VALUES, NONSPACE, apart, as_bytes, discard, distinct, fold, gathered, mix, pack, pack_sorted, slices, small_batches, unpack, unpack_sorted, words_of, written
 
 DEPTH, SPLIT = 5, 3
 END = 255
@@ -51,31 +51,6 @@ SHARD_BYTES, PART_GRAMS = 32 << 20, 500_000
 END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
-# --- numbers in rows --------------------------------------------------------------------
-
-
-def pack(x: np.ndarray, kind: str = "<u8") -> bytes:
-    """Numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def unpack(raw: bytes, kind: str = "<u8") -> np.ndarray:
-    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(raw[8:], size * n, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw), dtype=np.uint64)
-
-
 # --- grams and words of a chunk ---------------------------------------------------------
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import ALNUM, apart, as_bytes, discard, distinct, gathered, mix, shingles, small_batches, words_of, written
+from ratelens.llm.common import ALNUM, apart, as_bytes, discard, distinct, gathered, mix, pack, pack_sorted, shingles, small_batches, unpack, unpack_sorted, words_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -221,9 +221,7 @@ def rooted(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     blocked = written(again.repartition(shards, "bucket", "block").sortWithinPartitions("bucket", "block", "rep").mapInArrow(_blocks(k, threshold), BLOCK_SCHEMA), "blocks")
     discard(rest, again, texts)
     own = blocked.filter("a is not null").select("a", "b")
-    many = blocked.filter("a is null").select("bucket", "block", "payload")
-    two = many.select("bucket", F.col("block").alias("block2"), F.col("payload").alias("payload2"))
-    across = many.join(two, "bucket").filter("block < block2").mapInArrow(_across(threshold), "a long, b long")
+    across = _block_pairs(blocked.filter("a is null").select("bucket", "block", "payload")).mapInArrow(_across(threshold), "a long, b long")
     more = written((own.unionByName(across) if split is None else own.unionByName(across).unionByName(split[0])).distinct(), "more-links")  # between roots
     discard(blocked, *(split or ()))
     if more.isEmpty():
@@ -328,14 +326,18 @@ class Sets:
         self.doc = np.repeat(np.arange(len(ids)), sizes)
 
     def pack(self) -> bytes:
-        n = np.array([len(self.ids)], np.int64)
-        return b"".join(x.tobytes() for x in (n, self.ids, self.roots, self.sizes, self.keys))
+        """Each distinct shingle once, and the documents' shingles as places among these: members of a bucket share many."""
+        names, place = np.unique(self.keys, return_inverse=True)
+        place = place[np.lexsort((place, self.doc))]
+        parts = pack(np.concatenate([self.ids, self.roots, self.sizes]).view(np.uint64)), pack_sorted(names), pack(np.diff(place, prepend=0), "<i4")
+        return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
 
     @classmethod
     def unpack(cls, raw: bytes) -> Sets:
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids, roots, sizes = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(3))
-        return cls(ids, roots, sizes, np.frombuffer(raw, np.uint64, -1, 8 + 24 * n))
+        ends = 24 + np.cumsum(np.frombuffer(raw, np.int64, 3))
+        ids, roots, sizes = unpack(raw[24 : ends[0]]).view(np.int64).reshape(3, -1)
+        place = np.cumsum(unpack(raw[ends[1] : ends[2]], "<i4"), dtype=np.int64)
+        return cls(ids, roots, sizes, unpack_sorted(raw[ends[0] : ends[1]])[place])
 
 
 def cross_links(one: Sets, two: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -395,6 +397,13 @@ def _blocks(k: int, threshold: float):
     return work
 
 
+def _block_pairs(many: DataFrame) -> DataFrame:
+    """payload, payload2 of each two blocks of a bucket. Columns are named after the join only, so that one exchange serves both sides."""
+    x, y = many.alias("x"), many.alias("y")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") < F.col("y.block")))
+    return pairs.select(F.col("x.payload").alias("payload"), F.col("y.payload").alias("payload2"))
+
+
 def _across(threshold: float):
     """Links between two blocks of a bucket."""
 

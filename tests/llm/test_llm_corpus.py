@@ -162,6 +162,27 @@ def test_large_open_buckets_move_their_own_texts_only(spark, monkeypatch):
     assert seen == [set(range(20))]
 
 
+def test_blocks_of_a_bucket_are_packed_and_moved_once(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    key = np.concatenate([np.append(rng.permutation(shared), rng.integers(0, 1 << 63, 5).astype(np.uint64)) for _ in range(200)])
+    ids, roots = np.arange(200) - 7, np.arange(200) // 3
+    raw = neardup.Sets(ids, roots, np.full(200, 505), key).pack()
+    back = neardup.Sets.unpack(raw)
+    assert back.ids.tolist() == ids.tolist() and back.roots.tolist() == roots.tolist() and back.sizes.tolist() == [505] * 200
+    assert all(set(back.keys[back.doc == i].tolist()) == set(key[505 * i : 505 * i + 505].tolist()) for i in range(200))
+    assert len(raw) < 8 * len(key) // 4
+    spark.createDataFrame([(1, i, bytes([i])) for i in range(4)] + [(2, 0, b"x")], "bucket long, block long, payload binary").write.parquet(f"{tmp_path}/blocks")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = neardup._block_pairs(spark.read.parquet(f"{tmp_path}/blocks"))
+        assert sorted((bytes(r[0])[0], bytes(r[1])[0]) for r in pairs.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def repeated_passages():
     """20 pairs (2 i, 2 i + 1); the second repeats a passage of the first 50 more times."""
     rows = []
